@@ -17,7 +17,7 @@ from headroom.params import RADAR_COLUMNS, Clustering
 from headroom.session import stage
 
 NOISE = -1
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def squared_distance(a: Column, b: Column) -> Column:

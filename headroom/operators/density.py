@@ -107,7 +107,7 @@ def dbscan(
     kind = dict(points.dtypes)["id"]
     distinct = points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
     blocks, n = spatial_blocks(distinct, eps, dims, rows)
-    pairs = stage(near_pairs(blocks, n, eps, dims), "block-pairs")
+    pairs = stage(near_pairs(blocks, n, eps, dims), "block-pairs") if n > 1 else None
 
     def count(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         weights, found = other["w"].to_numpy(), []
@@ -133,9 +133,11 @@ def dbscan(
         }
         return pd.DataFrame(edges, dtype=object)
 
-    upper = pairs.filter("_left <= _right")
+    upper = pairs.filter("_left <= _right") if n > 1 else None
     stars = stage(over_pairs(core, core, connect, f"id {kind}, root {kind}", upper).distinct(), "stars")
-    labels = _components(stars)
+    # one block already holds whole components
+    one = stars.groupBy("root").agg(F.min("id").alias("label")).join(stars, "root").select("id", "label").distinct()
+    labels = _components(stars) if n > 1 else one
     # components are named by their smallest core id
     core = core.join(labels, "id")
 
@@ -152,9 +154,10 @@ def dbscan(
     named = core.select("x", "label").unionByName(rest.join(border, "id").select("x", "label"))
     numbers = dense_index(labels, "label", "cluster")
     clusters = named.join(numbers, "label").select("x", "cluster")
-    return points.join(clusters, "x", "left").select(
+    found = points.join(clusters, "x", "left").select(
         "id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster")
     )
+    return stage(found, "dbscan")
 
 
 def noise_counts(labels: DataFrame) -> DataFrame:
