@@ -43,9 +43,14 @@ def values(column: pd.Series) -> np.ndarray:
 
 
 def deal(points: DataFrame, rows: int = BLOCK_ROWS, key: str = "id") -> tuple[DataFrame, int]:
-    """Add ``_block`` by a hash of the id; also gives the number of blocks."""
+    """Stage and add ``_block`` by a hash of the id; also gives the number of blocks."""
+    points = stage(points, "points")
     n = max(1, math.ceil(points.count() / rows))
-    return points.withColumn("_block", F.pmod(F.hash(key), F.lit(n))), n
+    return with_block(points, n, key), n
+
+
+def with_block(points: DataFrame, n: int, key: str = "id") -> DataFrame:
+    return points.withColumn("_block", F.pmod(F.hash(key), F.lit(n)))
 
 
 def spatial_blocks(
@@ -114,7 +119,8 @@ def distance_totals(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
     ``points`` is (id, x, labels array<int>); gives (id, m, own, cluster, total).
     """
-    dealt, n = deal(points.select("id", "x", "labels"), rows)
+    n = max(1, math.ceil(points.count() / rows))
+    dealt = with_block(points.select("id", "x", "labels"), n)
 
     def kernel(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(one["x"]), matrix(other["x"])
@@ -146,6 +152,7 @@ def distance_totals(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
 def silhouettes(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact Euclidean silhouette of each point per labeling: (id, m, cluster, silhouette)."""
+    points = stage(points.select("id", "x", "labels"), "labelled")
     sizes = (
         points.select(F.posexplode("labels").alias("m", "cluster")).groupBy("m", "cluster").agg(F.count(F.lit(1)).alias("n"))
     )

@@ -175,36 +175,42 @@ def clean_trace(
     return normalise_times(cap_to_bounds(valid, bounds))
 
 
+def _nulls(columns: Sequence[str]) -> Column:
+    """How many of the columns are null in a row."""
+    total = F.lit(0)
+    for c in columns:
+        total = total + F.col(c).isNull().cast("long")
+    return total
+
+
 def cleaning_report(
     df: DataFrame, ties: Sequence[str] = (), method: str = "iqr", **chunking
 ) -> DataFrame:
     """How many cells and rows each cleaning stage touched: (metric, value)."""
     numeric = numeric_columns(df)
 
-    def cells(columns: Sequence[str]) -> Column:
-        total = F.lit(0)
-        for c in columns:
-            total = total + F.col(c).isNull().cast("long")
-        return F.sum(total)
-
-    kept = drop_critical_nulls(df)
+    present = F.lit(True)
+    for c in CRITICAL_COLUMNS:
+        if c in df.columns:
+            present = present & F.col(c).isNotNull()
     others = [c for c in df.columns if c not in numeric]
-    before = df.agg(cells(df.columns).alias("nulls"))
-    after = kept.agg(cells(others).alias("left"), F.count(F.lit(1)).alias("rows"))
+    before = df.agg(
+        F.sum(_nulls(df.columns)).alias("nulls"),
+        F.coalesce(F.sum(F.when(present, _nulls(others))), F.lit(0)).alias("left"),
+        F.count_if(present).alias("rows"),
+    )
     valid, bounds = _clean(df, ties, method, **chunking)
-
     outside = F.lit(0)
     for c, (low, high) in bounds.items():
         outside = outside + ((F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high))).cast("long")
-    end = valid.agg(F.count(F.lit(1)).alias("rows"), F.sum(outside).alias("capped"))
-
-    def line(frame: DataFrame, name: str, value: Column) -> DataFrame:
-        return frame.select(F.lit(name).alias("metric"), F.coalesce(value, F.lit(0)).cast("long").alias("value"))
-
-    left = after.select("left").scalar()
-    rows = after.select("rows").scalar()
-    return (
-        line(before, "missing_values_handled", F.col("nulls") - F.coalesce(left, F.lit(0)))
-        .unionByName(line(end, "invalid_rows_removed", rows - F.col("rows")))
-        .unionByName(line(end, "outliers_capped", F.col("capped")))
-    )
+    end = valid.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.sum(outside).alias("capped"))).scalar()
+    values = {
+        "missing_values_handled": F.col("nulls") - F.col("left"),
+        "invalid_rows_removed": F.col("rows") - end["rows"],
+        "outliers_capped": end["capped"],
+    }
+    lines = [
+        F.struct(F.lit(name).alias("metric"), F.coalesce(value, F.lit(0)).cast("long").alias("value"))
+        for name, value in values.items()
+    ]
+    return before.select(F.inline(F.array(*lines)))

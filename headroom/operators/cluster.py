@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headroom.functions.workload import model_strategy, report_strategy, workload_type
 from headroom.operators.blocks import BLOCK_ROWS, silhouettes
@@ -114,58 +114,70 @@ def centroids(points: DataFrame, cluster: str = "cluster", by: Sequence[str] = (
 
 
 def spread(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Inertia and Calinski-Harabasz index from the centroid table alone."""
-    table = centroids(points, by=by)
-    total = F.sum("n")
-    dims = F.size(F.first("centre"))
-    table = table.withColumn("v", array_to_vector("centre")).withColumn("w", F.col("n").cast("double"))
-    variance = vector_to_array(Summarizer.mean(F.col("v"), F.col("w"))).alias("mean")
-    middle = table.groupBy(*by).agg(variance, total.alias("rows"), F.count(F.lit(1)).alias("k"))
-    if by:
-        joined = table.join(middle, list(by))
-    else:
-        one = middle.agg(F.first(F.struct("mean", "rows", "k")).alias("s")).scalar()
-        joined = table.withColumns({"mean": one["mean"], "rows": one["rows"], "k": one["k"]})
-    between = F.sum(F.col("n") * squared_distance(F.col("centre"), F.col("mean")))
-    inertia = F.sum("within")
-    k, rows = F.first("k"), F.first("rows")
-    return joined.groupBy(*by).agg(
-        inertia.alias("inertia"),
-        F.try_divide(between * (rows - k), inertia * (k - 1)).alias("calinski_harabasz"),
+    """Inertia and Calinski-Harabasz index in one pass over the points.
+
+    What follows the pass works on the list of centroids, k entries.
+    """
+    entry = F.struct("n", "centre", "within")
+    listed = centroids(points, by=by).groupBy(*by).agg(F.collect_list(entry).alias("c"))
+
+    def add(s: Column, e: Column) -> Column:
+        return F.zip_with(s, e["centre"], lambda a, b: a + b * e["n"])
+
+    zero = F.transform(F.col("c")[0]["centre"], lambda v: v * 0.0)
+    listed = listed.withColumns(
+        {
+            "rows": F.aggregate("c", F.lit(0).cast("long"), lambda s, e: s + e["n"]),
+            "inertia": F.aggregate("c", F.lit(0.0), lambda s, e: s + e["within"]),
+            "total": F.aggregate("c", zero, add),
+            "k": F.size("c"),
+        }
+    )
+    listed = listed.withColumn("mean", F.transform("total", lambda v: v / F.col("rows")))
+    between = F.aggregate(
+        "c", F.lit(0.0), lambda s, e: s + e["n"] * squared_distance(e["centre"], F.col("mean"))
+    )
+    k, rows = F.col("k"), F.col("rows")
+    return listed.select(
+        *by,
+        "inertia",
+        F.try_divide(between * (rows - k), F.col("inertia") * (k - 1)).alias("calinski_harabasz"),
         k.alias("n_clusters"),
-        dims.alias("n_features"),
     )
 
 
 def davies_bouldin(points: DataFrame) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / distance; infinite below two clusters.
 
-    One row per cluster is kept, so the list of centroids is as small as k.
+    The comparison of clusters works on the list of centroids, k entries.
     """
     table = centroids(points).select("cluster", "centre")
     own = points.join(table, "cluster")
-    width = own.groupBy("cluster").agg(
+    widths = own.groupBy("cluster").agg(
         F.avg(F.sqrt(squared_distance(F.col("x"), F.col("centre")))).alias("width"),
         F.first("centre").alias("centre"),
     )
-    everyone = width.agg(F.collect_list(F.struct("cluster", "centre", "width"))).scalar()
-    width = width.withColumn("everyone", everyone)
-    ratio = F.transform(
-        F.filter("everyone", lambda o: o["cluster"] != F.col("cluster")),
-        lambda o: (F.col("width") + o["width"])
-        / F.sqrt(squared_distance(F.col("centre"), o["centre"])),
+    listed = widths.agg(F.collect_list(F.struct("cluster", "centre", "width")).alias("c"))
+
+    def worst(one: Column) -> Column:
+        others = F.filter("c", lambda o: o["cluster"] != one["cluster"])
+        apart = F.transform(
+            others,
+            lambda o: (one["width"] + o["width"]) / F.sqrt(squared_distance(one["centre"], o["centre"])),
+        )
+        return F.array_max(apart)
+
+    total = F.aggregate(F.transform("c", worst), F.lit(0.0), lambda s, v: s + v)
+    k = F.size("c")
+    return listed.select(
+        F.when(k > 1, total / F.nullif(k, F.lit(0))).otherwise(float("inf")).alias("davies_bouldin")
     )
-    worst = width.select(F.array_max(ratio).alias("worst"))
-    return worst.agg(F.coalesce(F.avg("worst"), F.lit(float("inf"))).alias("davies_bouldin"))
 
 
 def silhouette(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact Euclidean silhouette; 0 below two clusters."""
     one = points.select("id", "x", F.array("cluster").alias("labels"))
-    few = points.agg(F.count_distinct("cluster")).scalar() < 2
-    return silhouettes(one, rows).agg(
-        F.when(few, 0.0).otherwise(F.avg("silhouette")).alias("silhouette")
-    )
+    return silhouettes(one, rows).agg(F.avg("silhouette").alias("silhouette"))
 
 
 def cluster_quality(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
@@ -229,17 +241,14 @@ def cluster_stats(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 
     Noise is not described but counts in the total.
     """
-    total = rows.agg(F.count(F.lit(1))).scalar()
     size = F.count(F.lit(1))
-    stats = (
-        rows.filter(F.col("cluster") != NOISE)
-        .groupBy("cluster")
-        .agg(
-            size.alias("size"),
-            (size / total * 100).alias("percentage"),
-            *[f(c).alias(f"{c}_{s}") for c in names for s, f in (("mean", F.avg), ("std", F.stddev_samp))],
-        )
+    functions = (("mean", F.avg), ("std", F.stddev_samp))
+    grouped = rows.groupBy("cluster").agg(
+        size.alias("size"), *[f(c).alias(f"{c}_{s}") for c in names for s, f in functions]
     )
+    # one row per cluster is left, so the total over all of them is a small window
+    share = F.col("size") / F.sum("size").over(Window.partitionBy()) * 100
+    stats = grouped.withColumn("percentage", share).filter(F.col("cluster") != NOISE)
     have = set(stats.columns)
 
     def known(c: str) -> Column:

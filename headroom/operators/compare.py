@@ -17,11 +17,12 @@ from headroom.params import Pricing
 def reduction_against(
     table: DataFrame, by: Sequence[str] = (), name: str = "strategy", baseline: str = "static"
 ) -> DataFrame:
-    """Add ``cost_reduction_pct`` against the baseline row, within ``by``."""
-    if by:
-        base = F.max(F.when(F.col(name) == baseline, F.col("total_cost"))).over(Window.partitionBy(*by))
-    else:
-        base = table.filter(F.col(name) == baseline).agg(F.max("total_cost")).scalar()
+    """Add ``cost_reduction_pct`` against the baseline row, within ``by``.
+
+    ``table`` has one row per strategy (and ``by``), so the window is as small
+    as the number of strategies.
+    """
+    base = F.max(F.when(F.col(name) == baseline, F.col("total_cost"))).over(Window.partitionBy(*by))
     return table.withColumn("cost_reduction_pct", M.cost_reduction(base, F.col("total_cost")))
 
 

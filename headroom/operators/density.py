@@ -100,6 +100,7 @@ def dbscan(
     Clusters are numbered by their smallest core id; a border point joins the
     first of its clusters.
     """
+    points = stage(points.select("id", "x"), "points")
     dims = points.select(F.size("x")).first()
     if dims is None:
         return points.select("id", F.lit(NOISE).alias("cluster"))
@@ -179,9 +180,12 @@ def dbscan_metrics(points: DataFrame, labels: DataFrame, rows: int = BLOCK_ROWS)
     kept = points.join(labels.filter(F.col("cluster") != NOISE), "id").withColumn(
         "labels", F.array("cluster")
     )
-    score = silhouettes(kept, rows).agg(F.avg("silhouette").alias("s"), F.count(F.lit(1)).alias("n"))
-    usable = (F.col("n_clusters") > 1) & (score.select("n").scalar() > F.col("n_clusters"))
-    return counts.withColumn("silhouette", F.when(usable, score.select("s").scalar()))
+    score = silhouettes(kept, rows).agg(
+        F.struct(F.avg("silhouette").alias("s"), F.count(F.lit(1)).alias("n"))
+    )
+    found = counts.withColumn("score", score.scalar())
+    usable = (F.col("n_clusters") > 1) & (F.col("score.n") > F.col("n_clusters"))
+    return found.select("n_clusters", "n_noise", "noise_ratio", F.when(usable, F.col("score.s")).alias("silhouette"))
 
 
 def noise_pattern(features: DataFrame, labels: DataFrame, names: list[str], key: str = "machine_id") -> DataFrame:

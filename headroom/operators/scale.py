@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from headroom.functions.features import finite
 from headroom.params import FEATURE_COLUMNS
+from headroom.session import stage
 
 
 def available_features(columns: Sequence[str]) -> list[str]:
@@ -39,7 +40,11 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def scaled_features(profiles: DataFrame, key: str = "machine_id") -> DataFrame:
-    """(machine, features...) ready for clustering."""
+    """(machine, features...) ready for clustering.
+
+    The raw features, one row per machine, are written once: both the
+    statistics and the scaling read them.
+    """
     names = available_features(profiles.columns)
     clean = profiles.select(key, *[finite(F.col(c)).alias(c) for c in names])
-    return standardise(clean, names)
+    return standardise(stage(clean, "raw-features"), names)
