@@ -177,7 +177,7 @@ def dbscan_metrics(points: DataFrame, labels: DataFrame, rows: int = BLOCK_ROWS)
     The silhouette needs two clusters and more points than clusters.
     """
     counts = noise_counts(labels)
-    kept = points.join(labels.filter(F.col("cluster") != NOISE), "id").withColumn(
+    kept = points.select("id", "x").join(labels.filter(F.col("cluster") != NOISE), "id").withColumn(
         "labels", F.array("cluster")
     )
     score = silhouettes(kept, rows).agg(

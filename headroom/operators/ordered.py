@@ -8,6 +8,7 @@ and passes a small summary from chunk to chunk.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -18,13 +19,15 @@ CHUNK = ("_bucket", "_slice")
 BROADCAST_ROWS = 100_000
 
 
-def range_slices(df: DataFrame, order: Sequence[str], name: str = "slices") -> DataFrame:
-    """Add ``_slice``: consecutive, evenly filled ranges of ``order``.
+def range_slices(
+    df: DataFrame, order: Sequence[str], name: str = "slices", n: int | None = None
+) -> DataFrame:
+    """Add ``_slice``: consecutive, evenly filled ranges of ``order``, ``n`` of them if given.
 
     Written as a table, so a slice keeps its rows when executors are lost.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id())
-    return stage(ranged, name)
+    ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
+    return stage(ranged.withColumn("_slice", F.spark_partition_id()), name)
 
 
 def order_chunks(
@@ -42,13 +45,14 @@ def order_chunks(
     (key, time, ties), so that no chunk grows with the data.
     """
     df = df.withColumn("_bucket", F.window(F.col(time), width)["start"])
-    hot = df.groupBy(key, "_bucket").count().filter(F.col("count") > limit).select(key, "_bucket")
-    n_hot = hot.count()
+    hot = df.groupBy(key, "_bucket").count().filter(F.col("count") > limit)
+    n_hot, hot_rows = hot.agg(F.count(F.lit(1)), F.sum("count")).first()
     if n_hot == 0:
         return df.withColumn("_slice", F.lit(0))
-    hot = stage(hot, "hot-buckets")
+    hot = stage(hot.select(key, "_bucket"), "hot-buckets")
     if n_hot <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
-    big = range_slices(df.join(hot, [key, "_bucket"], "left_semi"), [key, time, *ties])
+    slices = 2 * math.ceil(hot_rows / limit)
+    big = range_slices(df.join(hot, [key, "_bucket"], "left_semi"), [key, time, *ties], n=slices)
     rest = df.join(hot, [key, "_bucket"], "left_anti").withColumn("_slice", F.lit(0))
     return rest.unionByName(big)
