@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headroom.operators.ordered import range_slices
 from headroom.session import stage
@@ -42,39 +42,46 @@ def values(column: pd.Series) -> np.ndarray:
     return column.to_numpy(dtype=object)
 
 
-def deal(points: DataFrame, rows: int = BLOCK_ROWS, key: str = "id") -> tuple[DataFrame, int]:
-    """Stage and add ``_block`` by a hash of the id; also gives the number of blocks."""
-    points = stage(points, "points")
-    n = max(1, math.ceil(points.count() / rows))
-    return with_block(points, n, key), n
-
-
 def with_block(points: DataFrame, n: int, key: str = "id") -> DataFrame:
     return points.withColumn("_block", F.pmod(F.hash(key), F.lit(n)))
 
 
 def spatial_blocks(
-    points: DataFrame, reach: float, dims: int, rows: int = BLOCK_ROWS
+    points: DataFrame, dims: int, width: float | None = None, rows: int = BLOCK_ROWS
 ) -> tuple[DataFrame, int]:
-    """Add ``_block`` so that near points tend to share one; even sizes; staged."""
-    n = max(1, math.ceil(points.count() / rows))
+    """Add ``_block`` so that near points tend to share one; even sizes; staged.
+
+    Points are ranged along a grid whose cells are ``width`` wide, or as wide
+    as gives about one cell per block.
+    """
+    count = points.count()
+    n = max(1, math.ceil(count / rows))
     if n == 1:
         return stage(points.withColumn("_block", F.lit(0)), "blocks"), 1
-    cells = {f"_c{i}": F.floor(F.col("x")[i] / reach) for i in range(dims)}
-    ranged = points.withColumns(cells).repartitionByRange(n, *cells, *[F.col("x")[i] for i in range(dims)])
+    widths = [width] * dims
+    if width is None:
+        spans = points.agg(*[F.max(F.col("x")[i]) - F.min(F.col("x")[i]) for i in range(dims)]).first()
+        parts = math.ceil(n ** (1 / min(dims, 3)))
+        widths = [(span or 1.0) / parts for span in spans]
+    cells = {f"_c{i}": F.floor(F.col("x")[i] / w) for i, w in enumerate(widths)}
+    ranged = points.withColumns(cells).repartitionByRange(n, *cells, *[F.col("x")[i] for i in range(dims)], "id")
     ranged = ranged.withColumn("_block", F.spark_partition_id())
     return stage(ranged.drop(*cells), "blocks"), n
 
 
-def near_pairs(blocks: DataFrame, n: int, reach: float, dims: int) -> DataFrame:
-    """Pairs of blocks whose bounding boxes are within reach: (_left, _right)."""
+def near_pairs(blocks: DataFrame, n: int, reach: Column, dims: int) -> DataFrame:
+    """Pairs of blocks whose bounding boxes are within reach: (_left, _right).
+
+    ``reach`` is a column that is the same for all points of a block; it holds
+    for the left block.
+    """
     low = F.array(*[F.min(F.col("x")[i]) for i in range(dims)])
     high = F.array(*[F.max(F.col("x")[i]) for i in range(dims)])
-    boxes = blocks.groupBy("_block").agg(low.alias("low"), high.alias("high"))
+    boxes = blocks.groupBy("_block").agg(low.alias("low"), high.alias("high"), F.max(reach).alias("reach"))
     left = boxes.withColumnsRenamed({"_block": "_left"}).withColumn(
         "_right", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     )
-    right = boxes.withColumnsRenamed({"_block": "_right", "low": "rlow", "high": "rhigh"})
+    right = boxes.drop("reach").withColumnsRenamed({"_block": "_right", "low": "rlow", "high": "rhigh"})
     gap2 = F.lit(0.0)
     for i in range(dims):
         gap = F.greatest(
@@ -82,7 +89,8 @@ def near_pairs(blocks: DataFrame, n: int, reach: float, dims: int) -> DataFrame:
         )
         gap2 = gap2 + gap * gap
     # a little slack: the exact test is done on the points
-    return left.join(right, "_right").filter(gap2 <= reach * reach * (1 + 1e-9)).select("_left", "_right")
+    near = gap2 <= F.col("reach") * F.col("reach") * (1 + 1e-9)
+    return left.join(right, "_right").filter(near).select("_left", "_right")
 
 
 def over_pairs(
@@ -172,8 +180,18 @@ def silhouettes(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def kth_distances(points: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distance of each point to its k-th nearest point, itself included: (id, distance)."""
-    dealt, n = deal(points.select("id", "x"), rows)
+    """Distance of each point to its k-th nearest point, itself included: (id, distance).
+
+    The k-th distance inside a point's own block is an upper bound, so only
+    blocks closer than the largest bound of a block are compared with it.
+    """
+    points = stage(points.select("id", "x"), "points")
+    dims = points.select(F.size("x")).first()
+    kind = dict(points.dtypes)["id"]
+    if dims is None:
+        return points.select("id", F.lit(None).cast("double").alias("distance"))
+    dims = dims[0]
+    blocks, n = spatial_blocks(points, dims, None, rows)
 
     def kernel(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(one["x"]), matrix(other["x"])
@@ -184,10 +202,19 @@ def kth_distances(points: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFram
             parts.append(pd.DataFrame({"id": np.repeat(ids[at], keep), "distance": nearest.ravel()}))
         return pd.concat(parts)
 
-    kind = dict(points.dtypes)["id"]
-    found = over_pairs(dealt, dealt, kernel, f"id {kind}, distance double", n=n)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance"))
-    return found.withColumn("_r", rank).filter(F.col("_r") == k).drop("_r")
+    def kth(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("distance"))
+        return found.withColumn("_r", rank).filter(F.col("_r") == k).drop("_r")
+
+    schema = f"id {kind}, distance double"
+    if n == 1:
+        return kth(over_pairs(blocks, blocks, kernel, schema))
+    own = blocks.select("_block").distinct().select(F.col("_block").alias("_left"), F.col("_block").alias("_right"))
+    bound = kth(over_pairs(blocks, blocks, kernel, schema, own))
+    # a block with fewer than k points has no bound and looks everywhere
+    reach = F.coalesce(F.col("distance"), F.lit(float("inf")))
+    pairs = stage(near_pairs(blocks.join(bound, "id", "left"), n, reach, dims), "block-pairs")
+    return kth(over_pairs(blocks, blocks, kernel, schema, pairs))
 
 
 def elbow(distances: DataFrame, column: str = "distance", key: str = "id") -> DataFrame:

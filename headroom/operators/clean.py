@@ -39,7 +39,7 @@ def fill_missing(
     carried to the following ones.
     """
     df = drop_critical_nulls(df)
-    skip = {key, time, *ties}
+    skip = {key, time, *ties, *CRITICAL_COLUMNS}
     columns = [c for c in (columns or numeric_columns(df)) if c not in skip]
     if not columns:
         return df

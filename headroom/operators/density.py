@@ -107,8 +107,8 @@ def dbscan(
     dims = dims[0]
     kind = dict(points.dtypes)["id"]
     distinct = points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
-    blocks, n = spatial_blocks(distinct, eps, dims, rows)
-    pairs = stage(near_pairs(blocks, n, eps, dims), "block-pairs") if n > 1 else None
+    blocks, n = spatial_blocks(distinct, dims, eps, rows)
+    pairs = stage(near_pairs(blocks, n, F.lit(eps), dims), "block-pairs") if n > 1 else None
 
     def count(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         weights, found = other["w"].to_numpy(), []

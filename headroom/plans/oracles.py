@@ -378,6 +378,17 @@ oracle(
     f"SELECT {r('avg(s)', 'silhouette')} FROM ({_SILHOUETTE.format(table='distance_means')})",
     "distance_means",
 )
+step(
+    "squared_means",
+    """SELECT a.id, a.cluster AS own, b.cluster, sum(pow(list_distance(a.x, b.x), 2)) AS total, count(*) AS n
+    FROM emb a, emb b GROUP BY 1, 2, 3""",
+    "emb",
+)
+oracle(
+    "silhouette_squared",
+    f"SELECT {r('avg(s)', 'silhouette_squared')} FROM ({_SILHOUETTE.format(table='squared_means')})",
+    "squared_means",
+)
 _TYPE = """CASE WHEN cpu_mean_mean < 0.3 AND cpu_cv_mean < 0.3 THEN 'stable_low_load'
     WHEN cpu_cv_mean > 0.6 AND cpu_mean_mean > 0.5 THEN 'volatile' WHEN cpu_cv_mean > 0.6 THEN 'bursty'
     ELSE 'periodic' END"""

@@ -21,6 +21,7 @@ from headroom.operators import windows as win
 from headroom.operators.blocks import kth_distances
 from headroom.operators.scale import available_features, scaled_features
 from headroom.plans import experiment as exp
+from headroom.session import stage
 from headroom.sources.adapters import points, usage_trace, windowed_usage
 from headroom.sources.sinks import average_metrics
 from headroom.sources.trace import sample_machines, trace_summary
@@ -57,6 +58,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return win.usage_series(windowed_usage(spark, sf_dir), "y")
 
 
+def shared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series as a table, for queries that read it more than once."""
+    return stage(series(spark, sf_dir), "series")
+
+
 def predicted_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series(spark, sf_dir).withColumn("predicted", cap.moving_average())
 
@@ -87,12 +93,12 @@ def density_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def split_series(spark: SparkSession, sf_dir: str, steps: int | None = 2) -> tuple[DataFrame, DataFrame]:
-    split = win.train_test_split(series(spark, sf_dir), 0.8, steps)
+    split = stage(win.train_test_split(series(spark, sf_dir), 0.8, steps), "split")
     return split.filter("part = 'train'").drop("part", "h"), split.filter("part = 'test'")
 
 
 def series_strategies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    table = series(spark, sf_dir)
+    table = shared_series(spark, sf_dir)
     described = win.machine_profiles(table.select("machine_id", F.col("y").alias("average_usage_mean")))
     return table, exp.machine_types(described)[0]
 
@@ -312,6 +318,11 @@ def _(spark, sf_dir):
     return cluster.silhouette(points(spark, sf_dir))
 
 
+@query("silhouette_squared")
+def _(spark, sf_dir):
+    return cluster.silhouette_squared(points(spark, sf_dir))
+
+
 @query("calinski_harabasz", 6)
 def _(spark, sf_dir):
     return cluster.spread(points(spark, sf_dir)).select("calinski_harabasz")
@@ -406,7 +417,7 @@ def _(spark, sf_dir):
 @query("forecast_default")
 def _(spark, sf_dir):
     # machines whose series is too short to be fitted get the default
-    table = series(spark, sf_dir)
+    table = shared_series(spark, sf_dir)
     models = fc.fit_naive(win.keep_long_series(table, 84))
     return fc.predict_machines(table, models, 3)
 
@@ -434,7 +445,7 @@ def _(spark, sf_dir):
 
 
 def _decisions(spark, sf_dir):
-    table = profiles(spark, sf_dir)
+    table = stage(profiles(spark, sf_dir), "profiles")
     return cap.scaling_decisions(
         table.select("machine_id", F.col("request_mean").alias("current_capacity")),
         table.select("machine_id", F.col("cpu_mean").alias("predicted_usage")),
@@ -569,9 +580,9 @@ def _(spark, sf_dir):
 
 @query("results_table", 6)
 def _(spark, sf_dir):
-    walked = cap.policy_capacity(predicted_series(spark, sf_dir))
-    proposed = walked.agg(*M.all_metrics("y", "predicted", "y", "capacity"))
-    averaged = predicted_series(spark, sf_dir).withColumn("capacity", cap.moving_average_level())
+    table = shared_series(spark, sf_dir).withColumn("predicted", cap.moving_average())
+    proposed = cap.policy_capacity(table).agg(*M.all_metrics("y", "predicted", "y", "capacity"))
+    averaged = table.withColumn("capacity", cap.moving_average_level())
     moving = averaged.agg(*M.all_metrics("y", "predicted", "y", "capacity"))
     return compare.results_table({"proposed": proposed, "moving_average": moving})
 
@@ -595,8 +606,9 @@ def _(spark, sf_dir):
 
 @query("compare_baselines", 6)
 def _(spark, sf_dir):
-    proposed = cap.policy_capacity(predicted_series(spark, sf_dir)).withColumnRenamed("y", "usage")
-    return compare.compare_baselines(_baselines(spark, sf_dir), proposed)
+    table = shared_series(spark, sf_dir)
+    proposed = cap.policy_capacity(table.withColumn("predicted", cap.moving_average()))
+    return compare.compare_baselines(cap.baseline_capacities(table), proposed.withColumnRenamed("y", "usage"))
 
 
 @query("cost_report")

@@ -46,6 +46,16 @@ def test_silhouette(spark, rows):
     assert [got[f"p{i:04d}"] for i in range(90)] == pytest.approx(list(plain_silhouette(x, labels)))
 
 
+def test_squared_silhouette(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    df = frame(spark, blobs(1), np.r_[np.arange(89) % 3, 7])
+    judge = ClusteringEvaluator(predictionCol="cluster", featuresCol="v")
+    wanted = judge.evaluate(df.withColumn("v", array_to_vector("x")))
+    assert cluster.silhouette_squared(df).first()[0] == pytest.approx(wanted)
+
+
 def test_quality(spark):
     x = blobs(2)
     labels = np.arange(90) % 3
