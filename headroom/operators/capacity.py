@@ -1,9 +1,9 @@
 """Capacity policies over a machine's series.
 
 Stateless policies are window expressions.  A policy whose next capacity
-depends on the last one is a fold in time order: rows are shuffled by machine,
-sorted by Spark, and one pass walks through them batch by batch with a state
-of a few numbers, so no machine is ever held in memory as a whole.
+depends on the last one is a fold in time order: Spark brings a machine's rows
+together and sorts them, and one pass walks through them batch by batch with a
+state of a few numbers, so no machine is ever held in memory as a whole.
 """
 
 from __future__ import annotations
@@ -63,36 +63,42 @@ def fold_by_key(
     outputs: Sequence[tuple[str, str]],
     start: Callable,
     step: Callable,
-    together: bool = False,
 ) -> DataFrame:
     """Walk each key's rows in order, adding the output columns.
 
     ``start(row)`` makes the state from the first row's inputs and
     ``step(state, row)`` returns (state, output tuple); ``row`` is a tuple of
-    the input columns.  ``together`` says that the rows were already
-    repartitioned by the keys, which saves a shuffle.
+    the input columns.  The row number makes Spark bring a key's rows together
+    in order, whatever adaptive execution does to the plan, and lets the walk
+    check that none is missing.
     """
-    names = [name for name, _ in outputs]
-    schema = T.StructType(list(df.schema.fields)).simpleString()[len("struct<") : -1]
-    schema = ",".join([schema, *[f"{n}:{t}" for n, t in outputs]])
     keys, inputs = list(keys), list(inputs)
+    names = [name for name, _ in outputs]
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    numbered = df.withColumn("_position", position)
+    schema = T.StructType(df.schema.fields)
+    for name, kind in outputs:
+        schema = schema.add(name, kind)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
+        state, last = None, 0
         for batch in batches:
             if batch.empty:
                 continue
             produced = []
             rows = zip(*[batch[c].tolist() for c in inputs], strict=True)
-            for key, row in zip(zip(*[batch[k].tolist() for k in keys], strict=True), rows, strict=True):
-                if key != current:
-                    current, state = key, start(row)
+            for at, row in zip(batch["_position"].tolist(), rows, strict=True):
+                if at == 1:
+                    state = start(row)
+                elif at != last + 1:
+                    raise RuntimeError("rows of one key arrived apart")
+                last = at
                 state, out = step(state, row)
                 produced.append(out)
-            yield batch.assign(**dict(zip(names, zip(*produced, strict=True), strict=True)))
+            added = dict(zip(names, zip(*produced, strict=True), strict=True))
+            yield batch.drop(columns="_position").assign(**added)
 
-    ordered = (df if together else df.repartition(*keys)).sortWithinPartitions(*keys, order)
-    return ordered.mapInPandas(walk, f"struct<{schema}>")
+    return numbered.mapInPandas(walk, schema)
 
 
 def threshold_fold(
@@ -103,7 +109,6 @@ def threshold_fold(
     key: str = "machine_id",
     order: str = "step",
     y: str = "y",
-    together: bool = False,
 ) -> DataFrame:
     """Add ``out``: the capacity after each change; ``start`` holds the first capacity."""
 
@@ -114,7 +119,7 @@ def threshold_fold(
         state = autoscaler_step(state[0], state[1], row[0], settings)
         return state, (state[0],)
 
-    return fold_by_key(df, [key], order, [y, start], [(out, "double")], begin, step, together)
+    return fold_by_key(df, [key], order, [y, start], [(out, "double")], begin, step)
 
 
 def machine_median(y: str = "y", key: str = "machine_id") -> Column:
@@ -133,8 +138,8 @@ def threshold_capacity(
     y: str = "y",
 ) -> DataFrame:
     """Reactive scaling with cooldown, starting at 1.5 times the machine's median."""
-    begun = series.repartition(key).withColumn("_start", machine_median(y, key) * settings.start)
-    return threshold_fold(begun, "_start", "capacity", settings, key, order, y, True).drop("_start")
+    begun = series.withColumn("_start", machine_median(y, key) * settings.start)
+    return threshold_fold(begun, "_start", "capacity", settings, key, order, y).drop("_start")
 
 
 SIMPLE = Autoscaler(cooldown=0, guard=0.0)
@@ -148,8 +153,8 @@ def threshold_simple(
     y: str = "y",
 ) -> DataFrame:
     """Reactive scaling without cooldown or usage guard, starting at 1.5 times the first value."""
-    begun = series.repartition(key).withColumn("_start", first_value(y, key, order) * settings.start)
-    return threshold_fold(begun, "_start", "capacity", settings, key, order, y, True).drop("_start")
+    begun = series.withColumn("_start", first_value(y, key, order) * settings.start)
+    return threshold_fold(begun, "_start", "capacity", settings, key, order, y).drop("_start")
 
 
 def policy_fold(
@@ -160,7 +165,6 @@ def policy_fold(
     keys: Sequence[str] = ("machine_id",),
     order: str = "step",
     thresholds: tuple[str, str] | None = None,
-    together: bool = False,
 ) -> DataFrame:
     """Apply the prediction-driven policy step by step.
 
@@ -186,7 +190,7 @@ def policy_fold(
         ("capacity", "double"),
         ("confidence", "double"),
     ]
-    return fold_by_key(df, keys, order, inputs, outputs, begin, step, together)
+    return fold_by_key(df, keys, order, inputs, outputs, begin, step)
 
 
 def policy_capacity(
@@ -197,10 +201,10 @@ def policy_capacity(
     order: str = "step",
 ) -> DataFrame:
     """The policy over a predicted series, starting at 1.3 times its first value."""
-    begun = series.repartition(key).withColumn(
+    begun = series.withColumn(
         "_start", first_value(predicted, key, order) * settings.start
     )
-    return policy_fold(begun, "_start", predicted, settings, [key], order, together=True).drop("_start")
+    return policy_fold(begun, "_start", predicted, settings, [key], order).drop("_start")
 
 
 def policy_replay(
@@ -330,7 +334,7 @@ def baseline_capacities(
 
     Gives (machine, step, strategy, capacity, usage).
     """
-    wide = series.select(key, order, y).repartition(key)
+    wide = series.select(key, order, y)
     wide = wide.withColumns(
         {
             "_static": static_level(y, key),
@@ -338,7 +342,7 @@ def baseline_capacities(
             "_start": machine_median(y, key) * settings.start,
         }
     )
-    wide = threshold_fold(wide, "_start", "_threshold", settings, key, order, y, True)
+    wide = threshold_fold(wide, "_start", "_threshold", settings, key, order, y)
     return _long(wide, ["static", "threshold", "moving_average"], key, order, y)
 
 
@@ -351,7 +355,7 @@ def strategy_capacities(
     y: str = "y",
 ) -> DataFrame:
     """static, threshold, proposed and oracle from usage and predicted usage, in one pass."""
-    wide = series.select(key, order, y, predicted).repartition(key)
+    wide = series.select(key, order, y, predicted)
     wide = wide.withColumns(
         {
             "_static": static_level(y, key),
@@ -377,6 +381,5 @@ def strategy_capacities(
         [("_threshold", "double"), ("_proposed", "double")],
         begin,
         step,
-        together=True,
     )
     return _long(wide, ["static", "threshold", "proposed", "oracle"], key, order, y)

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headroom.functions.parse import micros_between
+from headroom.operators.ordered import CHUNK, order_chunks
 from headroom.params import EPS, Forecasting
+from headroom.session import stage
 
 # The statistics kept per window.
 WINDOW_STATISTICS = {
@@ -164,36 +166,40 @@ def busiest_machine(df: DataFrame, key: str = "machine_id") -> DataFrame:
 
 
 def time_gaps(
-    df: DataFrame, key: str = "machine_id", time: str = "time", width: str = "1 minute"
+    df: DataFrame,
+    key: str = "machine_id",
+    time: str = "time",
+    width: str = "1 day",
+    limit: int = 5_000_000,
 ) -> DataFrame:
     """Gaps between consecutive samples of a machine: (machine, gap_micros, n).
 
     Equal times are counted before the shuffle and give gaps of 0.  Distinct
-    times are compared inside short time chunks and between neighbouring
-    chunks, so both groupings are bounded by time and not by rows.
+    times are compared inside chunks of a machine, and the ends of
+    neighbouring chunks with each other.
     """
     moments = df.filter(F.col(time).isNotNull()).groupBy(key, time).agg(F.count(F.lit(1)).alias("n"))
-    moments = moments.withColumn("_bucket", F.window(F.col(time), width)["start"])
-    chunk = Window.partitionBy(key, "_bucket").orderBy(time)
-    inside = moments.select(key, "n", micros_between(F.lag(time).over(chunk), F.col(time)).alias("gap"))
-    within = inside.select(
+    chunks = order_chunks(stage(moments, "moments"), key, time, (), width, limit)
+    inside = Window.partitionBy(key, *CHUNK).orderBy(time)
+    gap = micros_between(F.lag(time).over(inside), F.col(time))
+    within = chunks.select(key, "n", gap.alias("gap")).select(
         key,
-        F.explode(
+        F.inline(
             F.array(
-                F.struct(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("n")),
-                F.struct(F.col("gap"), F.lit(1).cast("long").alias("n")),
+                F.struct(F.lit(0).cast("long").alias("gap_micros"), (F.col("n") - 1).alias("n")),
+                F.struct(F.col("gap").alias("gap_micros"), F.lit(1).cast("long").alias("n")),
             )
-        ).alias("g"),
-    ).select(key, "g.gap", "g.n")
-    ends = moments.groupBy(key, "_bucket").agg(F.min(time).alias("first"), F.max(time).alias("last"))
-    before = F.lag("last").over(Window.partitionBy(key).orderBy("_bucket"))
+        ),
+    )
+    ends = chunks.groupBy(key, *CHUNK).agg(F.min(time).alias("first"), F.max(time).alias("last"))
+    before = F.lag("last").over(Window.partitionBy(key).orderBy(*CHUNK))
     between = ends.select(
-        key, micros_between(before, F.col("first")).alias("gap"), F.lit(1).cast("long").alias("n")
+        key, micros_between(before, F.col("first")).alias("gap_micros"), F.lit(1).cast("long").alias("n")
     )
     return (
         within.unionByName(between)
-        .filter(F.col("gap").isNotNull() & (F.col("n") > 0))
-        .groupBy(key, F.col("gap").alias("gap_micros"))
+        .filter(F.col("gap_micros").isNotNull() & (F.col("n") > 0))
+        .groupBy(key, "gap_micros")
         .agg(F.sum("n").alias("n"))
     )
 

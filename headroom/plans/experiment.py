@@ -157,7 +157,6 @@ def threshold_sweep(
     limits = F.array(*[F.struct(F.lit(u).alias("up"), F.lit(d).alias("down")) for u, d in thresholds])
     begun = (
         series.select(key, order, y, predicted)
-        .repartition(key)
         .withColumn("_start", cap.first_value(predicted, key, order) * settings.start)
         .withColumn("_static", cap.static_level(y, key))
         .withColumn("limit", F.explode(limits))

@@ -97,11 +97,12 @@ def test_long_series_and_last_values(spark):
     assert {r["machine_id"]: r["last_value"] for r in win.last_values(df).collect()} == {"a": 4.0, "b": 5.0}
 
 
-def test_gaps_across_chunks(spark):
+@pytest.mark.parametrize("width, limit", [("1 minute", 5), ("1 minute", 10**6), ("1 day", 20), ("1 day", 10**6)])
+def test_gaps_across_chunks(spark, width, limit):
     rng = np.random.default_rng(1)
     rows = [(f"m{rng.integers(3)}", START + timedelta(seconds=int(rng.integers(0, 600)))) for _ in range(200)]
     df = spark.createDataFrame(rows, "machine_id string, time timestamp_ntz")
-    got = {r["machine_id"]: r for r in win.describe_gaps(win.time_gaps(df)).collect()}
+    got = {r["machine_id"]: r for r in win.describe_gaps(win.time_gaps(df, width=width, limit=limit)).collect()}
     pdf = pd.DataFrame(rows, columns=["m", "t"]).sort_values(["m", "t"])
     for m, part in pdf.groupby("m"):
         gaps = part["t"].diff().dropna().dt.total_seconds()
