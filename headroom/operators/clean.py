@@ -22,6 +22,14 @@ def drop_critical_nulls(df: DataFrame) -> DataFrame:
     return df.dropna(subset=have) if have else df
 
 
+def _with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that have anything to fill; one pass without a shuffle of rows."""
+    if not columns:
+        return []
+    found = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    return [c for c in columns if found[c]]
+
+
 def fill_missing(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -41,6 +49,7 @@ def fill_missing(
     df = drop_critical_nulls(df)
     skip = {key, time, *ties, *CRITICAL_COLUMNS}
     columns = [c for c in (columns or numeric_columns(df)) if c not in skip]
+    columns = _with_nulls(df, columns)
     if not columns:
         return df
 
