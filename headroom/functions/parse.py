@@ -11,7 +11,7 @@ def parse_metric(text: Column) -> Column:
     """A number, the ``cpus`` entry of a map, or the mean of a list; else 0.
 
     Works on strings such as ``0.7``, ``{'cpus': 0.1, 'memory': 0.2}`` and
-    ``[0.1, 0.3]``.
+    ``[0.1, 0.3]``.  A missing value stays missing.
     """
     number = text.try_cast("double")
     cpus = F.from_json(text, "cpus double").getField("cpus")
@@ -21,11 +21,12 @@ def parse_metric(text: Column) -> Column:
         F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(values), F.lit(0)),
     )
     is_list = F.ltrim(text).startswith("[")
-    return F.coalesce(number, F.when(is_list, mean).otherwise(cpus), F.lit(0.0))
+    value = F.coalesce(number, F.when(is_list, mean).otherwise(cpus), F.lit(0.0))
+    return F.when(F.trim(text) != "", F.nullif(value, F.lit(float("nan"))))
 
 
 def numeric_or_null(text: Column) -> Column:
-    return text.try_cast("double")
+    return F.nullif(text.try_cast("double"), F.lit(float("nan")))
 
 
 def epoch_to_timestamp(epoch: Column, unit: str) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from headroom.session import stage
 
 CHUNK = ("_bucket", "_slice")
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 500_000
 
 
 def range_slices(

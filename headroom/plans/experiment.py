@@ -16,6 +16,7 @@ from headroom.operators.cluster import assign_strategies, cluster_report, cluste
 from headroom.operators.compare import baseline_results, reduction_against
 from headroom.operators.scale import available_features, scaled_features
 from headroom.operators.windows import (
+    WINDOW_STATISTICS,
     keep_long_series,
     last_values,
     machine_profiles,
@@ -24,7 +25,7 @@ from headroom.operators.windows import (
     usage_series,
     window_aggregate,
 )
-from headroom.params import Autoscaler, Clustering, Policy
+from headroom.params import TIME_COLUMNS, Autoscaler, Clustering, Policy
 from headroom.session import stage
 
 
@@ -58,7 +59,12 @@ def machine_types(
 
 
 def observed_windows(trace: DataFrame, ties: Sequence[str], minutes: int) -> DataFrame:
-    """Cleaned and windowed trace, staged for the steps that share it."""
+    """Cleaned and windowed trace, staged for the steps that share it.
+
+    Columns the windows do not use are dropped before the trace is shuffled.
+    """
+    used = {"machine_id", *TIME_COLUMNS, *ties, *WINDOW_STATISTICS}
+    trace = trace.select(*[c for c in trace.columns if c in used])
     return stage(window_aggregate(clean_trace(trace, ties), minutes), "windows")
 
 

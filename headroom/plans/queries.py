@@ -633,9 +633,9 @@ def _(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trace -> clean -> daily windows -> static, threshold, moving average -> cost per strategy."""
-    cleaned = clean.clean_trace(usage_trace(spark, sf_dir), TIES)
-    windowed = win.window_aggregate(cleaned, 1440)
-    table = win.usage_series(windowed)
+    used = ["machine_id", "event_id", "time", "start_time", "end_time", "average_usage", "maximum_usage"]
+    cleaned = clean.clean_trace(usage_trace(spark, sf_dir).select(*used), TIES)
+    table = win.usage_series(win.window_aggregate(cleaned, 1440))
     return compare.compare_strategies(cap.baseline_capacities(table))
 
 

@@ -170,6 +170,19 @@ def test_models_survive_storage(spark, tmp_path):
     assert forecasts(fc.predict(again, 5)) == forecasts(fc.predict(models, 5))
 
 
+def test_going_on_from_newer_values(spark):
+    values = {"a": walk(60, 1), "b": walk(60, 2), "c": walk(60, 3)}
+    start = {m: y[:30] for m, y in values.items()}
+    newer = {"a": values["a"], "b": values["b"][:5]}
+    models = fc.fit_weighted(series(spark, start))
+    got = forecasts(fc.predict(fc.continue_from(models, series(spark, newer)), 3))
+    assert got["a"] == pytest.approx(plain_weighted(values["a"], 3))
+    for m in "bc":
+        assert got[m] == pytest.approx(plain_weighted(start[m], 3))
+    kept = fc.continue_from(fc.fit_ar(series(spark, start)), series(spark, newer))
+    assert forecasts(fc.predict(kept, 3)) == forecasts(fc.predict(fc.fit_ar(series(spark, start)), 3))
+
+
 def test_horizon_column(spark):
     models = fc.fit_naive(series(spark, {"a": [0.1, 0.2], "b": [0.3]}))
     wanted = spark.createDataFrame([("a", 2), ("b", 0)], "machine_id string, n int")

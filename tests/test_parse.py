@@ -20,18 +20,19 @@ from headroom.functions.parse import epoch_to_timestamp, micros_between, normali
         ("0.7", 0.7),
         ("1e-3", 0.001),
         ("xx", 0.0),
-        ("", 0.0),
-        (None, 0.0),
+        ("", None),
+        ("nan", None),
+        (None, None),
     ],
 )
 def test_metric_text(spark, text, value):
     row = spark.createDataFrame([(text,)], "t string").select(parse_metric(F.col("t"))).first()
-    assert row[0] == pytest.approx(value)
+    assert row[0] == (value if value is None else pytest.approx(value))
 
 
 def test_plain_number_or_null(spark):
-    df = spark.createDataFrame([("0.5",), ("bad",), (None,)], "t string")
-    assert [r[0] for r in df.select(numeric_or_null(F.col("t"))).collect()] == [0.5, None, None]
+    df = spark.createDataFrame([("0.5",), ("bad",), (None,), ("NaN",)], "t string")
+    assert [r[0] for r in df.select(numeric_or_null(F.col("t"))).collect()] == [0.5, None, None, None]
 
 
 def test_epoch_units(spark):
