@@ -14,6 +14,17 @@ from headroom.functions import metrics as M
 from headroom.params import Pricing
 
 
+# The lines of the cost report.
+REPORT_LINES = {
+    "strategy_name": "Strategy: %s",
+    "total_cost": "  Total Cost:        $%.4f",
+    "wasted_cost": "  Wasted Cost:       $%.4f",
+    "utilization_pct": "  Utilization:       %.1f%%",
+    "sla_violations": "  SLA Violations:    %d",
+    "cost_reduction_pct": "  Cost Reduction:    %.1f%%",
+}
+
+
 def reduction_against(
     table: DataFrame, by: Sequence[str] = (), name: str = "strategy", baseline: str = "static"
 ) -> DataFrame:
@@ -98,20 +109,11 @@ def results_table(results: dict[str, DataFrame]) -> DataFrame:
 
 def cost_report(comparison: DataFrame) -> DataFrame:
     """One formatted text per strategy."""
-
-    def line(template: str, value: Column) -> Column:
-        return F.format_string(template, value)
-
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Strategy: "), F.upper("strategy")),
-        line("  Total Cost:        $%.4f", F.col("total_cost")),
-        line("  Wasted Cost:       $%.4f", F.col("wasted_cost")),
-        line("  Utilization:       %.1f%%", F.col("utilization") * 100),
-        line("  SLA Violations:    %d", F.col("sla_violations")),
-        line("  Cost Reduction:    %.1f%%", F.col("cost_reduction_pct")),
+    shown = comparison.withColumns(
+        {"strategy_name": F.upper("strategy"), "utilization_pct": F.col("utilization") * 100}
     )
-    return comparison.select("strategy", text.alias("report"))
+    lines = [F.format_string(template, column) for column, template in REPORT_LINES.items()]
+    return shown.select("strategy", F.concat_ws("\n", *lines).alias("report"))
 
 
 # --- extras: sizing rules described with the method, not part of its pipeline ------

@@ -27,6 +27,8 @@ from headroom.operators.windows import (
 )
 from headroom.params import TIME_COLUMNS, Autoscaler, Clustering, Policy
 from headroom.session import stage
+from headroom.sources.sinks import average_metrics
+from headroom.sources.trace import sample_machines
 
 
 @dataclass(frozen=True)
@@ -68,8 +70,7 @@ def observed_windows(trace: DataFrame, ties: Sequence[str], minutes: int) -> Dat
     return stage(window_aggregate(clean_trace(trace, ties), minutes), "windows")
 
 
-def _replay(trace: DataFrame, ties: Sequence[str], s: Settings) -> dict[str, DataFrame]:
-    windowed = observed_windows(trace, ties, s.window_minutes)
+def _forecast(windowed: DataFrame, s: Settings) -> dict[str, DataFrame]:
     profiles = machine_profiles(windowed)
     strategies, stats = machine_types(profiles, s)
     strategies = stage(strategies, "strategies")
@@ -110,12 +111,18 @@ def _proposed(forecasts: DataFrame, policy: Policy) -> DataFrame:
 def full_experiment(
     trace: DataFrame, ties: Sequence[str] = (), settings: Settings = Settings()
 ) -> dict[str, DataFrame]:
+    """The experiment on a raw trace: clean, window, then ``experiment_on_windows``."""
+    windowed = observed_windows(trace, ties, settings.window_minutes)
+    return experiment_on_windows(windowed, settings)
+
+
+def experiment_on_windows(windowed: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """Result tables: comparison, prediction_metrics, counts, cluster tables, models, forecasts, capacities.
 
     Models are fitted on the train part of each series and scored on the steps
     right after it; baselines run per machine on the same steps.
     """
-    tables = _replay(trace, ties, settings)
+    tables = _forecast(windowed, settings)
     proposed = _proposed(tables["forecasts"], settings.policy)
     baselines = cap.baseline_capacities(tables["test"], settings.autoscaler, order="h")
     capacities = stage(baselines.unionByName(proposed.drop("y_pred")), "capacities")
@@ -184,11 +191,15 @@ def threshold_sweep(
 def cluster_sweep(
     trace: DataFrame, ks: Sequence[int], ties: Sequence[str] = (), settings: Settings = Settings()
 ) -> DataFrame:
-    """The whole experiment for several numbers of clusters, which refit every model."""
+    """The experiment for several numbers of clusters, which refit every model.
+
+    The trace is cleaned and windowed once.
+    """
+    windowed = observed_windows(trace, ties, settings.window_minutes)
     out = None
     for k in ks:
         one = replace(settings, clustering=replace(settings.clustering, k=k))
-        comparison = full_experiment(trace, ties, one)["comparison"].filter("strategy = 'proposed'")
+        comparison = experiment_on_windows(windowed, one)["comparison"].filter("strategy = 'proposed'")
         row = comparison.select(
             F.lit(k).alias("n_clusters"),
             F.col("cost_reduction_pct").alias("cost_reduction"),
@@ -238,3 +249,23 @@ def compare_models(
     )
     kinds = strategies.select(key, "workload_type", F.col("strategy").alias("hybrid_strategy"))
     return values, errors.join(kinds, key, "left")
+
+
+def model_comparison(
+    trace: DataFrame,
+    ties: Sequence[str] = (),
+    machines: int | None = 20,
+    min_windows: int = 50,
+    settings: Settings = Settings(),
+) -> dict[str, DataFrame]:
+    """The comparison from a raw trace: values, errors and average errors.
+
+    ``machines`` draws a sample of machines first; None takes all.
+    """
+    if machines is not None:
+        trace = sample_machines(trace, machines)
+    windowed = observed_windows(trace, ties, settings.window_minutes)
+    strategies, _ = machine_types(machine_profiles(windowed), settings)
+    series = usage_series(windowed)
+    values, errors = compare_models(series, strategies, settings.train_share, min_windows)
+    return {"values": values, "errors": errors, "averages": average_metrics(errors)}

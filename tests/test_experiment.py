@@ -50,6 +50,13 @@ def test_threshold_sweep_equals_single_runs(spark):
         assert swept[up, down]["total_cost"] == pytest.approx(alone * 0.05 / 12)
 
 
+def test_comparison_from_a_trace(spark, data_folder):
+    tables = exp.model_comparison(usage_trace(spark, data_folder), ["event_id"], 8, 40, FAST)
+    n = tables["errors"].count()
+    assert 0 < n <= 8 and tables["values"].select("machine_id").distinct().count() == n
+    assert tables["averages"].first()["arima_rmse"] > 0
+
+
 def test_model_comparison(spark):
     values = {"a": walk(60, 3), "b": walk(55, 4), "short": walk(40, 5)}
     kinds = spark.createDataFrame(
