@@ -399,7 +399,7 @@ def fit_pooled(
     table = stage(table.select(array_to_vector("x").alias("features"), F.col("target").alias("label")), "pooled")
     if table.isEmpty():
         return fit_naive(series, key, order, y).withColumn("strategy", F.lit("lstm"))
-    model = LinearRegression(regParam=1e-6, solver="normal").fit(table)
+    model = LinearRegression(solver="normal").fit(table)
     c = [float(v) for v in model.coefficients]
     ordered = machine.orderBy(order)
     state = (

@@ -623,6 +623,167 @@ oracle(
     "weighted_values",
 )
 
+# Least squares in SQL: sums of products per machine as rows of a list, then elimination.
+
+
+def linear_solver(name: str, table: str) -> None:
+    """Add ``{name}_solved``: ``phi`` for each system ``m`` (rows with the right side last)."""
+    swept = """list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k + 1
+    THEN list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1])
+    ELSE list_transform(range(1, len(m) + 2), lambda j: m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END)"""
+    step(
+        f"{name}_swept",
+        f"""SELECT *, 0 AS k FROM {table}
+    UNION ALL SELECT * REPLACE (k + 1 AS k, {swept} AS m) FROM {name}_swept WHERE k < len(m)""",
+        table,
+    )
+    step(
+        f"{name}_solved",
+        f"""SELECT * EXCLUDE (k, m), list_transform(m, lambda r: r[len(r)]) AS phi
+    FROM {name}_swept WHERE k = len(m)""",
+        f"{name}_swept",
+    )
+
+
+def normal_equations(name: str, table: str, size: int, keys: str = "machine_id") -> None:
+    """Add ``{name}``: the system of sums over the rows ``z`` (inputs, then the target)."""
+    step(
+        name,
+        f"""SELECT {keys}, list(r ORDER BY i) AS m FROM (SELECT {keys}, i, list(s ORDER BY j) AS r FROM (
+    SELECT {keys}, i, j, sum(z[i] * z[j]) AS s FROM {table}, (SELECT unnest(range(1, {size + 1})) AS i),
+    (SELECT unnest(range(1, {size + 2})) AS j) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL""",
+        table,
+    )
+
+
+def lagged(value: str, lags: list[int], table: str, start: int, extra: str = "") -> str:
+    items = ", ".join(f"lag({value}, {i}) OVER w" for i in lags)
+    return f"""SELECT * FROM (SELECT *, [{items}, {value}] AS z FROM {table}
+    WINDOW w AS (PARTITION BY machine_id{extra} ORDER BY step)) WHERE step >= {start}"""
+
+
+step("naive_for", "SELECT machine_id, arg_max(y, step) AS last, count(*) AS n FROM series GROUP BY 1", "series")
+step(
+    "changes",
+    "SELECT machine_id, step, y, y - lag(y) OVER (PARTITION BY machine_id ORDER BY step) AS w FROM series",
+    "series",
+)
+step("ar_rows", lagged("w", [1, 2, 3, 4, 5], "changes", 6), "changes")
+normal_equations("ar_sums", "ar_rows", 5)
+linear_solver("ar", "ar_sums")
+step(
+    "ar_state",
+    """SELECT machine_id, list(w ORDER BY step DESC)[1:5] AS recent, arg_max(y, step) AS y FROM changes
+    GROUP BY 1 HAVING count(*) >= 20""",
+    "changes",
+)
+step(
+    "ar_walk",
+    """SELECT machine_id, phi, 0 AS h, recent, y FROM ar_state JOIN ar_solved USING (machine_id)
+    UNION ALL SELECT machine_id, phi, h + 1, list_prepend(list_dot_product(phi, recent), recent[1:4]),
+    y + list_dot_product(phi, recent) FROM ar_walk WHERE h < 6""",
+    "ar_state",
+    "ar_solved",
+)
+
+
+def _forecast(strategy: str, walk: str, value: str, enough: int = 20) -> str:
+    return f"""SELECT machine_id, '{strategy}' AS strategy, h, {r(f'least(1, greatest(0, {value}))', 'y_pred')}
+    FROM {walk} WHERE h > 0 UNION ALL SELECT machine_id, '{strategy}', h, {rounded('last')}
+    FROM naive_for, horizon WHERE n < {enough}"""
+
+
+oracle("forecast_ar", _forecast("arima", "ar_walk", "y"), "ar_walk", "naive_for", "horizon")
+step(
+    "seasonal_changes",
+    """SELECT *, y - lag(y, 1) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w AS w FROM series
+    WINDOW w AS (PARTITION BY machine_id ORDER BY step)""",
+    "series",
+)
+step("seasonal_rows", lagged("w", [1, 2, 3, 4, 5, 12], "seasonal_changes", 25), "seasonal_changes")
+normal_equations("seasonal_sums", "seasonal_rows", 6)
+linear_solver("seasonal", "seasonal_sums")
+step(
+    "seasonal_state",
+    """SELECT machine_id, list(w ORDER BY step DESC)[1:12] AS recent, list(y ORDER BY step DESC)[1:13] AS ys
+    FROM seasonal_changes GROUP BY 1 HAVING count(*) >= 20""",
+    "seasonal_changes",
+)
+_SEASONAL = "list_dot_product(phi, list_append(recent[1:5], recent[12]))"
+step(
+    "seasonal_walk",
+    f"""SELECT machine_id, phi, 0 AS h, recent, ys FROM seasonal_state JOIN seasonal_solved USING (machine_id)
+    UNION ALL SELECT machine_id, phi, h + 1, list_prepend({_SEASONAL}, recent[1:11]),
+    list_prepend({_SEASONAL} + ys[1] + ys[12] - ys[13], ys[1:12]) FROM seasonal_walk WHERE h < 6""",
+    "seasonal_state",
+    "seasonal_solved",
+)
+oracle(
+    "forecast_seasonal",
+    _forecast("seasonal_arima", "seasonal_walk", "ys[1]"),
+    "seasonal_walk",
+    "naive_for",
+    "horizon",
+)
+step(
+    "degrees",
+    """SELECT machine_id, step, 0 AS d, y AS w FROM series UNION ALL SELECT machine_id, step, 1, w FROM changes
+    UNION ALL SELECT machine_id, step, 2, w - lag(w) OVER (PARTITION BY machine_id ORDER BY step) FROM changes""",
+    "series",
+    "changes",
+)
+step("degree_rows", lagged("w", [1, 2, 3, 4, 5], "degrees", 0, ", d").replace("step >= 0", "step >= 5 + d"), "degrees")
+normal_equations("degree_sums", "degree_rows", 5, "machine_id, d")
+step(
+    "order_systems",
+    """SELECT machine_id, d, p, list_transform(range(1, p + 1), lambda i: list_append(m[i][1:p], m[i][6])) AS m,
+    list_transform(range(1, p + 1), lambda i: m[i][6]) AS b FROM degree_sums, (SELECT unnest(range(1, 6)) AS p)""",
+    "degree_sums",
+)
+linear_solver("order", "order_systems")
+step("order_totals", "SELECT machine_id, d, sum(w * w) AS total, count(*) AS n FROM degree_rows GROUP BY 1, 2", "degree_rows")
+oracle(
+    "ar_order_search",
+    f"""SELECT machine_id, p::int AS p, d, {r('aic', 'aic', 6)} FROM (
+    SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY aic, p, d) AS best FROM (
+    SELECT machine_id, p, d, n * ln((total - list_dot_product(phi, b)) / n) + 2 * (p + 1) AS aic
+    FROM order_solved JOIN order_totals USING (machine_id, d) WHERE n > p + 1 AND total > 0)) WHERE best = 1""",
+    "order_solved",
+    "order_totals",
+)
+step(
+    "scaled_series",
+    """SELECT machine_id, step, low, high, CASE WHEN high > low THEN (y - low) / (high - low) ELSE 0 END AS s FROM (
+    SELECT *, min(y) OVER m AS low, max(y) OVER m AS high, count(*) OVER m AS n FROM series
+    WINDOW m AS (PARTITION BY machine_id)) WHERE n >= 22""",
+    "series",
+)
+step(
+    "pooled_rows",
+    """SELECT 'all' AS pool, list_concat(x, [1.0, s]) AS z FROM (SELECT s, step, list(s) OVER (PARTITION BY machine_id
+    ORDER BY step ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS x FROM scaled_series) WHERE step >= 12""",
+    "scaled_series",
+)
+normal_equations("pooled_sums", "pooled_rows", 13, "pool")
+linear_solver("pooled", "pooled_sums")
+step(
+    "pooled_walk",
+    """SELECT machine_id, low, high, phi[13] AS base, phi[1:12] AS w, 0 AS h, tail FROM (
+    SELECT machine_id, any_value(low) AS low, any_value(high) AS high, list_reverse(list(s ORDER BY step DESC)[1:12]) AS tail
+    FROM scaled_series GROUP BY 1), pooled_solved
+    UNION ALL SELECT machine_id, low, high, base, w, h + 1, list_append(tail[2:12], base + list_dot_product(w, tail))
+    FROM pooled_walk WHERE h < 6""",
+    "scaled_series",
+    "pooled_solved",
+)
+oracle(
+    "forecast_pooled",
+    _forecast("lstm", "pooled_walk", "low + (high - low) * tail[12]", 22),
+    "pooled_walk",
+    "naive_for",
+    "horizon",
+)
+
 # --- policies --------------------------------------------------------------------------------
 
 _UP, _DOWN = "u > 0.75", "u < 0.40"

@@ -403,7 +403,7 @@ def _(spark, sf_dir):
     return fc.ar_order_search(series(spark, sf_dir))
 
 
-@query("forecast_pooled", 6)
+@query("forecast_pooled")
 def _(spark, sf_dir):
     return fc.predict(fc.fit_pooled(series(spark, sf_dir)), HORIZON)
 

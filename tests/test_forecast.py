@@ -130,7 +130,7 @@ def test_pooled(spark):
     for _ in range(4):
         s.append(float(np.dot(s[-12:], c[:12]) + c[12]))
     wanted = np.clip(np.array(s[60:]) * (y.max() - y.min()) + y.min(), 0, 1)
-    assert got["a"] == pytest.approx(wanted, abs=1e-3)  # the regression has a tiny penalty
+    assert got["a"] == pytest.approx(wanted, abs=1e-8)
     assert got["short"] == pytest.approx([values["short"][-1]] * 4)
     assert got["flat"] == pytest.approx([0.4] * 4)
 

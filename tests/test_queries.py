@@ -10,10 +10,6 @@ ROWS_ONLY = {
     "kmeans_clusters",
     "k_sweep",
     "pca_2d",
-    "forecast_ar",
-    "forecast_seasonal",
-    "ar_order_search",
-    "forecast_pooled",
     "forecast_hybrid",
     "model_comparison",
     "comparison_averages",
