@@ -662,29 +662,91 @@ def lagged(value: str, lags: list[int], table: str, start: int, extra: str = "")
     WINDOW w AS (PARTITION BY machine_id{extra} ORDER BY step)) WHERE step >= {start}"""
 
 
-step("naive_for", "SELECT machine_id, arg_max(y, step) AS last, count(*) AS n FROM series GROUP BY 1", "series")
-step(
-    "changes",
-    "SELECT machine_id, step, y, y - lag(y) OVER (PARTITION BY machine_id ORDER BY step) AS w FROM series",
-    "series",
-)
-step("ar_rows", lagged("w", [1, 2, 3, 4, 5], "changes", 6), "changes")
-normal_equations("ar_sums", "ar_rows", 5)
-linear_solver("ar", "ar_sums")
-step(
-    "ar_state",
-    """SELECT machine_id, list(w ORDER BY step DESC)[1:5] AS recent, arg_max(y, step) AS y FROM changes
+def least_squares(table: str, last: int, prefix: str = "") -> None:
+    """Add the AR walks over ``table`` for h = 1..last: ``{prefix}ar_walk`` and ``{prefix}seasonal_walk``."""
+    p = prefix
+    step(f"{p}naive_for", f"SELECT machine_id, arg_max(y, step) AS last, count(*) AS n FROM {table} GROUP BY 1", table)
+    step(
+        f"{p}changes",
+        f"SELECT machine_id, step, y, y - lag(y) OVER (PARTITION BY machine_id ORDER BY step) AS w FROM {table}",
+        table,
+    )
+    step(f"{p}ar_rows", lagged("w", [1, 2, 3, 4, 5], f"{p}changes", 6), f"{p}changes")
+    normal_equations(f"{p}ar_sums", f"{p}ar_rows", 5)
+    linear_solver(f"{p}ar", f"{p}ar_sums")
+    step(
+        f"{p}ar_state",
+        f"""SELECT machine_id, list(w ORDER BY step DESC)[1:5] AS recent, arg_max(y, step) AS y FROM {p}changes
     GROUP BY 1 HAVING count(*) >= 20""",
-    "changes",
-)
-step(
-    "ar_walk",
-    """SELECT machine_id, phi, 0 AS h, recent, y FROM ar_state JOIN ar_solved USING (machine_id)
+        f"{p}changes",
+    )
+    step(
+        f"{p}ar_walk",
+        f"""SELECT machine_id, phi, 0 AS h, recent, y FROM {p}ar_state JOIN {p}ar_solved USING (machine_id)
     UNION ALL SELECT machine_id, phi, h + 1, list_prepend(list_dot_product(phi, recent), recent[1:4]),
-    y + list_dot_product(phi, recent) FROM ar_walk WHERE h < 6""",
-    "ar_state",
-    "ar_solved",
-)
+    y + list_dot_product(phi, recent) FROM {p}ar_walk WHERE h < {last}""",
+        f"{p}ar_state",
+        f"{p}ar_solved",
+    )
+    step(
+        f"{p}seasonal_changes",
+        f"""SELECT *, y - lag(y, 1) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w AS w FROM {table}
+    WINDOW w AS (PARTITION BY machine_id ORDER BY step)""",
+        table,
+    )
+    step(f"{p}seasonal_rows", lagged("w", [1, 2, 3, 4, 5, 12], f"{p}seasonal_changes", 25), f"{p}seasonal_changes")
+    normal_equations(f"{p}seasonal_sums", f"{p}seasonal_rows", 6)
+    linear_solver(f"{p}seasonal", f"{p}seasonal_sums")
+    step(
+        f"{p}seasonal_state",
+        f"""SELECT machine_id, list(w ORDER BY step DESC)[1:12] AS recent, list(y ORDER BY step DESC)[1:13] AS ys
+    FROM {p}seasonal_changes GROUP BY 1 HAVING count(*) >= 20""",
+        f"{p}seasonal_changes",
+    )
+    following = "list_dot_product(phi, list_append(recent[1:5], recent[12]))"
+    step(
+        f"{p}seasonal_walk",
+        f"""SELECT machine_id, phi, 0 AS h, recent, ys FROM {p}seasonal_state JOIN {p}seasonal_solved USING (machine_id)
+    UNION ALL SELECT machine_id, phi, h + 1, list_prepend({following}, recent[1:11]),
+    list_prepend({following} + ys[1] + ys[12] - ys[13], ys[1:12]) FROM {p}seasonal_walk WHERE h < {last}""",
+        f"{p}seasonal_state",
+        f"{p}seasonal_solved",
+    )
+
+
+def pooled_regression(table: str, last: int, prefix: str = "") -> None:
+    """Add ``{prefix}pooled_walk``: one regression over all machines of ``table``."""
+    p = prefix
+    step(
+        f"{p}scaled_series",
+        f"""SELECT machine_id, step, low, high, CASE WHEN high > low THEN (y - low) / (high - low) ELSE 0 END AS s FROM (
+    SELECT *, min(y) OVER m AS low, max(y) OVER m AS high, count(*) OVER m AS n FROM {table}
+    WINDOW m AS (PARTITION BY machine_id)) WHERE n >= 22""",
+        table,
+    )
+    step(
+        f"{p}pooled_rows",
+        f"""SELECT 'all' AS pool, list_concat(x, [1.0, s]) AS z FROM (SELECT s, row_number() OVER m AS at_row,
+    list(s) OVER (PARTITION BY machine_id ORDER BY step ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS x
+    FROM {p}scaled_series WINDOW m AS (PARTITION BY machine_id ORDER BY step)) WHERE at_row > 12""",
+        f"{p}scaled_series",
+    )
+    normal_equations(f"{p}pooled_sums", f"{p}pooled_rows", 13, "pool")
+    linear_solver(f"{p}pooled", f"{p}pooled_sums")
+    step(
+        f"{p}pooled_walk",
+        f"""SELECT machine_id, low, high, phi[13] AS base, phi[1:12] AS w, 0 AS h, tail FROM (
+    SELECT machine_id, any_value(low) AS low, any_value(high) AS high,
+    list_reverse(list(s ORDER BY step DESC)[1:12]) AS tail FROM {p}scaled_series GROUP BY 1), {p}pooled_solved
+    UNION ALL SELECT machine_id, low, high, base, w, h + 1, list_append(tail[2:12], base + list_dot_product(w, tail))
+    FROM {p}pooled_walk WHERE h < {last}""",
+        f"{p}scaled_series",
+        f"{p}pooled_solved",
+    )
+
+
+least_squares("series", 6)
+pooled_regression("series", 6)
 
 
 def _forecast(strategy: str, walk: str, value: str, enough: int = 20) -> str:
@@ -694,30 +756,6 @@ def _forecast(strategy: str, walk: str, value: str, enough: int = 20) -> str:
 
 
 oracle("forecast_ar", _forecast("arima", "ar_walk", "y"), "ar_walk", "naive_for", "horizon")
-step(
-    "seasonal_changes",
-    """SELECT *, y - lag(y, 1) OVER w - lag(y, 12) OVER w + lag(y, 13) OVER w AS w FROM series
-    WINDOW w AS (PARTITION BY machine_id ORDER BY step)""",
-    "series",
-)
-step("seasonal_rows", lagged("w", [1, 2, 3, 4, 5, 12], "seasonal_changes", 25), "seasonal_changes")
-normal_equations("seasonal_sums", "seasonal_rows", 6)
-linear_solver("seasonal", "seasonal_sums")
-step(
-    "seasonal_state",
-    """SELECT machine_id, list(w ORDER BY step DESC)[1:12] AS recent, list(y ORDER BY step DESC)[1:13] AS ys
-    FROM seasonal_changes GROUP BY 1 HAVING count(*) >= 20""",
-    "seasonal_changes",
-)
-_SEASONAL = "list_dot_product(phi, list_append(recent[1:5], recent[12]))"
-step(
-    "seasonal_walk",
-    f"""SELECT machine_id, phi, 0 AS h, recent, ys FROM seasonal_state JOIN seasonal_solved USING (machine_id)
-    UNION ALL SELECT machine_id, phi, h + 1, list_prepend({_SEASONAL}, recent[1:11]),
-    list_prepend({_SEASONAL} + ys[1] + ys[12] - ys[13], ys[1:12]) FROM seasonal_walk WHERE h < 6""",
-    "seasonal_state",
-    "seasonal_solved",
-)
 oracle(
     "forecast_seasonal",
     _forecast("seasonal_arima", "seasonal_walk", "ys[1]"),
@@ -751,31 +789,6 @@ oracle(
     "order_solved",
     "order_totals",
 )
-step(
-    "scaled_series",
-    """SELECT machine_id, step, low, high, CASE WHEN high > low THEN (y - low) / (high - low) ELSE 0 END AS s FROM (
-    SELECT *, min(y) OVER m AS low, max(y) OVER m AS high, count(*) OVER m AS n FROM series
-    WINDOW m AS (PARTITION BY machine_id)) WHERE n >= 22""",
-    "series",
-)
-step(
-    "pooled_rows",
-    """SELECT 'all' AS pool, list_concat(x, [1.0, s]) AS z FROM (SELECT s, step, list(s) OVER (PARTITION BY machine_id
-    ORDER BY step ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS x FROM scaled_series) WHERE step >= 12""",
-    "scaled_series",
-)
-normal_equations("pooled_sums", "pooled_rows", 13, "pool")
-linear_solver("pooled", "pooled_sums")
-step(
-    "pooled_walk",
-    """SELECT machine_id, low, high, phi[13] AS base, phi[1:12] AS w, 0 AS h, tail FROM (
-    SELECT machine_id, any_value(low) AS low, any_value(high) AS high, list_reverse(list(s ORDER BY step DESC)[1:12]) AS tail
-    FROM scaled_series GROUP BY 1), pooled_solved
-    UNION ALL SELECT machine_id, low, high, base, w, h + 1, list_append(tail[2:12], base + list_dot_product(w, tail))
-    FROM pooled_walk WHERE h < 6""",
-    "scaled_series",
-    "pooled_solved",
-)
 oracle(
     "forecast_pooled",
     _forecast("lstm", "pooled_walk", "low + (high - low) * tail[12]", 22),
@@ -784,6 +797,95 @@ oracle(
     "horizon",
 )
 
+# Routing: strategies out of simple labels (above or below average load and variability).
+
+
+def routing(table: str, prefix: str = "") -> None:
+    """Add ``{prefix}routes``: machine, workload type and strategy out of a table (machine_id, y)."""
+    p, names = prefix, ("cpu_mean", "cpu_std", "cpu_cv")
+    step(
+        f"{p}described",
+        f"""SELECT *, cpu_std / (cpu_mean + 1e-10) AS cpu_cv FROM (SELECT machine_id, avg(y) AS cpu_mean,
+    stddev_samp(y) AS cpu_std FROM {table} GROUP BY 1)""",
+        table,
+    )
+    step(
+        f"{p}marked",
+        "SELECT *, (cpu_mean > 0)::int + 2 * (cpu_cv > 0)::int AS cluster FROM (SELECT machine_id, "
+        + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in names)
+        + f" FROM {p}described)",
+        f"{p}described",
+    )
+    step(
+        f"{p}routes",
+        f"""SELECT machine_id, cluster, workload_type, {_MODEL_NAME} AS strategy FROM {p}marked JOIN (
+    SELECT cluster, {_TYPE} AS workload_type FROM (SELECT cluster, avg(cpu_mean) AS cpu_mean_mean,
+    avg(cpu_cv) AS cpu_cv_mean FROM {p}marked GROUP BY 1)) USING (cluster)""",
+        f"{p}marked",
+    )
+
+
+def routed_forecast(name: str, table: str, last: int, routes: str, prefix: str = "") -> None:
+    """Add ``name`` (machine_id, strategy, h, y_pred): every machine by its own method."""
+    p = prefix
+    step(
+        f"{p}bursty",
+        f"SELECT machine_id, step, y FROM {table} JOIN {routes} USING (machine_id) WHERE strategy = 'lstm'",
+        table,
+        routes,
+    )
+    pooled_regression(f"{p}bursty", last, f"{p}bursty_")
+    step(
+        name,
+        f"""SELECT machine_id, strategy, h, y_pred FROM {routes} JOIN (
+    SELECT machine_id, 'arima' AS strategy, h, least(1, greatest(0, y)) AS y_pred FROM {p}ar_walk
+    UNION ALL SELECT machine_id, 'seasonal_arima', h, least(1, greatest(0, ys[1])) FROM {p}seasonal_walk
+    UNION ALL SELECT machine_id, 'lstm', h, least(1, greatest(0, low + (high - low) * tail[12])) FROM {p}bursty_pooled_walk
+    UNION ALL SELECT machine_id, 'conservative', h, level FROM (SELECT machine_id, quantile_cont(y, 0.75) AS level
+        FROM {table} GROUP BY 1), (SELECT unnest(range(1, {last + 1})) AS h)
+    UNION ALL SELECT machine_id, unnest(['arima', 'seasonal_arima']), h, last FROM {p}naive_for,
+        (SELECT unnest(range(1, {last + 1})) AS h) WHERE n < 20
+    UNION ALL SELECT machine_id, 'lstm', h, last FROM {p}naive_for,
+        (SELECT unnest(range(1, {last + 1})) AS h) WHERE n < 22)
+    USING (machine_id, strategy) WHERE h > 0""",
+        routes,
+        table,
+        f"{p}ar_walk",
+        f"{p}seasonal_walk",
+        f"{p}bursty_pooled_walk",
+        f"{p}naive_for",
+    )
+
+
+routing("series")
+routed_forecast("routed", "series", 6, "routes")
+oracle("forecast_routed", f"SELECT machine_id, strategy, h::int AS h, {r('y_pred', 'y_pred')} FROM routed", "routed")
+step(
+    "cmp_split",
+    """SELECT *, step + 1 - cut AS h FROM (SELECT *, n * 0.8::double AS part, floor(n * 0.8::double)::bigint AS cut FROM (
+    SELECT *, count(*) OVER (PARTITION BY machine_id) AS n FROM series) WHERE n >= 50)""",
+    "series",
+)
+step("cmp_train", "SELECT machine_id, step, y FROM cmp_split WHERE h <= 0", "cmp_split")
+step("cmp_test", "SELECT machine_id, h, y FROM cmp_split WHERE h > 0", "cmp_split")
+least_squares("cmp_train", 40, "cmp_")
+pooled_regression("cmp_train", 40, "cmp_")
+routed_forecast("cmp_routed", "cmp_train", 40, "routes", "cmp_")
+oracle(
+    "comparison_routed",
+    f"""SELECT machine_id, workload_type, strategy AS hybrid_strategy,
+    {', '.join(r(f'sqrt(avg(pow(a.y - {v}, 2)))', f'{n}_rmse', 6) + ', ' + r(f'avg(abs((a.y - {v}) / (a.y + 1e-10))) * 100', f'{n}_mape', 6) for n, v in (('arima', 'arima'), ('lstm', 'lstm'), ('hybrid', 'y_pred')))}
+    FROM cmp_test a
+    JOIN (SELECT machine_id, h, least(1, greatest(0, y)) AS arima FROM cmp_ar_walk) USING (machine_id, h)
+    JOIN (SELECT machine_id, h, least(1, greatest(0, low + (high - low) * tail[12])) AS lstm FROM cmp_pooled_walk)
+    USING (machine_id, h) JOIN cmp_routed USING (machine_id, h) JOIN routes USING (machine_id, strategy) GROUP BY 1, 2, 3""",
+    "cmp_test",
+    "cmp_ar_walk",
+    "cmp_pooled_walk",
+    "cmp_routed",
+    "routes",
+)
+
 # --- policies --------------------------------------------------------------------------------
 
 _UP, _DOWN = "u > 0.75", "u < 0.40"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from headroom.functions import metrics as M
 from headroom.functions.features import over_provisioning_columns, temporal_features, workload_features
@@ -81,10 +81,9 @@ def features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 def quadrants(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Scaled features with a simple label: above or below average load and variability."""
+    """Scaled features with the simple label."""
     table, names = features(spark, sf_dir)
-    label = (F.col("cpu_mean") > 0).cast("int") + 2 * (F.col("cpu_cv") > 0).cast("int")
-    return table.withColumn("cluster", label), names
+    return table.withColumn("cluster", quadrant()), names
 
 
 def density_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -97,6 +96,19 @@ def split_series(spark: SparkSession, sf_dir: str, steps: int | None = 2) -> tup
     return split.filter("part = 'train'").drop("part", "h"), split.filter("part = 'test'")
 
 
+def quadrant() -> Column:
+    """A simple label out of scaled features: above or below average load and variability."""
+    return (F.col("cpu_mean") > 0).cast("int") + 2 * (F.col("cpu_cv") > 0).cast("int")
+
+
+def simple_strategies(table: DataFrame) -> DataFrame:
+    """Strategies of the machines of a series, routed by the simple label."""
+    described = win.machine_profiles(table.select("machine_id", F.col("y").alias("average_usage_mean")))
+    names = available_features(described.columns)
+    marked = scaled_features(described).withColumn("cluster", quadrant())
+    return cluster.assign_strategies(marked, cluster.cluster_stats(marked, names))
+
+
 def series_strategies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     table = shared_series(spark, sf_dir)
     described = win.machine_profiles(table.select("machine_id", F.col("y").alias("average_usage_mean")))
@@ -414,6 +426,18 @@ def _(spark, sf_dir):
     return fc.predict(fc.fit_hybrid(table, strategies), HORIZON)
 
 
+@query("forecast_routed")
+def _(spark, sf_dir):
+    table = shared_series(spark, sf_dir)
+    return fc.predict(fc.fit_hybrid(table, simple_strategies(table)), HORIZON)
+
+
+@query("comparison_routed", 6)
+def _(spark, sf_dir):
+    table = shared_series(spark, sf_dir)
+    return exp.compare_models(table, simple_strategies(table))[1]
+
+
 @query("forecast_default")
 def _(spark, sf_dir):
     # machines whose series is too short to be fitted get the default
