@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
@@ -60,6 +60,9 @@ def machine_types(
     return assign_strategies(labels, stats, key), stats
 
 
+Types = Callable[[DataFrame, Settings], tuple[DataFrame, DataFrame]]
+
+
 def observed_windows(trace: DataFrame, ties: Sequence[str], minutes: int) -> DataFrame:
     """Cleaned and windowed trace, staged for the steps that share it.
 
@@ -70,9 +73,9 @@ def observed_windows(trace: DataFrame, ties: Sequence[str], minutes: int) -> Dat
     return stage(window_aggregate(clean_trace(trace, ties), minutes), "windows")
 
 
-def _forecast(windowed: DataFrame, s: Settings) -> dict[str, DataFrame]:
+def _forecast(windowed: DataFrame, s: Settings, types: Types) -> dict[str, DataFrame]:
     profiles = machine_profiles(windowed)
-    strategies, stats = machine_types(profiles, s)
+    strategies, stats = types(profiles, s)
     strategies = stage(strategies, "strategies")
 
     series = usage_series(windowed)
@@ -116,13 +119,16 @@ def full_experiment(
     return experiment_on_windows(windowed, settings)
 
 
-def experiment_on_windows(windowed: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
+def experiment_on_windows(
+    windowed: DataFrame, settings: Settings = Settings(), types: Types = machine_types
+) -> dict[str, DataFrame]:
     """Result tables: comparison, prediction_metrics, counts, cluster tables, models, forecasts, capacities.
 
     Models are fitted on the train part of each series and scored on the steps
-    right after it; baselines run per machine on the same steps.
+    right after it; baselines run per machine on the same steps.  ``types``
+    gives strategies and cluster statistics for the profiles.
     """
-    tables = _forecast(windowed, settings)
+    tables = _forecast(windowed, settings, types)
     proposed = _proposed(tables["forecasts"], settings.policy)
     baselines = cap.baseline_capacities(tables["test"], settings.autoscaler, order="h")
     capacities = stage(baselines.unionByName(proposed.drop("y_pred")), "capacities")

@@ -1210,3 +1210,60 @@ oracle(
     f"SELECT machine_id, {r('cpu_mean * (1 + cpu_cv)', 'capacity')} FROM profiles",
     "profiles",
 )
+
+# --- the experiment on routed machines -------------------------------------------------------
+
+step("cleaned_fine", _windowed("cleaned", 5), "cleaned")
+step(
+    "exp_series",
+    """SELECT machine_id, row_number() OVER (PARTITION BY machine_id ORDER BY time) - 1 AS step,
+    average_usage_mean AS y FROM cleaned_fine""",
+    "cleaned_fine",
+)
+step(
+    "exp_split",
+    """SELECT *, step + 1 - cut AS h FROM (SELECT *, floor(n * 0.8::double)::bigint AS cut FROM (
+    SELECT *, count(*) OVER (PARTITION BY machine_id) AS n FROM exp_series) WHERE n >= 6) WHERE step + 1 - cut <= 2""",
+    "exp_series",
+)
+step("exp_train", "SELECT machine_id, step, y FROM exp_split WHERE h <= 0", "exp_split")
+step("exp_test", "SELECT machine_id, h - 1 AS step, h, y FROM exp_split WHERE h > 0", "exp_split")
+routing("exp_series", "exp_")
+least_squares("exp_train", 2, "exp_")
+routed_forecast("exp_routed", "exp_train", 2, "exp_routes", "exp_")
+step("exp_forecast", "SELECT machine_id, h, y, y_pred FROM exp_test JOIN exp_routed USING (machine_id, h)", "exp_test", "exp_routed")
+step(
+    "exp_replay",
+    f"""SELECT machine_id, 0::bigint AS h, arg_max(y, step) * 1.3::double AS cap, NULL::double AS y FROM exp_train GROUP BY 1
+    UNION ALL SELECT machine_id, h, {_next()}, y FROM (SELECT t.machine_id, f.h, f.y, f.y_pred AS p,
+    f.y_pred / (t.cap + 1e-10) AS u, t.cap FROM exp_replay t JOIN exp_forecast f
+    ON f.machine_id = t.machine_id AND f.h = t.h + 1)""",
+    "exp_train",
+    "exp_forecast",
+)
+step("exp_scaler", _threshold("exp_scaler", "exp_test", _MEDIAN, "y * 1.2::double, ", 3), "exp_test")
+step(
+    "exp_methods",
+    f"""SELECT machine_id, 'static' AS strategy, max(y) OVER (PARTITION BY machine_id) * 1.2::double AS capacity, y AS usage
+    FROM exp_test
+    UNION ALL SELECT machine_id, 'threshold', cap, y FROM exp_scaler WHERE step >= 0
+    UNION ALL SELECT machine_id, 'moving_average', greatest(({_MOVING}) * 1.2::double, 0.1::double), y FROM exp_test
+    UNION ALL SELECT machine_id, 'proposed', cap, y FROM exp_replay WHERE h > 0""",
+    "exp_test",
+    "exp_scaler",
+    "exp_replay",
+)
+oracle(
+    "experiment_routed",
+    f"""SELECT upper(strategy[1:1]) || strategy[2:] AS method, sla_violations,
+    {rs('total_cost cost_reduction_pct utilization_pct sla_violation_rate rmse mae mape', 6)} FROM (
+    SELECT *, {_saving('strategy')} FROM (SELECT strategy, sum(cost) AS total_cost,
+    sum(CASE WHEN strategy = 'static' THEN flat ELSE used END * n) / sum(n) * 100 AS utilization_pct,
+    sum(late)::bigint AS sla_violations, sum(late) / sum(n) * 100 AS sla_violation_rate FROM (
+    SELECT machine_id, strategy, {_COST} AS cost, {_USE} AS used, avg(usage) / max(capacity) AS flat,
+    count(*) FILTER ({_LATE}) AS late, count(*) AS n FROM exp_methods GROUP BY 1, 2) GROUP BY 1)),
+    (SELECT sqrt(avg(pow(y - y_pred, 2))) AS rmse, avg(abs(y - y_pred)) AS mae,
+    coalesce(avg(abs((y - y_pred) / y)) FILTER (y <> 0) * 100, 'infinity'::double) AS mape FROM exp_forecast)""",
+    "exp_methods",
+    "exp_forecast",
+)

@@ -101,12 +101,17 @@ def quadrant() -> Column:
     return (F.col("cpu_mean") > 0).cast("int") + 2 * (F.col("cpu_cv") > 0).cast("int")
 
 
+def simple_types(described: DataFrame, _settings: exp.Settings) -> tuple[DataFrame, DataFrame]:
+    """Strategies and cluster statistics with the simple label in place of a fitted one."""
+    marked = scaled_features(described).withColumn("cluster", quadrant())
+    stats = cluster.cluster_stats(marked, available_features(described.columns))
+    return cluster.assign_strategies(marked, stats), stats
+
+
 def simple_strategies(table: DataFrame) -> DataFrame:
     """Strategies of the machines of a series, routed by the simple label."""
     described = win.machine_profiles(table.select("machine_id", F.col("y").alias("average_usage_mean")))
-    names = available_features(described.columns)
-    marked = scaled_features(described).withColumn("cluster", quadrant())
-    return cluster.assign_strategies(marked, cluster.cluster_stats(marked, names))
+    return simple_types(described, exp.Settings())[0]
 
 
 def series_strategies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -650,6 +655,12 @@ def _(spark, sf_dir):
     return exp.experiment_summary(exp.full_experiment(usage_trace(spark, sf_dir), TIES))
 
 
+@query("experiment_routed", 6)
+def _(spark, sf_dir):
+    windowed = exp.observed_windows(usage_trace(spark, sf_dir), TIES, 5)
+    return exp.experiment_summary(exp.experiment_on_windows(windowed, types=simple_types))
+
+
 @query("cleaned_costs", 6)
 def _(spark, sf_dir):
     return flagship(spark, sf_dir)
