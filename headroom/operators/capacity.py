@@ -9,6 +9,7 @@ state of a few numbers, so no machine is ever held in memory as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -175,14 +176,12 @@ def policy_fold(
     inputs = [predicted, start, *(thresholds or ())]
 
     def begin(row):
-        return row[1]
-
-    def step(capacity, row):
-        p = settings
-        if thresholds is not None:
-            p = Policy(row[2], row[3], p.factor, p.floor, p.ceiling, p.guard, p.start)
-        after, action, confidence = policy_step(capacity, row[0], p)
-        return after, (capacity, action, after, confidence)
+        return row[1], replace(settings, up=row[2], down=row[3]) if thresholds else settings
+
+    def step(state, row):
+        capacity, policy = state
+        after, action, confidence = policy_step(capacity, row[0], policy)
+        return (after, policy), (capacity, action, after, confidence)
 
     outputs = [
         ("current_capacity", "double"),

@@ -70,17 +70,19 @@ def read_trace_csv(
     text_metrics: Sequence[str] = METRIC_COLUMNS,
     time_unit: str = "auto",
     columns: Sequence[str] | None = None,
+    skip_bad_files: bool = False,
 ) -> DataFrame:
-    """Read CSV files or globs with one header; unreadable files are skipped.
+    """Read CSV files or globs with one header.
 
     ``columns`` gives the header where it is known, which avoids a look at the
-    first file.  Raises if no path matches.
+    first file.  Raises if no path matches, or if a file cannot be read or has
+    another header: such files belong in a group of their own
+    (``read_trace_groups``), or are left out with ``skip_bad_files``.
     """
-    reader = spark.read.option("header", True).option("ignoreCorruptFiles", True).option("mode", "PERMISSIVE")
-    reader = reader.option("multiLine", False).option("escape", '"')
+    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
+    reader = reader.option("ignoreCorruptFiles", skip_bad_files)
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-        reader = reader.option("enforceSchema", False)
     return type_trace(reader.csv(paths if isinstance(paths, str) else list(paths)), text_metrics, time_unit)
 
 
@@ -90,8 +92,8 @@ def read_trace_groups(spark: SparkSession, groups: Sequence[str | Sequence[str]]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_trace_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("ignoreCorruptFiles", True).parquet(path).dropna(subset=["time"])
+def read_trace_parquet(spark: SparkSession, path: str, skip_bad_files: bool = False) -> DataFrame:
+    return spark.read.option("ignoreCorruptFiles", skip_bad_files).parquet(path).dropna(subset=["time"])
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> list[str]:

@@ -50,6 +50,21 @@ def test_groups_with_other_headers(spark, tmp_path):
     assert rows["a"]["maximum_usage"] is None and rows["b"]["maximum_usage"] == 0.9
 
 
+def test_other_header_in_one_group(spark, tmp_path):
+    write(tmp_path / "a.csv", "machine_id,time,average_usage\na,1700000000,0.1\n")
+    write(tmp_path / "b.csv", "time,machine_id,average_usage\n1700000000,b,0.9\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        trace.read_trace_csv(spark, str(tmp_path / "*.csv"), time_unit="s").collect()
+    rest = trace.read_trace_csv(spark, str(tmp_path / "*.csv"), time_unit="s", skip_bad_files=True)
+    assert rest.count() == 1
+
+
+def test_known_header(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "machine_id,time,average_usage\na,1700000000,0.1\n")
+    df = trace.read_trace_csv(spark, path, columns=["machine_id", "time", "average_usage"])
+    assert df.first()["average_usage"] == 0.1
+
+
 def test_no_file_matches(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         trace.read_trace_csv(spark, str(tmp_path / "*.csv")).collect()
