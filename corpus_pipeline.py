@@ -1,24 +1,60 @@
-"""The text operators as one pipeline over ``documents``."""
+"""The text operators as one pipeline over ``documents``.
+
+Stages take (spark, docs, sf_dir) and return a DataFrame, which is written as
+Parquet and read again as the next one's documents.  All but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headroom.llm import exact
+from headroom.llm import exact, language, mixing, neardup, packing
 from headroom.session import stage
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go."""
+    return language.keep_identified(docs)
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document with the smallest id stays."""
+    return neardup.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are taken to their target weights; a document taken twice is there twice."""
+    return mixing.mixed_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as pieces of token sequences of at most 1024 tokens."""
+    return packing.pack_documents(docs, TOKENIZER)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+# learned models, sketches and tokenizers have no SQL form; tests compare with brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, function) in enumerate(STAGES):
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{k}-{name.replace(' ', '-')}")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

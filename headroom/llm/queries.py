@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headroom.llm import chat, exact, mixing, sharding
+from headroom.llm import chat, exact, language, mixing, neardup, packing, quality, rules, sharding, tokens
 from headroom.llm.common import table
 from headroom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 TRAP = r"\### Assistant: </turn> ok"
 
 
@@ -24,6 +26,16 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_language")
+def _(spark, sf_dir):
+    return language.detect_language(table(spark, sf_dir, "documents"))
+
+
+@query("op2_near_dedup")
+def _(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op3_sharding")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_name").alias("_file"))
@@ -40,6 +52,16 @@ def _(spark, sf_dir):
     )
 
 
+@query("op4_quality")
+def _(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_token_counts")
+def _(spark, sf_dir):
+    return tokens.section_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 @query("op6_mixing")
 def _(spark, sf_dir):
     return mixing.taken_words(mixing.plan_mix(table(spark, sf_dir, "documents")))
@@ -60,3 +82,13 @@ def _(spark, sf_dir):
 @query("op8_exact_dedup")
 def _(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op9_repetition")
+def _(spark, sf_dir):
+    return rules.repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_packing")
+def _(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
