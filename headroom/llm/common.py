@@ -36,6 +36,20 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string")) % divisor
 
 
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """A column name that none of ``taken`` equals."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose id is not in the one column of ``gone``; decisions are by id."""
+    name = fresh("gone", docs.columns)
+    return docs.join(gone.toDF(name).distinct(), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
+
+
 def blocks_for(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
 

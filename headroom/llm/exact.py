@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from headroom.llm.common import lower_ascii
+from headroom.llm.common import lower_ascii, without
 from headroom.session import stage
 
 
@@ -52,5 +52,4 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The documents that stay, whole, with the columns they came with."""
-    gone = exact_duplicates(docs, keep).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, exact_duplicates(docs, keep).filter(~F.col("kept")).select("doc_id"))

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from headroom.llm.common import id_remainder
+from headroom.llm.common import id_remainder, without
 
 SAMPLE_ROWS = 30_000
 MODEL_WORDS = 60_000
@@ -88,7 +88,10 @@ def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
 
 def _log_frequencies(found: pd.DataFrame, langs: list[str], totals: np.ndarray) -> np.ndarray:
     """(units, languages): log frequency against the mean over languages."""
-    counts = np.array([[by.get(x, 0) for x in langs] for by in found["by_lang"]], dtype=float).reshape(-1, len(langs))
+    counts = np.array([[by.get(x, 0) for x in langs] for by in found["by_lang"]], dtype=float)
+    counts = counts.reshape(len(found), len(langs))
+    if not counts.size:
+        return counts.astype(np.float32)
     logs = np.log((counts + SMOOTHING) / (totals + SMOOTHING * (len(found) + 1)))
     return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
@@ -225,6 +228,4 @@ def detect_language(docs: DataFrame, model: dict | None = None, **settings) -> D
 def keep_identified(docs: DataFrame, min_score: float = 0.0, **settings) -> DataFrame:
     """The documents whose language is told, whole; `und` and scores below ``min_score`` go."""
     found = detect_language(docs, **settings)
-    rejected = found.filter((F.col("lang_pred") == "und") | (F.col("score") < min_score))
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id"))

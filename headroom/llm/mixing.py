@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headroom.llm.common import blocks_for, n_words, running_totals
 from headroom.session import stage
@@ -93,10 +93,19 @@ def permuted(df: DataFrame, position: str, out: str, seed: int) -> DataFrame:
     return df.withColumn(out, F.when(F.col("_cell") < number, F.col("_cell")).otherwise(lost)).drop("_cell")
 
 
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))  # null comes last
+
+
+def copy_number() -> Column:
+    """Tells rows that share an id apart; equal rows are interchangeable."""
+    return F.row_number().over(Window.partitionBy("doc_id").orderBy(source_key(), F.xxhash64("text")))
+
+
 class Mix:
     """A planned mix: ``rows`` of documents, ``sources``, and the taken ``blocks``.
 
-    rows: doc_id, _source, size, _start (words of the source before it)
+    rows: doc_id, _copy, _source, size, _start (words of the source before it)
     sources: _source, source_size, target, _number (of blocks), _draws
     slots: _source, shard, slot (counting up through all shards), block
     """
@@ -104,8 +113,8 @@ class Mix:
     def __init__(self, docs: DataFrame, block_words: int, shards: int, volume: float, most: float, seed: int):
         spark = docs.sparkSession
         self.block_words = block_words
-        key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))  # null comes last
-        slim = stage(docs.select("doc_id", key.alias("_key"), n_words(F.col("text")).alias("size")), "word-counts")
+        slim = docs.select("doc_id", source_key().alias("_key"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"))
+        slim = stage(slim, "word-counts")
         # one row per source; Spark compares strings by their bytes, as code points are ordered
         found = slim.groupBy("_key").agg(F.sum("size"), F.count(F.lit(1))).orderBy(F.col("_key") == "~", "_key").collect()
         sizes = [r[1] for r in found]
@@ -124,9 +133,11 @@ class Mix:
         for k in range(shards):
             drawn += [(i, k, int(before[k, i]), int(counts[k, i])) for i in range(len(found)) if counts[k, i]]
         self.drawn = spark.createDataFrame(drawn, "_source int, shard int, _first long, _count long")
-        keyed = slim.join(F.broadcast(self.sources.select("_key", "_source")), "_key").drop("_key")
+        numbered = F.row_number().over(Window.partitionBy("doc_id").orderBy("_key", "_text"))
+        keyed = slim.withColumn("_copy", numbered).join(F.broadcast(self.sources.select("_key", "_source")), "_key")
+        keyed = stage(keyed.select("doc_id", "_copy", "_source", "size"), "sized")
         blocks = blocks_for(sum(r[2] for r in found), BLOCK_ROWS)
-        self.rows = running_totals(keyed, ["_source"], ["doc_id", "size"], {"_start": F.col("size")}, blocks).drop("_block")
+        self.rows = running_totals(keyed, ["_source"], ["doc_id", "_copy"], {"_start": F.col("size")}, blocks).drop("_block")
         self.seed = seed
 
     def slots(self) -> DataFrame:
@@ -143,15 +154,15 @@ class Mix:
         return permuted(slots, "_position", "block", self.seed).select("_source", "shard", "slot", "block")
 
     def pieces(self) -> DataFrame:
-        """(doc_id, _source, _start, block, _from, _words): the words of a document in each block it touches."""
+        """(doc_id, _copy, _source, _start, block, _from, _words): the words of a document in each block it touches."""
         size = F.lit(self.block_words)
         start, end = F.col("_start"), F.col("_start") + F.col("size")
         touched = F.sequence(F.floor(start / size), F.floor((end - 1) / size))
-        rows = self.rows.filter("size > 0").select("doc_id", "_source", "_start", "size", F.explode(touched).alias("block"))
+        rows = self.rows.filter("size > 0").select("doc_id", "_copy", "_source", "_start", "size", F.explode(touched).alias("block"))
         begin = F.greatest(start, F.col("block") * size)
         stop = F.least(end, (F.col("block") + 1) * size)
         return rows.select(
-            "doc_id", "_source", "_start", "block", (begin - start).alias("_from"), (stop - begin).alias("_words")
+            "doc_id", "_copy", "_source", "_start", "block", (begin - start).alias("_from"), (stop - begin).alias("_words")
         )
 
 
@@ -178,32 +189,20 @@ def plan_mix(
 def taken_words(mix: Mix) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     times = mix.slots().groupBy("_source", "block").agg(F.count(F.lit(1)).alias("_times"))
+    # a start tells the documents of a source apart, as those without words have no pieces
     taken = (
         mix.pieces()
         .join(times, ["_source", "block"])
-        .groupBy("_source", "_start", "doc_id")
+        .groupBy("_source", "_start")
         .agg(F.sum(F.col("_words") * F.col("_times")).alias("taken"))
     )
     rows = mix.rows.join(F.broadcast(mix.sources.select("_source", "source_size", "target")), "_source")
-    some = rows.filter("size > 0").join(taken.withColumnRenamed("doc_id", "_id").withColumnRenamed("_source", "_s")
-        .withColumnRenamed("_start", "_at"), (F.col("_source") == F.col("_s")) & (F.col("_start") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    some = rows.filter("size > 0").join(taken, ["_source", "_start"], "left")
     none = rows.filter("size = 0").withColumn("taken", F.lit(None).cast("long"))
     columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
     return some.select(*columns).unionByName(none.select(*columns))
 
 
-def mixed_pieces(docs: DataFrame, mix: Mix) -> DataFrame:
-    """(shard, slot, source, doc_id, piece, text): the mix itself, block by block."""
-    placed = mix.pieces().join(mix.slots(), ["_source", "block"])
-    named = placed.join(F.broadcast(mix.sources.select("_source", "_key")), "_source")
-    spans = named.select("doc_id", "shard", "slot", "_key", "_from", "_words")
-    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")).alias("_all"))
-    text = F.array_join(F.slice("_all", F.col("_from").cast("int") + 1, F.col("_words").cast("int")), " ")
-    return spans.join(words, "doc_id").select(
-        "shard", "slot", F.when(F.col("_key") != "~", F.substring("_key", 2, 2**31 - 1)).alias("source"), "doc_id", "_from", text.alias("text")
-    )
-
-
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: a row per document and pass, holding the words that pass takes.
 
@@ -219,10 +218,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     taken = (
         mix.pieces()
         .join(slots, ["_source", "block"])
-        .groupBy("doc_id", "_pass")
+        .groupBy("doc_id", "_copy", "_pass")
         .agg(F.sort_array(F.collect_list(span)).alias("_spans"), F.sum("_words").alias("_taken"))
+        .withColumnRenamed("doc_id", "_id")
     )
-    rows = docs.join(taken, "doc_id")
+    # other columns travel in one, so that their names do not matter
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select("doc_id", "text", "source", row.alias("_row")).withColumn("_copy", copy_number())
+    rows = packed.join(taken, packed["doc_id"].eqNullSafe(F.col("_id")) & (packed["_copy"] == taken["_copy"]))
     # a word with the white space before it
     units = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
     part = F.transform("_spans", lambda s: F.array_join(F.slice(units, s["at"] + 1, s["n"]), ""))
@@ -230,4 +233,4 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     whole = F.col("_taken") == n_words(F.col("text"))
     text = F.when(whole, F.col("text")).otherwise(F.col("_part"))
     replaced = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return rows.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns])
+    return rows.select(*[replaced.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -9,10 +9,11 @@ candidates.  The likelihood of a candidate pair's registers, given both set
 sizes, says whether the similarity can reach the threshold; the full sets of
 what is left are compared.
 
-Candidates are never listed pair by pair.  Each bucket of a band proposes only
-links to one of its members; what that connects is one component.  Buckets
-that still hold several components then propose again, until a last round
-lists what is left between components.
+Candidates are never listed pair by pair.  Each bucket of a band first
+proposes links to one of its members only; what that connects is one
+component.  In buckets that still hold several components, members are then
+compared across components inside tasks, a bounded block of the bucket with
+another, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from headroom.llm.common import without
 from headroom.llm.graph import components
 from headroom.llm.words import GROUP_BYTES, LOWER, MASK, Hashed, groups, mix, pieces
 from headroom.session import stage
@@ -36,9 +38,9 @@ REGISTERS = BANDS * BAND_ROWS
 BASE = 1.02
 TOP = 2**16 - 2
 SEED = 7
-SURE = 8.0
-ROUNDS = 2
+SURE = 4.0
 HEAD_ROWS = 2_000
+BLOCK_ROWS = 512
 SLICE = 1 << 14
 
 _rng = np.random.default_rng(SEED)
@@ -166,24 +168,27 @@ def score_at(j: float, n_a, n_b, above, below) -> np.ndarray:
     )
 
 
-def likely(pairs: pd.DataFrame, similarity: float) -> np.ndarray:
-    """Whether the registers of a pair leave room for the similarity.
+def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether the registers of pairs leave room for the similarity.
 
-    The pair stays unless the best estimate lies below a similarity that is
-    lower by ``SURE`` / 2 standard deviations.
+    A pair stays unless the best estimate lies below a similarity that is
+    lower by ``SURE`` standard deviations.
     """
-    a = np.frombuffer(b"".join(pairs["reg_a"]), np.uint16).reshape(-1, REGISTERS)
-    b = np.frombuffer(b"".join(pairs["reg_b"]), np.uint16).reshape(-1, REGISTERS)
-    above, below = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    low = similarity - SURE / 2 * np.sqrt(similarity * (1 - similarity) / REGISTERS)
-    return score_at(low, pairs["n_a"].to_numpy(float), pairs["n_b"].to_numpy(float), above, below) >= 0
+    j = similarity / 100
+    low = j - SURE * np.sqrt(j * (1 - j) / REGISTERS)
+    return score_at(low, n_a.astype(float), n_b.astype(float), (a > b).sum(axis=1), (a < b).sum(axis=1)) >= 0
+
+
+def _registers(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, REGISTERS)
 
 
 def _keep_likely(similarity: int):
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pairs in batches:
             if len(pairs):
-                yield pairs.loc[likely(pairs, similarity / 100), ["a", "b"]]
+                a, b = _registers(pairs["reg_a"]), _registers(pairs["reg_b"])
+                yield pairs.loc[likely(a, b, pairs["n_a"].to_numpy(), pairs["n_b"].to_numpy(), similarity), ["a", "b"]]
 
     return keep
 
@@ -258,7 +263,6 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = S
     component if their texts are equal; an empty table gives no rows; other
     columns are ignored.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n long, h1 long, h2 long, registers binary, bands array<long>"
     sketched = stage(rows.mapInArrow(_sketches(n), schema), "sketches")
@@ -270,34 +274,19 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = S
 
     # buckets with more than one class
     banded = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("_in")).filter("_in > 1").select("key")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     crowded = stage(banded.join(shared, "key"), "buckets")
-    near = crowded.select("id").distinct()
-    near = stage(near, "near")
+    near = stage(crowded.select("id").distinct(), "near")
     sketches = classes.select("id", "n", "registers").join(near, "id")
     sketches = stage(sketches, "near-sketches")
     texts = rows.join(near, rows["doc_id"] == near["id"], "left_semi")
     texts = stage(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "near-texts")
 
-    links = spark.createDataFrame([], "a long, b long")
-    tested = None
-    for turn in range(ROUNDS + 1):
-        if turn == 0:
-            open_ = crowded.withColumn("component", F.col("id"))
-        else:
-            found = components(links)
-            marked = crowded.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = marked.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-            open_ = stage(marked.join(mixed.filter("_lo < _hi").select("key"), "key"), "open-buckets")
-        pairs = proposals(open_, turn, similarity, last=turn == ROUNDS)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "proposed")
-        if turn and pairs.isEmpty():
-            break
-        chosen = candidates(pairs, sketches, similarity)
-        links = stage(links.unionByName(confirmed(chosen, texts, n, similarity)), "links")
-        tested = pairs if tested is None else stage(tested.unionByName(pairs), "tested")
+    pairs = stage(hub_pairs(crowded, similarity), "proposed")
+    links = stage(confirmed(candidates(pairs, sketches, similarity), texts, n, similarity), "links")
+    open_ = stage(open_buckets(crowded, components(links)), "open-buckets")
+    if not open_.isEmpty():
+        links = links.unionByName(links_across(open_, sketches, texts, n, similarity))
     found = components(links)
     member = classes.select("h1", "h2", "n", "id").join(found, "id", "left")
     member = member.select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
@@ -311,28 +300,141 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = S
     )
 
 
-def proposals(open_: DataFrame, turn: int, similarity: int, last: bool) -> DataFrame:
-    """(a, b), each once: links that the buckets propose.
+def hub_pairs(crowded: DataFrame, similarity: int) -> DataFrame:
+    """(a, b), each once: every bucket links its members to the one that meets most others.
 
-    In all but the last round a bucket links its members to one of them,
-    another one each round, so that there are no more pairs than rows.  The
-    last round lists the pairs between different components of a bucket,
-    which are what is left.
+    That member is the likely original of a group of copies.  There are no
+    more pairs than rows in buckets.
     """
-    if last:
-        left = open_.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        right = open_.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        wanted = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-        pairs = left.join(right, (left["key"] == right["key"]) & wanted & sizes_allow(F.col("n_a"), F.col("n_b"), similarity))
-        return pairs.select("a", "b").distinct()
-    rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-    head = F.min(F.struct(rank.alias("rank"), "id", "n", "component"))
-    heads = open_.groupBy("key").agg(head.alias("head"))
-    heads = heads.select("key", F.col("head.id").alias("a"), F.col("head.n").alias("n_a"), F.col("head.component").alias("c_a"))
-    pairs = open_.join(heads, "key").filter(
-        (F.col("id") != F.col("a")) & (F.col("component") != F.col("c_a")) & sizes_allow(F.col("n"), F.col("n_a"), similarity)
-    )
-    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    meets = crowded.groupBy("id").agg(F.sum("members").alias("meets"))
+    head = F.min(F.struct((-F.col("meets")).alias("rank"), "id", "n")).alias("head")
+    heads = crowded.join(meets, "id").groupBy("key").agg(head)
+    heads = heads.select("key", F.col("head.id").alias("a"), F.col("head.n").alias("n_a"))
+    pairs = crowded.join(heads, "key").filter((F.col("id") != F.col("a")) & sizes_allow(F.col("n"), F.col("n_a"), similarity))
+    return pairs.select("a", F.col("id").alias("b")).distinct()
+
+
+def open_buckets(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components, with ``component``."""
+    marked = crowded.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = marked.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    return marked.join(mixed.filter("_lo < _hi").select("key"), "key")
+
+
+def links_across(open_: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket.
+
+    A bucket's rows are dealt to blocks, and every pair of blocks is one group
+    of a bounded size, whatever the bucket holds.  Sizes, registers and bands
+    say which rows of a group have a likely partner; only their texts are
+    brought in, and links that join what the group has not joined yet go out.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    own, other = F.col("_own"), F.col("_other")
+    dealt = open_.withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    group = ["key", "_lo", "_hi"]
+    rows = dealt.select("key", F.least(own, other).alias("_lo"), F.greatest(own, other).alias("_hi"), "_own", "id", "n", "component")
+    rows = rows.join(sketches.select("id", "registers"), "id").select(*group, "_own", "id", "n", "component", "registers")
+    rows = rows.repartition(*group).sortWithinPartitions(*group)
+    schema = "key long, _lo int, _hi int, _own int, id long, n long, component long"
+    partnered = stage(rows.mapInArrow(_in_groups(_with_partner(similarity)), schema), "partnered")
+    rows = partnered.join(texts, "id").select(*group, "_own", "id", "component", "text")
+    rows = rows.repartition(*group).sortWithinPartitions(*group)
+    return stage(rows.mapInArrow(_in_groups(_linked(n, similarity)), "a long, b long").distinct(), "links-across")
+
+
+def _in_groups(kernel):
+    """A function for mapInArrow over rows sorted by their first three columns, a whole group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            keys = np.stack([table.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip(np.r_[0, cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+                yield from kernel(table.slice(a, b - a))
+            held = table.slice(cuts[-1] if len(cuts) else 0)
+        if held is not None and len(held):
+            yield from kernel(held)
+
+    return run
+
+
+def _apart(table: pa.Table) -> np.ndarray:
+    """(rows, rows): the first of two rows in order, from both blocks if there are two, of two components."""
+    own, component = (table.column(k).to_numpy() for k in ("_own", "component"))
+    if table.column("_lo")[0] != table.column("_hi")[0]:
+        different = own[:, None] < own[None, :]
+    else:
+        different = np.triu(np.ones((len(own), len(own)), dtype=bool), 1)
+    return different & (component[:, None] != component[None, :])
+
+
+def _with_partner(similarity: int):
+    """The rows of a group that may be similar to one of another component.
+
+    A pair that shares an earlier band too has met in that band's bucket.
+    """
+
+    def find(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        size = table.column("n").to_numpy()
+        smaller, larger = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+        a, b = np.nonzero(_apart(table) & (100 * smaller >= similarity * larger))
+        values = _registers(table.column("registers").to_pylist())
+        keys = band_keys(values)
+        band = int((keys[0] == table.column("key")[0].as_py()).argmax())
+        found = np.zeros(len(table), dtype=bool)
+        for at in range(0, len(a), SLICE):
+            i, j = a[at : at + SLICE], b[at : at + SLICE]
+            new = ~(keys[i, :band] == keys[j, :band]).any(axis=1)
+            i, j = i[new], j[new]
+            keep = likely(values[i], values[j], size[i], size[j], similarity)
+            found[i[keep]] = True
+            found[j[keep]] = True
+        if found.any():
+            yield from table.select(list(range(7))).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return find
+
+
+def _linked(n: int, similarity: int):
+    """Links of a group: full sets compared, one row against all it may be linked with at a time."""
+
+    def find(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        ids = table.column("id").to_numpy()
+        texts = table.column("text").combine_chunks()
+        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+        sets = list(shingle_sets(texts, n))
+        sizes = np.array([len(s) for s in sets])
+        # shingles as numbers; who holds which, sorted by shingle
+        _, number = np.unique(np.concatenate(sets), return_inverse=True)
+        holder = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(number, kind="stable")
+        by_shingle = holder[order]
+        first = np.searchsorted(number[order], np.arange(number.max() + 2))
+        ends = np.cumsum(sizes)
+        apart = _apart(table)
+        joined = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+        a, b = [], []
+        for i in range(len(sets)):
+            mine = number[ends[i] - sizes[i] : ends[i]]
+            spans = [by_shingle[first[k] : first[k + 1]] for k in mine]
+            common = np.bincount(np.concatenate(spans), minlength=len(sets))
+            near = apart[i] & (100 * common >= similarity * (sizes[i] + sizes - common))
+            for j in np.flatnonzero(near):
+                if joined[i] != joined[j]:
+                    joined[joined == joined[j]] = joined[i]
+                    a.append(ids[i])
+                    b.append(ids[j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return find
 
 
 def candidates(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
@@ -345,5 +447,4 @@ def candidates(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFr
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """The documents whole, one of every group of near duplicates."""
-    gone = near_duplicates(docs, **settings).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, near_duplicates(docs, **settings).filter("NOT kept").select("doc_id"))

@@ -55,7 +55,7 @@ def solve_transfers(old_sizes: Sequence[int], capacities: Sequence[int]) -> list
     return blocks
 
 
-def document_size(text: Column = F.col("text")) -> Column:
+def document_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
@@ -77,7 +77,7 @@ def plan_reshard(docs: DataFrame, old: str, shards: int, block_rows: int = BLOCK
     name = F.coalesce(F.concat(F.lit("/"), F.col(old)), F.lit(""))
     slim = docs.select(
         "doc_id",
-        document_size().alias("size"),
+        document_size(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         name.alias("_name"),
     )

@@ -79,9 +79,10 @@ class Hashed:
         feeds = np.flatnonzero(self.data == 0x0A)
         start = np.union1d(self.bounds[:-1][np.diff(self.bounds) > 0], feeds + 1)
         start = start[start < len(self.data)]
-        ends = np.union1d(self.bounds[1:], feeds)
-        end = ends[np.searchsorted(ends, start, side="left")]
-        return self.spans(start, end)
+        # up to the next line feed or the end of the text
+        feed = np.append(feeds, len(self.data))[np.searchsorted(feeds, start)]
+        text = np.searchsorted(self.bounds, start, side="right")
+        return self.spans(start, np.minimum(feed, self.bounds[text]))
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
