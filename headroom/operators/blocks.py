@@ -20,6 +20,7 @@ from headroom.session import stage
 
 BLOCK_ROWS = 4096
 STRIPE = 512
+CELL_DIMENSIONS = 3  # of the grid in which blocks look for their neighbours
 
 
 def distance_stripes(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
@@ -56,8 +57,6 @@ def spatial_blocks(
     """
     count = points.count()
     n = max(1, math.ceil(count / rows))
-    if n == 1:
-        return stage(points.withColumn("_block", F.lit(0)), "blocks"), 1
     widths = [width] * dims
     if width is None:
         spans = points.agg(*[F.max(F.col("x")[i]) - F.min(F.col("x")[i]) for i in range(dims)]).first()
@@ -78,10 +77,31 @@ def near_pairs(blocks: DataFrame, n: int, reach: Column, dims: int) -> DataFrame
     low = F.array(*[F.min(F.col("x")[i]) for i in range(dims)])
     high = F.array(*[F.max(F.col("x")[i]) for i in range(dims)])
     boxes = blocks.groupBy("_block").agg(low.alias("low"), high.alias("high"), F.max(reach).alias("reach"))
-    left = boxes.withColumnsRenamed({"_block": "_left"}).withColumn(
-        "_right", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    )
-    right = boxes.drop("reach").withColumnsRenamed({"_block": "_right", "low": "rlow", "high": "rhigh"})
+    boxes = stage(boxes, "boxes")
+    # cells as wide as the widest box and the furthest reach: a box lies in two of them per
+    # dimension, and in three with its reach, however many boxes there are
+    endless = F.col("reach") == float("inf")
+    used = range(min(dims, CELL_DIMENSIONS))
+    extents = [F.max(F.col("high")[i] - F.col("low")[i]) for i in used]
+    *widths, furthest = boxes.agg(*extents, F.max(F.when(~endless, F.col("reach")))).first()
+    widths = [(w + (furthest or 0.0)) or 1.0 for w in widths]
+
+    def cells(margin: Column) -> Column:
+        cell = F.array(F.array().cast("array<bigint>"))
+        for i, w in zip(used, widths, strict=True):
+            a, b = F.floor((F.col("low")[i] - margin) / w), F.floor((F.col("high")[i] + margin) / w)
+            along = F.sequence(a, b)
+            cell = F.flatten(F.transform(cell, lambda c: F.transform(along, lambda k: F.concat(c, F.array(k)))))
+        return cell
+
+    left = boxes.withColumnsRenamed({"_block": "_left"})
+    right = boxes.drop("reach").withColumn("_cell", F.explode(cells(F.lit(0.0))))
+    right = right.withColumnsRenamed({"_block": "_right", "low": "rlow", "high": "rhigh"})
+    finite = left.filter(~endless).withColumn("_cell", F.explode(cells(F.col("reach"))))
+    met = finite.join(right, "_cell").drop("_cell").dropDuplicates(["_left", "_right"])
+    # a block with fewer points than neighbours asked for looks everywhere; only the last blocks are that small
+    everywhere = left.filter(endless).withColumn("_right", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    everywhere = everywhere.join(right.drop("_cell").dropDuplicates(["_right"]), "_right")
     gap2 = F.lit(0.0)
     for i in range(dims):
         gap = F.greatest(
@@ -90,7 +110,7 @@ def near_pairs(blocks: DataFrame, n: int, reach: Column, dims: int) -> DataFrame
         gap2 = gap2 + gap * gap
     # a little slack: the exact test is done on the points
     near = gap2 <= F.col("reach") * F.col("reach") * (1 + 1e-9)
-    return left.join(right, "_right").filter(near).select("_left", "_right")
+    return met.unionByName(everywhere).filter(near).select("_left", "_right")
 
 
 def over_pairs(
@@ -207,8 +227,6 @@ def kth_distances(points: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFram
         return found.withColumn("_r", rank).filter(F.col("_r") == k).drop("_r")
 
     schema = f"id {kind}, distance double"
-    if n == 1:
-        return kth(over_pairs(blocks, blocks, kernel, schema))
     own = blocks.select("_block").distinct().select(F.col("_block").alias("_left"), F.col("_block").alias("_right"))
     bound = kth(over_pairs(blocks, blocks, kernel, schema, own))
     # a block with fewer than k points has no bound and looks everywhere

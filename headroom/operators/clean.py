@@ -22,6 +22,12 @@ def drop_critical_nulls(df: DataFrame) -> DataFrame:
     return df.dropna(subset=have) if have else df
 
 
+def other_columns(df: DataFrame, *known: str) -> list[str]:
+    """All further columns that have an order, for rows alike in the known ones."""
+    no_order = (T.MapType, T.VariantType)
+    return [f.name for f in df.schema if f.name not in known and not isinstance(f.dataType, no_order)]
+
+
 def _with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """The columns that have anything to fill; one pass without a shuffle of rows."""
     if not columns:
@@ -35,7 +41,7 @@ def fill_missing(
     columns: Sequence[str] | None = None,
     key: str = "machine_id",
     time: str = "time",
-    ties: Sequence[str] = (),
+    ties: Sequence[str] | None = None,
     width: str = "1 day",
     limit: int = 5_000_000,
 ) -> DataFrame:
@@ -44,10 +50,14 @@ def fill_missing(
     After a forward fill only the rows before a machine's first known value
     are still empty, so the backward fill is that first value.  Rows are
     filled inside chunks of a machine; the last known value of each chunk is
-    carried to the following ones.
+    carried to the following ones.  Rows of one instant follow ``ties``, or
+    all other columns in turn, so that the result does not depend on how the
+    rows came in.
     """
     df = drop_critical_nulls(df)
-    skip = {key, time, *ties, *CRITICAL_COLUMNS}
+    named = set(ties or ())
+    ties = other_columns(df, key, time) if ties is None else ties
+    skip = {key, time, *CRITICAL_COLUMNS, *named}
     columns = [c for c in (columns or numeric_columns(df)) if c not in skip]
     columns = _with_nulls(df, columns)
     if not columns:
@@ -115,13 +125,13 @@ def remove_invalid(df: DataFrame) -> DataFrame:
 
 
 def outlier_bounds(
-    df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None
+    df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, **narrowing
 ) -> dict[str, tuple[float, float]]:
-    """Lower and upper bound of each column over all rows."""
+    """Lower and upper bound of each column over all rows; ``narrowing`` goes to the quantiles."""
     columns = [c for c in (columns or OUTLIER_COLUMNS) if c in df.columns]
     if method == "iqr":
         bounds = {}
-        for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75]).items():
+        for c, (q1, q3) in exact_quantiles(df, columns, [0.25, 0.75], **narrowing).items():
             bounds[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
         return bounds
     if method != "zscore":
@@ -151,10 +161,10 @@ def cap_to_bounds(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> Data
 
 
 def cap_outliers(
-    df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None
+    df: DataFrame, method: str = "iqr", columns: Sequence[str] | None = None, **narrowing
 ) -> DataFrame:
     """Cap, never drop, values outside the bounds over all rows."""
-    return cap_to_bounds(df, outlier_bounds(df, method, columns))
+    return cap_to_bounds(df, outlier_bounds(df, method, columns, **narrowing))
 
 
 def normalise_times(df: DataFrame) -> DataFrame:
@@ -167,14 +177,14 @@ def normalise_times(df: DataFrame) -> DataFrame:
     return df.withColumns(text) if text else df
 
 
-def _clean(df: DataFrame, ties: Sequence[str], method: str, **chunking):
+def _clean(df: DataFrame, ties: Sequence[str] | None, method: str, **chunking):
     filled = fill_missing(df, ties=ties, **chunking)
     valid = stage(remove_invalid(filled), "valid-rows")
     return valid, outlier_bounds(valid, method)
 
 
 def clean_trace(
-    df: DataFrame, ties: Sequence[str] = (), method: str = "iqr", **chunking
+    df: DataFrame, ties: Sequence[str] | None = None, method: str = "iqr", **chunking
 ) -> DataFrame:
     """Fill, remove invalid rows, cap outliers, normalise timestamps.
 
@@ -193,7 +203,7 @@ def _nulls(columns: Sequence[str]) -> Column:
 
 
 def cleaning_report(
-    df: DataFrame, ties: Sequence[str] = (), method: str = "iqr", **chunking
+    df: DataFrame, ties: Sequence[str] | None = None, method: str = "iqr", **chunking
 ) -> DataFrame:
     """How many cells and rows each cleaning stage touched: (metric, value)."""
     numeric = numeric_columns(df)

@@ -108,7 +108,7 @@ def dbscan(
     kind = dict(points.dtypes)["id"]
     distinct = points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
     blocks, n = spatial_blocks(distinct, dims, eps, rows)
-    pairs = stage(near_pairs(blocks, n, F.lit(eps), dims), "block-pairs") if n > 1 else None
+    pairs = stage(near_pairs(blocks, n, F.lit(eps), dims), "block-pairs")
 
     def count(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         weights, found = other["w"].to_numpy(), []
@@ -134,11 +134,9 @@ def dbscan(
         }
         return pd.DataFrame(edges, dtype=object)
 
-    upper = pairs.filter("_left <= _right") if n > 1 else None
+    upper = pairs.filter("_left <= _right")
     stars = stage(over_pairs(core, core, connect, f"id {kind}, root {kind}", upper).distinct(), "stars")
-    # one block already holds whole components
-    one = stars.groupBy("root").agg(F.min("id").alias("label")).join(stars, "root").select("id", "label").distinct()
-    labels = _components(stars) if n > 1 else one
+    labels = _components(stars)
     # components are named by their smallest core id
     core = core.join(labels, "id")
 
@@ -161,6 +159,11 @@ def dbscan(
     return stage(found, "dbscan")
 
 
+def density_sizes(labels: DataFrame) -> DataFrame:
+    """Points of every cluster and of the noise: (cluster, size)."""
+    return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
 def noise_counts(labels: DataFrame) -> DataFrame:
     """Clusters, noise points and their share: one row."""
     noise = F.count_if(F.col("cluster") == NOISE)

@@ -13,7 +13,7 @@ terms; their numbers differ from those estimators.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ from headroom.operators.windows import lag_sequences
 from headroom.params import Forecasting
 from headroom.session import stage
 
+SCORED_MACHINES = 2_000  # scored side by side
+SCORED_STEPS = 256  # before rows leave a task
 MODEL_COLUMNS = ("machine_id", "strategy", "intercept", "weights", "tail", "clip_each", "clip_end")
 
 
@@ -66,31 +68,57 @@ def _one() -> Column:
 # --- scoring -------------------------------------------------------------------------
 
 
-def predict(models: DataFrame, steps: int | str, key: str = "machine_id") -> DataFrame:
-    """(machine, strategy, h, y_pred) for h = 1..steps; ``steps`` may name a column."""
-    horizon = F.lit(steps) if isinstance(steps, int) else F.col(steps)
-    size = F.size("weights")
-
-    def extend(values: Column, _h: Column) -> Column:
-        recent = F.slice(values, F.size(values) - size + 1, size)
-        products = F.zip_with(F.col("weights"), recent, lambda w, v: w * v)
-        following = F.col("intercept") + F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
-        limited = F.least(F.lit(1.0), F.greatest(F.lit(0.0), following))
-        return F.concat(values, F.array(F.when(F.col("clip_each"), limited).otherwise(following)))
+def predict(models: DataFrame, steps: int | str, key: str = "machine_id", carry: Sequence[str] = ()) -> DataFrame:
+    """(machine, strategy, h, y_pred[, carried columns]) for h = 1..steps; ``steps`` may name a column.
 
-    path = F.aggregate(F.sequence(F.lit(1), horizon), F.col("tail"), extend)
-    ahead = F.slice(path, size + 1, horizon)
-    limited = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("y")))
-    return (
-        models.filter(horizon >= 1)
-        .select(key, "strategy", "clip_end", F.posexplode(ahead).alias("at", "y"))
-        .select(
-            key,
-            "strategy",
-            (F.col("at") + 1).alias("h"),
-            F.when(F.col("clip_end"), limited).otherwise(F.col("y")).alias("y_pred"),
-        )
-    )
+    A batch of machines is one matrix of last values; every step is one numpy
+    operation over all of them, so the work is linear in the horizon.
+    """
+    horizon = F.lit(steps) if isinstance(steps, int) else F.col(steps)
+    names = [key, "strategy", *carry]
+    kinds = dict(models.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "h int", "y_pred double"])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SCORED_MACHINES):
+                part = batch.iloc[at : at + SCORED_MACHINES]
+                last = part["_horizon"].to_numpy()
+                for first, ahead in _ahead(part, int(last.max())):
+                    wanted = first + np.arange(ahead.shape[1]) < last[:, None]
+                    machine, step = np.nonzero(wanted)
+                    found = part[names].iloc[machine].reset_index(drop=True)
+                    yield found.assign(h=(first + step + 1).astype(np.int32), y_pred=ahead[machine, step])
+
+    used = [*names, "intercept", "weights", "tail", "clip_each", "clip_end", horizon.cast("int").alias("_horizon")]
+    return models.filter(horizon >= 1).select(*used).mapInPandas(walk, schema)
+
+
+def _ahead(models: pd.DataFrame, steps: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(steps before, machines x steps) in slices of the horizon; the last values are a ring."""
+    size = max(models["weights"].map(len))
+    weights, recent = (np.zeros((len(models), size)) for _ in range(2))
+    for i, (w, t) in enumerate(zip(models["weights"], models["tail"], strict=True)):
+        weights[i, size - len(w) :], recent[i, size - len(w) :] = w, np.asarray(t, dtype=float)[len(t) - len(w) :]
+    # weights twice over, so that a ring read from any position is one slice of them
+    weights = np.concatenate([weights, weights], axis=1)
+    intercept = models["intercept"].to_numpy(dtype=float)
+    each, end = models["clip_each"].to_numpy(dtype=bool), models["clip_end"].to_numpy(dtype=bool)
+    for first in range(0, steps, SCORED_STEPS):
+        out = np.empty((len(models), min(SCORED_STEPS, steps - first)))
+        for k in range(out.shape[1]):
+            oldest = (first + k) % size
+            following = intercept + np.einsum("ij,ij->i", weights[:, size - oldest : 2 * size - oldest], recent)
+            following = np.where(each, np.clip(following, 0.0, 1.0), following)
+            recent[:, oldest] = following
+            out[:, k] = following
+        yield first, np.where(end[:, None], np.clip(out, 0.0, 1.0), out)
+
+
+def predict_test(models: DataFrame, test: DataFrame, key: str = "machine_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Forecasts as far as each machine's test part (machine, h) goes."""
+    horizon = test.groupBy(key).agg(F.max("h").alias("n_test"))
+    return predict(models.join(horizon, key), "n_test", key, carry)
 
 
 def predict_machines(
@@ -108,7 +136,6 @@ def continue_from(
     models: DataFrame,
     recent: DataFrame,
     strategies: Sequence[str] = ("lstm", "weighted"),
-    longest: int = 64,
     key: str = "machine_id",
     order: str = "step",
     y: str = "y",
@@ -119,7 +146,9 @@ def continue_from(
     than its weights, or that has none, keeps the values it was fitted with.
     """
     back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    last = recent.withColumn("_back", back).filter(F.col("_back") <= longest)
+    # as many of a machine's newest values as its model has weights
+    needed = models.groupBy(key).agg(F.max(F.size("weights")).alias("_needed"))
+    last = recent.withColumn("_back", back).join(needed, key).filter(F.col("_back") <= F.col("_needed"))
     newest = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(y).alias("v")))), lambda e: e["v"])
     joined = models.join(last.groupBy(key).agg(newest.alias("_newest")), key, "left")
     size = F.size("weights")
@@ -150,9 +179,10 @@ def fit_conservative(
 
 def decay_weights(lookback: int, alpha: float, heaviest: str) -> list[float]:
     """Geometric weights that add up to 1, for values listed oldest first."""
-    keep = 1 - alpha
-    falling = alpha / (1 - keep**lookback) * np.power(keep, np.arange(lookback))
-    return list(falling if heaviest == "oldest" else falling[::-1])
+    # fixed numeric definition: alpha * (1 - alpha)^i, divided by their sum
+    weights = [alpha * (1 - alpha) ** i for i in range(lookback)]
+    weights = [w / sum(weights) for w in weights]
+    return weights if heaviest == "oldest" else weights[::-1]
 
 
 def fit_weighted(

@@ -42,7 +42,7 @@ def order_chunks(
 
     A chunk is one machine in one time bucket.  Buckets above ``limit`` rows
     (there are at most rows/limit of them) are cut further into ranges of
-    (key, time, ties), so that no chunk grows with the data.
+    (key, time, ties), equal rows included, so that no chunk grows with the data.
     """
     df = df.withColumn("_bucket", F.window(F.col(time), width)["start"])
     hot = df.groupBy(key, "_bucket").count().filter(F.col("count") > limit)
@@ -53,6 +53,8 @@ def order_chunks(
     if n_hot <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     slices = 2 * math.ceil(hot_rows / limit)
-    big = range_slices(df.join(hot, [key, "_bucket"], "left_semi"), [key, time, *ties], n=slices)
+    # rows alike in all of the order are told apart by their place in a written table
+    big = stage(df.join(hot, [key, "_bucket"], "left_semi"), "hot-rows").withColumn("_row", F.monotonically_increasing_id())
+    big = range_slices(big, [key, time, *ties, "_row"], n=slices).drop("_row")
     rest = df.join(hot, [key, "_bucket"], "left_anti").withColumn("_slice", F.lit(0))
     return rest.unionByName(big)

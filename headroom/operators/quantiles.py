@@ -98,9 +98,9 @@ def exact_quantiles(
     slack = 5 / ACCURACY
     while wide := [t for t in targets if t.open_rows() > rank_rows]:
         if not _narrow(df, wide, slack):
-            slack = min(1.0, slack * 4)
             if slack == 1.0:
-                break
+                raise RuntimeError("the sketch does not narrow a quantile down to rows that can be ranked")
+            slack = min(1.0, slack * 4)
 
     values = _rank(df, targets) if targets else {}
     out: dict[str, list[float]] = {}

@@ -111,13 +111,13 @@ def keep_long_series(series: DataFrame, at_least: int, key: str = "machine_id")
 def train_test_split(
     series: DataFrame,
     share: float = Forecasting.train_share,
-    test_steps: int | None = 2,
+    test_steps: int | None = None,
     key: str = "machine_id",
     order: str = "step",
 ) -> DataFrame:
     """Mark each row ``train`` or ``test`` in time order, with ``h`` = 1.. in the test part.
 
-    ``test_steps`` limits the test part; None keeps the rest of the series.
+    The test part is the rest of the series; ``test_steps`` limits it.
     """
     machine = Window.partitionBy(key)
     cut = F.floor(F.count(F.lit(1)).over(machine) * share)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,7 +39,7 @@ class Settings:
     policy: Policy = field(default_factory=Policy)
     autoscaler: Autoscaler = field(default_factory=Autoscaler)
     train_share: float = 0.8
-    steps: int = 2
+    steps: int | None = None  # only so many steps of the test part; None takes all
     min_windows: int = 6
     machines: int | None = None  # only the busiest machines; None takes all
     types_on: str = "scaled"  # or "raw": which feature means decide the workload type
@@ -63,13 +64,15 @@ def machine_types(
 Types = Callable[[DataFrame, Settings], tuple[DataFrame, DataFrame]]
 
 
-def observed_windows(trace: DataFrame, ties: Sequence[str], minutes: int) -> DataFrame:
+def observed_windows(trace: DataFrame, ties: Sequence[str] | None, minutes: int) -> DataFrame:
     """Cleaned and windowed trace, staged for the steps that share it.
 
-    Columns the windows do not use are dropped before the trace is shuffled.
+    Columns the windows do not use are dropped before the trace is shuffled,
+    unless they decide the order of rows of one instant.
     """
-    used = {"machine_id", *TIME_COLUMNS, *ties, *WINDOW_STATISTICS}
-    trace = trace.select(*[c for c in trace.columns if c in used])
+    if ties is not None:
+        used = {"machine_id", *TIME_COLUMNS, *ties, *WINDOW_STATISTICS}
+        trace = trace.select(*[c for c in trace.columns if c in used])
     return stage(window_aggregate(clean_trace(trace, ties), minutes), "windows")
 
 
@@ -88,7 +91,7 @@ def _forecast(windowed: DataFrame, s: Settings, types: Types) -> dict[str, DataF
     test = split.filter("part = 'test'").select("machine_id", "h", "y")
 
     models = stage(fc.fit_hybrid(train, strategies, s.pooled), "models")
-    forecasts = test.join(fc.predict(models, s.steps), ["machine_id", "h"])
+    forecasts = test.join(fc.predict_test(models, test), ["machine_id", "h"])
     forecasts = stage(forecasts.join(last_values(train), "machine_id"), "forecasts")
     return {
         "windowed": over_provisioning_columns(temporal_features(windowed)),
@@ -112,7 +115,7 @@ def _proposed(forecasts: DataFrame, policy: Policy) -> DataFrame:
 
 
 def full_experiment(
-    trace: DataFrame, ties: Sequence[str] = (), settings: Settings = Settings()
+    trace: DataFrame, ties: Sequence[str] | None = None, settings: Settings = Settings()
 ) -> dict[str, DataFrame]:
     """The experiment on a raw trace: clean, window, then ``experiment_on_windows``."""
     windowed = observed_windows(trace, ties, settings.window_minutes)
@@ -195,7 +198,7 @@ def threshold_sweep(
 
 
 def cluster_sweep(
-    trace: DataFrame, ks: Sequence[int], ties: Sequence[str] = (), settings: Settings = Settings()
+    trace: DataFrame, ks: Sequence[int], ties: Sequence[str] | None = None, settings: Settings = Settings()
 ) -> DataFrame:
     """The experiment for several numbers of clusters, which refit every model.
 
@@ -235,21 +238,16 @@ def compare_models(
     split = stage(split, "comparison", ("part",))
     train = split.filter("part = 'train'").drop("part", "h")
     test = split.filter("part = 'test'").select(key, "h", F.col("y").alias("actual"))
-    horizon = test.groupBy(key).agg(F.max("h").alias("n_test"))
-
-    def ahead(models: DataFrame, name: str) -> DataFrame:
-        return fc.predict(models.join(horizon, key), "n_test", key).select(key, "h", F.col("y_pred").alias(name))
-
-    values = (
-        test.join(ahead(fc.fit_ar(train), "arima"), [key, "h"])
-        .join(ahead(fc.fit_pooled(train), "lstm"), [key, "h"])
-        .join(ahead(fc.fit_hybrid(train, strategies), "hybrid"), [key, "h"])
-    )
-    values = stage(values, "comparison-values")
+    fitted = {"arima": fc.fit_ar(train), "lstm": fc.fit_pooled(train), "hybrid": fc.fit_hybrid(train, strategies)}
+    models = reduce(DataFrame.unionByName, [m.withColumn("method", F.lit(name)) for name, m in fitted.items()])
+    # all methods are scored in one pass and meet in one row per step
+    ahead = fc.predict_test(models, test, key, ["method"]).groupBy(key, "h")
+    ahead = ahead.agg(*[F.max(F.when(F.col("method") == name, F.col("y_pred"))).alias(name) for name in fitted])
+    values = stage(test.join(ahead.dropna(subset=list(fitted)), [key, "h"]), "comparison-values")
     errors = values.groupBy(key).agg(
         *[
             metric("actual", name).alias(f"{name}_{label}")
-            for name in ("arima", "lstm", "hybrid")
+            for name in fitted
             for label, metric in (("rmse", M.rmse), ("mape", M.mape_epsilon))
         ]
     )
@@ -259,14 +257,14 @@ def compare_models(
 
 def model_comparison(
     trace: DataFrame,
-    ties: Sequence[str] = (),
-    machines: int | None = 20,
+    ties: Sequence[str] | None = None,
+    machines: int | None = None,
     min_windows: int = 50,
     settings: Settings = Settings(),
 ) -> dict[str, DataFrame]:
     """The comparison from a raw trace: values, errors and average errors.
 
-    ``machines`` draws a sample of machines first; None takes all.
+    ``machines`` draws a sample of machines first.
     """
     if machines is not None:
         trace = sample_machines(trace, machines)

@@ -171,8 +171,7 @@ step(
     "split",
     """SELECT *, CASE WHEN pos <= cut THEN 'train' ELSE 'test' END AS part,
     CASE WHEN pos > cut THEN (pos - cut)::int END AS h FROM (
-    SELECT *, step + 1 AS pos, floor(count(*) OVER (PARTITION BY machine_id) * 0.8::double)::bigint AS cut FROM series)
-    WHERE pos - cut <= 2""",
+    SELECT *, step + 1 AS pos, floor(count(*) OVER (PARTITION BY machine_id) * 0.8::double)::bigint AS cut FROM series)""",
     "series",
 )
 step("train", "SELECT machine_id, step, y FROM split WHERE part = 'train'", "split")
@@ -553,6 +552,9 @@ oracle(
 _WEIGHTS = "[" + ", ".join(f"0.3::double * pow(0.7::double, {i})" for i in range(12)) + "]"
 
 
+LONGEST_TEST = 60  # walks go at least as far as the longest test part
+
+
 def _weighted(table: str, last_step: int) -> str:
     return f"""SELECT machine_id, 0 AS h, list(y ORDER BY step) AS tail, {_WEIGHTS} AS w FROM (
     SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY step DESC) AS back,
@@ -562,7 +564,7 @@ def _weighted(table: str, last_step: int) -> str:
 
 
 step("weighted", _weighted("series", 6).format(name="weighted"), "series")
-step("weighted_train", _weighted("train", 2).format(name="weighted_train"), "train")
+step("weighted_train", _weighted("train", LONGEST_TEST).format(name="weighted_train"), "train")
 step(
     "short",
     "SELECT machine_id, arg_max(y, step) AS last FROM series GROUP BY 1 HAVING count(*) < 12",
@@ -607,13 +609,13 @@ oracle(
 )
 step(
     "weighted_values",
-    """SELECT machine_id, h, tail[12] AS y_pred FROM weighted_train WHERE h > 0
+    f"""SELECT machine_id, h, y_pred FROM (SELECT machine_id, h, tail[12] AS y_pred FROM weighted_train WHERE h > 0
     UNION ALL SELECT machine_id, h, last FROM (
     SELECT machine_id, least(1, greatest(0, arg_max(y, step))) AS last FROM train GROUP BY 1 HAVING count(*) < 12),
-    horizon WHERE h <= 2""",
+    (SELECT unnest(range(1, {LONGEST_TEST + 1})) AS h)) SEMI JOIN test USING (machine_id, h)""",
     "weighted_train",
     "train",
-    "horizon",
+    "test",
 )
 oracle(
     "forecast_evaluation",
@@ -868,9 +870,9 @@ step(
 )
 step("cmp_train", "SELECT machine_id, step, y FROM cmp_split WHERE h <= 0", "cmp_split")
 step("cmp_test", "SELECT machine_id, h, y FROM cmp_split WHERE h > 0", "cmp_split")
-least_squares("cmp_train", 40, "cmp_")
-pooled_regression("cmp_train", 40, "cmp_")
-routed_forecast("cmp_routed", "cmp_train", 40, "routes", "cmp_")
+least_squares("cmp_train", LONGEST_TEST, "cmp_")
+pooled_regression("cmp_train", LONGEST_TEST, "cmp_")
+routed_forecast("cmp_routed", "cmp_train", LONGEST_TEST, "routes", "cmp_")
 oracle(
     "comparison_routed",
     f"""SELECT machine_id, workload_type, strategy AS hybrid_strategy,
@@ -1223,14 +1225,14 @@ step(
 step(
     "exp_split",
     """SELECT *, step + 1 - cut AS h FROM (SELECT *, floor(n * 0.8::double)::bigint AS cut FROM (
-    SELECT *, count(*) OVER (PARTITION BY machine_id) AS n FROM exp_series) WHERE n >= 6) WHERE step + 1 - cut <= 2""",
+    SELECT *, count(*) OVER (PARTITION BY machine_id) AS n FROM exp_series) WHERE n >= 6)""",
     "exp_series",
 )
 step("exp_train", "SELECT machine_id, step, y FROM exp_split WHERE h <= 0", "exp_split")
 step("exp_test", "SELECT machine_id, h - 1 AS step, h, y FROM exp_split WHERE h > 0", "exp_split")
 routing("exp_series", "exp_")
-least_squares("exp_train", 2, "exp_")
-routed_forecast("exp_routed", "exp_train", 2, "exp_routes", "exp_")
+least_squares("exp_train", LONGEST_TEST, "exp_")
+routed_forecast("exp_routed", "exp_train", LONGEST_TEST, "exp_routes", "exp_")
 step("exp_forecast", "SELECT machine_id, h, y, y_pred FROM exp_test JOIN exp_routed USING (machine_id, h)", "exp_test", "exp_routed")
 step(
     "exp_replay",
@@ -1267,3 +1269,160 @@ oracle(
     "exp_methods",
     "exp_forecast",
 )
+
+# --- the same results by the paths that large tables take ------------------------------------
+
+for _name, _like in (
+    ("fill_missing_hot", "fill_missing"),
+    ("time_gaps_hot", "time_gaps"),
+    ("cap_outliers_narrowed", "cap_outliers_iqr"),
+    ("silhouette_blocks", "silhouette_exact"),
+    ("dbscan_blocks", "dbscan_labels"),
+    ("k_distance_blocks", "k_distances"),
+    ("models_stored", "forecast_weighted"),
+    ("results_written", "compare_strategies"),
+):
+    ORACLES[_name] = ORACLES[_like]
+step("hours", "SELECT * REPLACE (date_trunc('hour', time)::timestamp AS time) FROM trace", "trace")
+step("hours_filled", STEPS["filled"][1].replace("FROM trace", "FROM hours"), "hours")
+oracle(
+    "fill_missing_hours",
+    f"SELECT machine_id, event_id, time, {rs('average_usage assigned_memory')} FROM hours_filled",
+    "hours_filled",
+)
+oracle(
+    "drop_critical_nulls",
+    f"""SELECT machine_id, event_id, time, {rs('average_usage')} FROM trace
+    WHERE event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 107 <> 0""",
+    "trace",
+)
+oracle(
+    "normalise_times",
+    """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN date_trunc('second', time)::timestamp END AS time,
+    date_trunc('second', time)::timestamp AS start_time, NULL::timestamp AS end_time FROM trace""",
+    "trace",
+)
+oracle("busiest_machine", "SELECT machine_id, count(*) AS n_rows FROM trace GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1", "trace")
+oracle(
+    "preview",
+    f"SELECT machine_id, event_id, time, {rs('average_usage')} FROM trace ORDER BY event_id LIMIT 5",
+    "trace",
+)
+oracle(
+    "busiest_machines_windows",
+    "SELECT machine_id, n_observations FROM profiles ORDER BY 2 DESC, 1 LIMIT 100",
+    "profiles",
+)
+
+
+def _raw(time: str = "time", memory: str = "assigned_memory", where: str = "") -> str:
+    return f"""SELECT machine_id, event_id AS instance_index, {time} AS time, {rs('average_usage maximum_usage')},
+    {r('CASE WHEN event_id % 5 <> 0 THEN resource_request END', 'resource_request')}, {r(memory, 'assigned_memory')}
+    FROM trace WHERE event_id % 13 <> 0{where}"""
+
+
+oracle("read_csv", _raw(), "trace")
+oracle("read_csv_units", _raw("CASE WHEN event_id % 3 = 0 THEN date_trunc('second', time)::timestamp ELSE time END"), "trace")
+oracle("read_groups", _raw(memory="CASE WHEN event_id % 3 = 0 THEN assigned_memory END"), "trace")
+oracle(
+    "read_parquet",
+    f"SELECT machine_id, event_id, time, {rs('average_usage')} FROM trace WHERE event_id % 13 <> 0",
+    "trace",
+)
+oracle(
+    "forecast_values_written",
+    f"SELECT machine_id, h, {r('y', 'actual')}, {rs('y_pred')} FROM test JOIN weighted_values USING (machine_id, h)",
+    "test",
+    "weighted_values",
+)
+step(
+    "step_errors",
+    """SELECT machine_id, sqrt(avg(pow(y - before, 2))) AS rmse, avg(abs(y - before)) AS mae,
+    coalesce(avg(abs((y - before) / y)) FILTER (y <> 0) * 100, 'infinity'::double) AS mape FROM one_step GROUP BY 1""",
+    "one_step",
+)
+oracle(
+    "metrics_written",
+    f"""SELECT machine_id, {rs('rmse mae mape', 6)} FROM step_errors
+    UNION ALL SELECT 'average', {r('avg(rmse)', 'rmse', 6)}, {r('avg(mae)', 'mae', 6)}, {r('avg(mape)', 'mape', 6)}
+    FROM step_errors""",
+    "step_errors",
+)
+oracle("density_sizes", "SELECT cluster, count(*) AS size FROM dbscan GROUP BY 1", "dbscan")
+step(
+    "noisy_stats",
+    f"SELECT *, {_TYPE} AS workload_type FROM (SELECT cluster - 1 AS cluster, count(*) AS size, "
+    "count(*) / (SELECT count(*) FROM quadrants)::double * 100 AS percentage, "
+    + ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in FEATURES)
+    + " FROM quadrants GROUP BY 1) WHERE cluster <> -1",
+    "quadrants",
+)
+oracle(
+    "cluster_stats_noise",
+    f"SELECT cluster, size, workload_type, {rs('percentage ' + _STAT_COLUMNS, 6)} FROM noisy_stats",
+    "noisy_stats",
+)
+oracle(
+    "strategy_noise",
+    f"""SELECT machine_id, cluster, workload_type, {_REPORT_NAME} AS prediction_strategy, {_MODEL_NAME} AS strategy FROM (
+    SELECT machine_id, q.cluster - 1 AS cluster,
+    CASE WHEN q.cluster = 0 THEN 'volatile' ELSE coalesce(s.workload_type, 'periodic') END AS workload_type
+    FROM quadrants q LEFT JOIN (SELECT * FROM noisy_stats WHERE cluster < 2) s ON s.cluster = q.cluster - 1)""",
+    "quadrants",
+    "noisy_stats",
+)
+oracle(
+    "kmeans_consistency",
+    "SELECT count(*) AS n, least(4, count(*)) AS clusters, 0::bigint AS misplaced FROM features",
+    "features",
+)
+oracle(
+    "pca_consistency",
+    f"SELECT count(*) AS n, {r('0::double', 'covariance', 6)}, {r('0::double', 'share1_error', 6)}, "
+    f"{r('0::double', 'share2_error', 6)}, true AS ordered FROM features",
+    "features",
+)
+oracle(
+    "best_k",
+    "SELECT cluster AS k FROM emb GROUP BY 1 ORDER BY avg(x[1]) DESC, 1 LIMIT 1",
+    "emb",
+)
+_CMP_MEAN = ", ".join(
+    r(f"avg({n}_{m})", f"{n}_{m}", 6) for n in ("arima", "lstm", "hybrid") for m in ("rmse", "mape")
+)
+step(
+    "cmp_errors",
+    f"""SELECT machine_id,
+    {', '.join(f'sqrt(avg(pow(a.y - {v}, 2))) AS {n}_rmse, avg(abs((a.y - {v}) / (a.y + 1e-10))) * 100 AS {n}_mape' for n, v in (('arima', 'arima'), ('lstm', 'lstm'), ('hybrid', 'y_pred')))}
+    FROM cmp_test a
+    JOIN (SELECT machine_id, h, least(1, greatest(0, y)) AS arima FROM cmp_ar_walk) USING (machine_id, h)
+    JOIN (SELECT machine_id, h, least(1, greatest(0, low + (high - low) * tail[12])) AS lstm FROM cmp_pooled_walk)
+    USING (machine_id, h) JOIN cmp_routed USING (machine_id, h) GROUP BY 1""",
+    "cmp_test",
+    "cmp_ar_walk",
+    "cmp_pooled_walk",
+    "cmp_routed",
+)
+oracle("comparison_routed_averages", f"SELECT {_CMP_MEAN} FROM cmp_errors", "cmp_errors")
+step("train_size", "SELECT machine_id, count(*) AS n FROM train GROUP BY 1", "train")
+step(
+    "continued",
+    f"""SELECT machine_id, 0 AS h, list(y ORDER BY step) AS tail, {_WEIGHTS} AS w FROM (
+    SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY step DESC) AS back FROM series)
+    JOIN train_size USING (machine_id) WHERE back <= 12 AND n >= 12 GROUP BY 1
+    UNION ALL SELECT machine_id, h + 1, list_append(tail[2:],
+    least(1, greatest(0, list_dot_product(tail, w) / list_sum(w)))), w FROM continued WHERE h < 6""",
+    "series",
+    "train_size",
+)
+oracle(
+    "continued_forecast",
+    f"""SELECT machine_id, 'weighted' AS strategy, h, {r('tail[12]', 'y_pred')} FROM continued WHERE h > 0
+    UNION ALL SELECT machine_id, 'weighted', h, {rounded('least(1, greatest(0, last))')} FROM (
+    SELECT machine_id, arg_max(y, step) AS last FROM series JOIN train_size USING (machine_id) WHERE n < 12 GROUP BY 1),
+    horizon""",
+    "continued",
+    "series",
+    "train_size",
+    "horizon",
+)

@@ -21,10 +21,19 @@ from headroom.operators import windows as win
 from headroom.operators.blocks import kth_distances
 from headroom.operators.scale import available_features, scaled_features
 from headroom.plans import experiment as exp
-from headroom.session import stage
+from headroom.session import stage, stage_path
+from headroom.sources import sinks
 from headroom.sources.adapters import points, usage_trace, windowed_usage
 from headroom.sources.sinks import average_metrics
-from headroom.sources.trace import sample_machines, trace_summary
+from headroom.sources.trace import (
+    preview,
+    read_trace_csv,
+    read_trace_groups,
+    read_trace_parquet,
+    sample_machines,
+    trace_summary,
+    validate_schema,
+)
 from headroom.streaming.threshold import threshold_by_stream
 from headroom.streaming.windows import window_aggregate_by_stream
 
@@ -91,8 +100,8 @@ def density_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return table, density.feature_points(table, names), names
 
 
-def split_series(spark: SparkSession, sf_dir: str, steps: int | None = 2) -> tuple[DataFrame, DataFrame]:
-    split = stage(win.train_test_split(series(spark, sf_dir), 0.8, steps), "split")
+def split_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    split = stage(win.train_test_split(series(spark, sf_dir), 0.8), "split")
     return split.filter("part = 'train'").drop("part", "h"), split.filter("part = 'test'")
 
 
@@ -201,6 +210,164 @@ def _(spark, sf_dir):
     return clean.cleaning_report(usage_trace(spark, sf_dir), TIES)
 
 
+@query("fill_missing_hours")
+def _(spark, sf_dir):
+    # many rows of a machine share an hour, and nothing says which comes first
+    hourly = usage_trace(spark, sf_dir).withColumn("time", F.date_trunc("hour", "time").cast("timestamp_ntz"))
+    return clean.fill_missing(hourly).select("machine_id", "event_id", "time", "average_usage", "assigned_memory")
+
+
+@query("fill_missing_hot")
+def _(spark, sf_dir):
+    filled = clean.fill_missing(usage_trace(spark, sf_dir), ties=TIES, width="10 days", limit=50)
+    return filled.select("machine_id", "event_id", "time", "average_usage", "assigned_memory")
+
+
+@query("time_gaps_hot", 4)
+def _(spark, sf_dir):
+    return win.describe_gaps(win.time_gaps(usage_trace(spark, sf_dir), width="10 days", limit=50))
+
+
+@query("cap_outliers_narrowed")
+def _(spark, sf_dir):
+    return clean.cap_outliers(usage_trace(spark, sf_dir), rank_rows=50).select(
+        "machine_id", "event_id", "average_usage", "maximum_usage", "resource_request"
+    )
+
+
+@query("drop_critical_nulls")
+def _(spark, sf_dir):
+    holes = usage_trace(spark, sf_dir).withColumns(
+        {
+            "machine_id": F.when(F.col("event_id") % 101 != 0, F.col("machine_id")),
+            "time": F.when(F.col("event_id") % 103 != 0, F.col("time")),
+            "average_usage": F.when(F.col("event_id") % 107 != 0, F.col("average_usage")),
+        }
+    )
+    return clean.drop_critical_nulls(holes).select("machine_id", "event_id", "time", "average_usage")
+
+
+@query("normalise_times")
+def _(spark, sf_dir):
+    text = F.date_format("time", "yyyy-MM-dd HH:mm:ss")
+    written = usage_trace(spark, sf_dir).withColumns(
+        {"time": F.when(F.col("event_id") % 7 == 0, "no time").otherwise(text), "start_time": text, "end_time": F.lit("")}
+    )
+    return clean.normalise_times(written).select("event_id", "time", "start_time", "end_time")
+
+
+@query("busiest_machine")
+def _(spark, sf_dir):
+    return win.busiest_machine(usage_trace(spark, sf_dir))
+
+
+@query("preview")
+def _(spark, sf_dir):
+    return preview(usage_trace(spark, sf_dir).orderBy("event_id")).select("machine_id", "event_id", "time", "average_usage")
+
+
+@query("busiest_machines_windows")
+def _(spark, sf_dir):
+    described = profiles(spark, sf_dir)
+    return win.top_machines(described, 100, "n_observations").select("machine_id", "n_observations")
+
+
+# --- readers and writers: written to the shared folder and read back --------------------
+
+
+def _as_text(trace: DataFrame, unit: str) -> DataFrame:
+    """The trace as the raw files have it: metrics as maps, lists or numbers, times as epoch values."""
+    micros = F.unix_micros(F.col("time").cast("timestamp"))
+    stamp = micros if unit == "us" else F.floor(micros / 1_000_000)
+    usage = F.col("average_usage").cast("string")
+    return trace.select(
+        "machine_id",
+        F.col("event_id").cast("string").alias("instance_index"),
+        F.when(F.col("event_id") % 13 != 0, stamp.cast("string")).alias("time"),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{'cpus': "), usage, F.lit(", 'memory': 0.5}")))
+        .otherwise(F.concat(F.lit("["), usage, F.lit("]")))
+        .alias("average_usage"),
+        F.col("maximum_usage").cast("string").alias("maximum_usage"),
+        F.when(F.col("event_id") % 5 != 0, F.col("resource_request").cast("string")).otherwise("bad").alias("resource_request"),
+        F.col("assigned_memory").cast("string").alias("assigned_memory"),
+    )
+
+
+def _written(table: DataFrame, folder: str) -> None:
+    table.write.mode("append").option("header", True).option("escape", '"').csv(folder)
+
+
+_RAW = ("machine_id", "instance_index", "time", "average_usage", "maximum_usage", "resource_request", "assigned_memory")
+_MAPS = ("average_usage",)
+
+
+@query("read_csv")
+def _(spark, sf_dir):
+    folder = stage_path(spark, "raw-trace")
+    _written(_as_text(usage_trace(spark, sf_dir), "us"), folder)
+    return validate_schema(read_trace_csv(spark, f"{folder}/*.csv", _MAPS)).select(*_RAW)
+
+
+@query("read_csv_units")
+def _(spark, sf_dir):
+    # files in microseconds and files in seconds under one glob
+    folder, trace = stage_path(spark, "raw-trace"), usage_trace(spark, sf_dir)
+    _written(_as_text(trace.filter("event_id % 3 = 0"), "s"), folder)
+    _written(_as_text(trace.filter("event_id % 3 <> 0"), "us"), folder)
+    return read_trace_csv(spark, f"{folder}/*.csv", _MAPS).select(*_RAW)
+
+
+@query("read_groups")
+def _(spark, sf_dir):
+    # the second group of files has another header
+    folder, raw = stage_path(spark, "raw-trace"), _as_text(usage_trace(spark, sf_dir), "us")
+    _written(raw.filter("instance_index % 3 = 0"), f"{folder}/a")
+    _written(raw.filter("instance_index % 3 <> 0").drop("assigned_memory"), f"{folder}/b")
+    return read_trace_groups(spark, [f"{folder}/a", f"{folder}/b"], text_metrics=_MAPS).select(*_RAW)
+
+
+@query("read_parquet")
+def _(spark, sf_dir):
+    folder = stage_path(spark, "raw-trace")
+    usage_trace(spark, sf_dir).withColumn("time", F.when(F.col("event_id") % 13 != 0, F.col("time"))).write.parquet(folder)
+    return read_trace_parquet(spark, folder).select("machine_id", "event_id", "time", "average_usage")
+
+
+@query("results_written", 6)
+def _(spark, sf_dir):
+    folder = stage_path(spark, "results")
+    comparison = compare.compare_strategies(_strategies(spark, sf_dir))
+    sinks.write_results({"comparison": comparison}, folder)
+    return spark.read.schema(comparison.schema).json(f"{folder}/comparison")
+
+
+@query("forecast_values_written")
+def _(spark, sf_dir):
+    folder = stage_path(spark, "forecast-values")
+    train, test = split_series(spark, sf_dir)
+    predicted = fc.predict_test(fc.fit_weighted(train), test).select("machine_id", "h", "y_pred")
+    values = test.select("machine_id", "h", F.col("y").alias("actual")).join(predicted, ["machine_id", "h"])
+    sinks.write_forecast_values(values, folder)
+    return spark.read.option("header", True).schema("h int, actual double, y_pred double, machine_id string").csv(folder)
+
+
+@query("metrics_written", 6)
+def _(spark, sf_dir):
+    folder = stage_path(spark, "metrics")
+    sinks.write_metrics(_one_step(spark, sf_dir).groupBy("machine_id").agg(*M.prediction_metrics("y", "before")), folder)
+    names = "rmse double, mae double, mape double"
+    each = spark.read.option("header", True).schema(f"machine_id string, {names}").csv(f"{folder}/metrics")
+    averages = spark.read.option("header", True).schema(names).csv(f"{folder}/averages")
+    return each.unionByName(averages.withColumn("machine_id", F.lit("average")))
+
+
+@query("models_stored")
+def _(spark, sf_dir):
+    folder = stage_path(spark, "models")
+    sinks.save_models(fc.fit_weighted(series(spark, sf_dir)), folder)
+    return fc.predict(sinks.load_models(spark, folder), HORIZON)
+
+
 # --- windows, features ----------------------------------------------------------------
 
 
@@ -253,7 +420,7 @@ def _(spark, sf_dir):
 
 @query("train_test_split")
 def _(spark, sf_dir):
-    return win.train_test_split(series(spark, sf_dir), 0.8, 2).select("machine_id", "step", "part", "h", "y")
+    return win.train_test_split(series(spark, sf_dir), 0.8).select("machine_id", "step", "part", "h", "y")
 
 
 @query("long_series")
@@ -298,6 +465,58 @@ def _(spark, sf_dir):
     return cluster.cluster_stats(*quadrants(spark, sf_dir))
 
 
+@query("cluster_stats_noise", 6)
+def _(spark, sf_dir):
+    # machines of the first quadrant count as noise
+    table, names = quadrants(spark, sf_dir)
+    return cluster.cluster_stats(table.withColumn("cluster", F.col("cluster") - 1), names)
+
+
+@query("strategy_noise")
+def _(spark, sf_dir):
+    table, names = quadrants(spark, sf_dir)
+    table = table.withColumn("cluster", F.col("cluster") - 1)
+    # the last cluster is not described, so its machines get the default
+    stats = cluster.cluster_stats(table, names).filter("cluster < 2")
+    return cluster.assign_strategies(table, stats)
+
+
+@query("kmeans_consistency")
+def _(spark, sf_dir):
+    """Every point is nearest to the mean of its own cluster, and the clusters hold all points."""
+    table, names = features(spark, sf_dir)
+    labels = stage(cluster.kmeans(cluster.feature_vectors(table, names))[0], "fitted")
+    nearest = cluster.nearest_centroid(labels, cluster.centroids(labels)).withColumnRenamed("cluster", "nearest")
+    both = labels.join(nearest, "id")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.count_if(F.col("cluster") != F.col("nearest")).alias("misplaced"),
+    )
+
+
+@query("pca_consistency", 6)
+def _(spark, sf_dir):
+    """Means, covariance and explained shares of the components."""
+    table, names = features(spark, sf_dir)
+    found = stage(cluster.pca_2d(cluster.feature_vectors(table, names)), "components")
+    total = table.agg(sum((F.var_samp(c) for c in names), F.lit(0.0)).alias("v")).select("v").scalar()
+    return found.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.abs(F.covar_samp("pc1", "pc2")).alias("covariance"),
+        (F.var_samp("pc1") / total - F.max("explained_pc1")).alias("share1_error"),
+        (F.var_samp("pc2") / total - F.max("explained_pc2")).alias("share2_error"),
+        (F.max("explained_pc1") >= F.max("explained_pc2")).alias("ordered"),
+    )
+
+
+@query("best_k")
+def _(spark, sf_dir):
+    # one row per label stands in for a sweep
+    sweep = points(spark, sf_dir).groupBy(F.col("cluster").alias("k")).agg(F.avg(F.col("x")[0]).alias("silhouette"))
+    return cluster.best_k(sweep)
+
+
 @query("cluster_summary", 6)
 def _(spark, sf_dir):
     return cluster.cluster_summary(*quadrants(spark, sf_dir))
@@ -335,6 +554,11 @@ def _(spark, sf_dir):
     return cluster.silhouette(points(spark, sf_dir))
 
 
+@query("silhouette_blocks")
+def _(spark, sf_dir):
+    return cluster.silhouette(points(spark, sf_dir), rows=64)
+
+
 @query("silhouette_squared")
 def _(spark, sf_dir):
     return cluster.silhouette_squared(points(spark, sf_dir))
@@ -360,6 +584,17 @@ def _(spark, sf_dir):
     return density.dbscan(density_points(spark, sf_dir)[1], **DENSITY).withColumnRenamed("id", "machine_id")
 
 
+@query("dbscan_blocks")
+def _(spark, sf_dir):
+    found = density.dbscan(density_points(spark, sf_dir)[1], **DENSITY, rows=64)
+    return found.withColumnRenamed("id", "machine_id")
+
+
+@query("density_sizes")
+def _(spark, sf_dir):
+    return density.density_sizes(density.dbscan(density_points(spark, sf_dir)[1], **DENSITY))
+
+
 @query("dbscan_metrics", 6)
 def _(spark, sf_dir):
     table = density_points(spark, sf_dir)[1]
@@ -377,6 +612,12 @@ def _(spark, sf_dir):
     return kth_distances(density_points(spark, sf_dir)[1], 10).withColumnRenamed("id", "machine_id")
 
 
+@query("k_distance_blocks", 6)
+def _(spark, sf_dir):
+    table = density_points(spark, sf_dir)[1]
+    return kth_distances(table, 10, rows=64).withColumnRenamed("id", "machine_id")
+
+
 @query("k_distance_eps", 6)
 def _(spark, sf_dir):
     return density.suggest_eps(density_points(spark, sf_dir)[1])
@@ -443,6 +684,19 @@ def _(spark, sf_dir):
     return exp.compare_models(table, simple_strategies(table))[1]
 
 
+@query("comparison_routed_averages", 6)
+def _(spark, sf_dir):
+    table = shared_series(spark, sf_dir)
+    return average_metrics(exp.compare_models(table, simple_strategies(table))[1])
+
+
+@query("continued_forecast")
+def _(spark, sf_dir):
+    # models fitted on the train part go on from the whole series
+    train, _ = split_series(spark, sf_dir)
+    return fc.predict(fc.continue_from(fc.fit_weighted(train), series(spark, sf_dir)), HORIZON)
+
+
 @query("forecast_default")
 def _(spark, sf_dir):
     # machines whose series is too short to be fitted get the default
@@ -464,7 +718,7 @@ def _(spark, sf_dir):
 @query("forecast_evaluation")
 def _(spark, sf_dir):
     train, test = split_series(spark, sf_dir)
-    predicted = fc.predict(fc.fit_weighted(train), HORIZON)
+    predicted = fc.predict_test(fc.fit_weighted(train), test)
     errors = [M.rmse("actual", "predicted").alias("rmse"), M.mae("actual", "predicted").alias("mae")]
     errors.append(M.mape_epsilon("actual", "predicted").alias("mape"))
     return fc.evaluate_forecasts(predicted, test, errors)
@@ -526,7 +780,7 @@ def _(spark, sf_dir):
 @query("policy_replay")
 def _(spark, sf_dir):
     train, test = split_series(spark, sf_dir)
-    predicted = fc.predict(fc.fit_weighted(train), 2).select("machine_id", "h", "y_pred")
+    predicted = fc.predict_test(fc.fit_weighted(train), test).select("machine_id", "h", "y_pred")
     walked = cap.policy_replay(predicted, win.last_values(train))
     return walked.select("machine_id", "h", "y_pred", "action", "capacity")
 

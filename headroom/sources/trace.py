@@ -35,14 +35,22 @@ def type_trace(raw: DataFrame, text_metrics: Sequence[str] = METRIC_COLUMNS, tim
 
     ``text_metrics`` names the metrics that come as maps or lists; the others
     are plain numbers, null when unreadable.  ``time_unit`` is ``us``, ``s``,
-    ``timestamp`` or ``auto``, which looks at the mean of the time column.
+    ``timestamp`` or ``auto``, which looks at the mean of each file's time column.
     """
     if time_unit == "auto":
-        mean = raw.agg(F.avg(F.col("time").try_cast("double"))).first()[0]
-        if mean is None:
-            time_unit = "timestamp"
-        else:
-            time_unit = "us" if mean > MICROSECOND_MEAN else "s"
+        # one row per file; a table that comes from no file is one
+        file = F.input_file_name()
+        means = raw.select(file.alias("_named"), F.col("time").try_cast("double").alias("_t"))
+        means = means.groupBy("_named").agg(F.avg("_t").alias("_mean"))
+        columns, raw = raw.columns, raw.withColumn("_file", file)
+        raw = raw.join(means, F.col("_file") == F.col("_named"))
+        unit = F.when(F.col("_mean").isNull(), "timestamp").when(F.col("_mean") > MICROSECOND_MEAN, "us").otherwise("s")
+    else:
+        columns, unit = raw.columns, F.lit(time_unit)
+
+    def moment(text: Column) -> Column:
+        return F.when(unit == "us", epoch_to_timestamp(text, "us")).when(unit == "s", epoch_to_timestamp(text, "s"))
+
     out = {}
     for field in TRACE_SCHEMA:
         name = field.name
@@ -51,17 +59,14 @@ def type_trace(raw: DataFrame, text_metrics: Sequence[str] = METRIC_COLUMNS, tim
         text = F.col(name).cast("string")
         if name in METRIC_COLUMNS:
             out[name] = parse_metric(text) if name in text_metrics else numeric_or_null(text)
-        elif name == "time" and time_unit != "timestamp":
-            out[name] = epoch_to_timestamp(text, time_unit)
+        elif name == "time":
+            out[name] = F.when(unit == "timestamp", normalise_timestamp(text)).otherwise(moment(text))
         elif isinstance(field.dataType, T.TimestampNTZType):
             # start and end keep the reading of the time column where they are numbers
-            stamp = normalise_timestamp(text)
-            if time_unit != "timestamp":
-                stamp = F.coalesce(epoch_to_timestamp(text, time_unit), stamp)
-            out[name] = stamp
+            out[name] = F.coalesce(moment(text), normalise_timestamp(text))
         else:
             out[name] = text.try_cast(field.dataType)
-    return raw.withColumns(out).dropna(subset=["time"])
+    return raw.withColumns(out).select(*columns).dropna(subset=["time"])
 
 
 def read_trace_csv(

@@ -4,6 +4,8 @@ import pytest
 from checking import connect, differences
 
 import __spark_entry__ as entry
+from headroom.plans.oracles import ORACLES
+from headroom.plans.queries import QUERIES
 
 # no SQL form: iterative or matrix work, checked by value in the other tests
 ROWS_ONLY = {
@@ -17,17 +19,22 @@ ROWS_ONLY = {
 }
 
 
+# the text operators are tested in a folder of their own
+NAMES = sorted(QUERIES)
+
+
 @pytest.fixture(scope="module")
 def database(data_folder):
     return connect(data_folder)
 
 
 def test_registry():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, data_folder, database, name):
     df = entry.queries()[name](spark, data_folder)
     if name in ROWS_ONLY:
