@@ -22,7 +22,7 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 
 # the most that may lie inside repeated n-grams of that many words, or in repeated lines
-NGRAM_SHARES = ((3, 0.40), (5, 0.25), (8, 0.20))
+NGRAM_SHARES = ((3, 0.45), (5, 0.38), (8, 0.35))
 LINE_SHARE = 0.30
 SYMBOL_SHARE = 0.10
 
