@@ -1,16 +1,17 @@
 """Capacity policies over a machine's series.
 
 Stateless policies are window expressions.  A policy whose next capacity
-depends on the last one is a fold in time order: Spark brings a machine's rows
-together and sorts them, and one pass walks through them batch by batch with a
-state of a few numbers, so no machine is ever held in memory as a whole.
+depends on the last one is a fold in time order: Spark brings machines' rows
+together and sorts them by position, and one pass walks all machines of a
+partition side by side, one array operation per step, with a state of a few
+numbers per machine; no machine is ever held in memory as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -28,29 +29,28 @@ from headroom.params import (
 # --- one step of each policy, shared by batch and stream ---------------------
 
 
-def policy_step(capacity: float, predicted: float, p: Policy = Policy()) -> tuple[float, str, float]:
-    """Next capacity, action and confidence for one predicted value."""
+def policy_step(capacity, predicted, p: Policy = Policy(), up=None, down=None):
+    """Next capacity, action and confidence; numbers or arrays of machines."""
     ratio = predicted / (capacity + EPS)
-    distance = abs(ratio - 0.5) / 0.5
-    if ratio > p.up:
-        return min(capacity * p.factor, p.ceiling), "scale_up", min(distance, 1.0)
-    if ratio < p.down:
-        return max(capacity / p.factor, p.floor, predicted * p.guard), "scale_down", min(distance, 1.0)
-    return capacity, "keep", min(1 - distance, 1.0)
-
-
-def autoscaler_step(
-    capacity: float, wait: int, usage: float, a: Autoscaler = Autoscaler()
-) -> tuple[float, int]:
-    """Next capacity and remaining cooldown for one usage value."""
-    if wait > 0:
-        return capacity, wait - 1
+    distance = np.abs(ratio - 0.5) / 0.5
+    rises = ratio > (p.up if up is None else up)
+    falls = np.logical_not(rises) & (ratio < (p.down if down is None else down))
+    higher = np.minimum(capacity * p.factor, p.ceiling)
+    lower = np.maximum(np.maximum(capacity / p.factor, p.floor), predicted * p.guard)
+    after = np.where(rises, higher, np.where(falls, lower, capacity))
+    action = np.where(rises, "scale_up", np.where(falls, "scale_down", "keep"))
+    return after, action, np.minimum(np.where(rises | falls, distance, 1 - distance), 1.0)
+
+
+def autoscaler_step(capacity, wait, usage, a: Autoscaler = Autoscaler()):
+    """Next capacity and remaining cooldown; numbers or arrays of machines."""
     ratio = usage / (capacity + EPS)
-    if ratio > a.up:
-        return min(capacity * a.factor, a.ceiling), a.cooldown
-    if ratio < a.down:
-        return max(capacity / a.factor, usage * a.guard, a.floor), a.cooldown
-    return capacity, 0
+    rises, falls = ratio > a.up, ratio < a.down
+    higher = np.minimum(capacity * a.factor, a.ceiling)
+    lower = np.maximum(np.maximum(capacity / a.factor, usage * a.guard), a.floor)
+    moved = np.where(rises, higher, np.where(falls, lower, capacity))
+    waits = wait > 0
+    return np.where(waits, capacity, moved), np.where(waits, wait - 1, np.where(rises | falls, a.cooldown, 0))
 
 
 # --- folds ---------------------------------------------------------------------
@@ -67,37 +67,54 @@ def fold_by_key(
 ) -> DataFrame:
     """Walk each key's rows in order, adding the output columns.
 
-    ``start(row)`` makes the state from the first row's inputs and
-    ``step(state, row)`` returns (state, output tuple); ``row`` is a tuple of
-    the input columns.  The row number makes Spark bring a key's rows together
-    in order, whatever adaptive execution does to the plan, and lets the walk
-    check that none is missing.
+    A partition holds whole keys and is sorted by position in the key first,
+    so that all of its keys take their n-th step together: ``start(rows)``
+    makes the state, a tuple of arrays, out of the input columns of first
+    rows, and ``step(state, rows)`` returns (state, output arrays).  The state
+    is a few numbers per key of the partition.  Positions come from Spark,
+    which brings the rows of a key together whatever adaptive execution does
+    to the plan; the walk checks that none is missing.
     """
     keys, inputs = list(keys), list(inputs)
-    names = [name for name, _ in outputs]
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    numbered = df.withColumn("_position", position)
+    one = F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))
+    numbered = df.withColumns({"_position": position, "_key": one}).sortWithinPartitions("_position", "_key")
     schema = T.StructType(df.schema.fields)
     for name, kind in outputs:
         schema = schema.add(name, kind)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = None, 0
+        places, state, last = pd.Index([]), None, np.zeros(0, dtype=np.int64)
+        run, place = None, None
         for batch in batches:
             if batch.empty:
                 continue
-            produced = []
-            rows = zip(*[batch[c].tolist() for c in inputs], strict=True)
-            for at, row in zip(batch["_position"].tolist(), rows, strict=True):
-                if at == 1:
-                    state = start(row)
-                elif at != last + 1:
+            at, names = batch["_position"].to_numpy(), batch["_key"].to_numpy(dtype=object)
+            values = [batch[c].to_numpy(dtype=float) for c in inputs]
+            produced: list[list[np.ndarray]] = [[] for _ in outputs]
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = [v[a:b] for v in values]
+                if at[a] == 1:
+                    place = np.arange(len(places), len(places) + b - a)
+                    places = places.append(pd.Index(names[a:b], dtype=object))
+                    begun = start(rows)
+                    state = begun if state is None else tuple(map(np.append, state, begun))
+                    last = np.append(last, np.zeros(b - a, dtype=np.int64))
+                elif run != (b - a, names[a], names[b - 1]):
+                    # keys only ever drop out, so a run of the same length and ends is the same
+                    place = places.get_indexer(names[a:b])
+                run = (b - a, names[a], names[b - 1])
+                if (place < 0).any() or (last[place] != at[a] - 1).any():
                     raise RuntimeError("rows of one key arrived apart")
-                last = at
-                state, out = step(state, row)
-                produced.append(out)
-            added = dict(zip(names, zip(*produced, strict=True), strict=True))
-            yield batch.drop(columns="_position").assign(**added)
+                last[place] = at[a]
+                after, out = step(tuple(s[place] for s in state), rows)
+                for held, new in zip(state, after, strict=True):
+                    held[place] = new
+                for column, new in zip(produced, out, strict=True):
+                    column.append(new)
+            added = {name: np.concatenate(column) for (name, _), column in zip(outputs, produced, strict=True)}
+            yield batch.drop(columns=["_position", "_key"]).assign(**added)
 
     return numbered.mapInPandas(walk, schema)
 
@@ -113,11 +130,11 @@ def threshold_fold(
 ) -> DataFrame:
     """Add ``out``: the capacity after each change; ``start`` holds the first capacity."""
 
-    def begin(row):
-        return row[1], 0
+    def begin(rows):
+        return rows[1].copy(), np.zeros(len(rows[1]), dtype=np.int64)
 
-    def step(state, row):
-        state = autoscaler_step(state[0], state[1], row[0], settings)
+    def step(state, rows):
+        state = autoscaler_step(state[0], state[1], rows[0], settings)
         return state, (state[0],)
 
     return fold_by_key(df, [key], order, [y, start], [(out, "double")], begin, step)
@@ -175,13 +192,12 @@ def policy_fold(
     """
     inputs = [predicted, start, *(thresholds or ())]
 
-    def begin(row):
-        return row[1], replace(settings, up=row[2], down=row[3]) if thresholds else settings
+    def begin(rows):
+        return (rows[1].copy(),)
 
-    def step(state, row):
-        capacity, policy = state
-        after, action, confidence = policy_step(capacity, row[0], policy)
-        return (after, policy), (capacity, action, after, confidence)
+    def step(state, rows):
+        after, action, confidence = policy_step(state[0], rows[0], settings, *rows[2:])
+        return (after,), (state[0], action, after, confidence)
 
     outputs = [
         ("current_capacity", "double"),
@@ -364,13 +380,13 @@ def strategy_capacities(
         }
     )
 
-    def begin(row):
-        return (row[2], 0), row[3]
+    def begin(rows):
+        return rows[2].copy(), np.zeros(len(rows[2]), dtype=np.int64), rows[3].copy()
 
-    def step(state, row):
-        threshold = autoscaler_step(state[0][0], state[0][1], row[0], SIMPLE)
-        proposed, _, _ = policy_step(state[1], row[1], settings)
-        return (threshold, proposed), (threshold[0], proposed)
+    def step(state, rows):
+        threshold, wait = autoscaler_step(state[0], state[1], rows[0], SIMPLE)
+        proposed, _, _ = policy_step(state[2], rows[1], settings)
+        return (threshold, wait, proposed), (threshold, proposed)
 
     wide = fold_by_key(
         wide,

@@ -35,7 +35,7 @@ def stream_threshold(
         capacity, wait = state.get if state.exists else (usage[0] * settings.start, 0)
         out = []
         for value in usage:
-            capacity, wait = autoscaler_step(capacity, wait, value, settings)
+            capacity, wait = map(float, autoscaler_step(capacity, wait, value, settings))
             out.append(capacity)
         state.update((float(capacity), int(wait)))
         yield pd.DataFrame({key: [keys[0]] * len(out), order: rows[order].tolist(), y: usage, "capacity": out})

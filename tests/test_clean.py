@@ -152,3 +152,26 @@ def test_clean_and_report(spark):
 def test_text_times_are_read(spark):
     df = spark.createDataFrame([("2024-01-01 10:00:00", 1), ("never", 2)], "time string, x int")
     assert [r["time"] for r in clean.normalise_times(df).collect()] == [datetime(2024, 1, 1, 10), None]
+
+
+def test_fill_does_not_depend_on_the_order_of_rows(spark):
+    hour = START
+    rows = [
+        ("a", hour, 1.0, 5.0, None),
+        ("a", hour, 2.0, None, 1.0),
+        ("a", hour, 2.0, None, 1.0),
+        ("a", hour, 3.0, 7.0, None),
+        ("a", hour + timedelta(hours=1), 1.0, None, None),
+        ("b", hour, 1.0, None, 2.0),
+    ]
+    schema = "machine_id string, time timestamp_ntz, average_usage double, x double, y double"
+    rng, seen = np.random.default_rng(1), set()
+    for limit in (1, 2, 5_000_000):
+        for _ in range(3):
+            mixed = [rows[i] for i in rng.permutation(len(rows))]
+            filled = clean.fill_missing(spark.createDataFrame(mixed, schema), limit=limit).collect()
+            seen.add(tuple(sorted(map(tuple, filled), key=repr)))
+    assert len(seen) == 1
+    wanted = [("a", 1.0, 5.0, 1.0), ("a", 1.0, 7.0, 1.0), ("a", 2.0, 5.0, 1.0), ("a", 2.0, 5.0, 1.0)]
+    wanted += [("a", 3.0, 7.0, 1.0), ("b", 1.0, 0.0, 2.0)]
+    assert sorted((r[0], r[2], r[3], r[4]) for r in next(iter(seen))) == sorted(wanted)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from headroom.functions.workload import model_strategy, report_strategy, workload_type
 from headroom.operators import cluster, density
-from headroom.operators.blocks import elbow, kth_distances, silhouettes
+from headroom.operators.blocks import elbow, kth_distances, near_pairs, silhouettes
 
 
 def blobs(seed=0, n=90, dims=3, copies=0):
@@ -254,3 +254,20 @@ def test_cluster_tables(spark):
     assert sizes == {0: 2, 1: 1, -1: 1}
     summary = {r["cluster"]: r for r in cluster.cluster_summary(df, ["cpu_mean"]).collect()}
     assert (summary[0]["cpu_mean_min"], summary[0]["cpu_mean_max"]) == (0.2, 0.4)
+
+
+def test_pairs_of_blocks_grow_with_the_blocks(spark):
+    def pairs(side):
+        corner = [F.floor(F.col("id") / side).cast("double"), (F.col("id") % side).cast("double")]
+        blocks = spark.range(side * side).select(F.col("id").cast("int").alias("_block"), F.array(*corner).alias("x"))
+        return near_pairs(blocks, side * side, F.lit(1.0), 2).count()
+
+    # a block and its four neighbours
+    assert pairs(6) == 5 * 36 - 4 * 6 and pairs(24) == 5 * 576 - 4 * 24
+
+
+def test_blocks_without_a_bound_look_everywhere(spark):
+    rows = [(k, [float(k)], float("inf") if k == 3 else 0.5) for k in range(6)]
+    blocks = spark.createDataFrame(rows, "_block int, x array<double>, reach double")
+    got = {tuple(r) for r in near_pairs(blocks, 6, F.col("reach"), 1).collect()}
+    assert got == {(k, k) for k in range(6)} | {(3, k) for k in range(6)}

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from test_windows import series
 
@@ -194,3 +195,69 @@ def test_evaluation_joins_what_both_have(spark):
     actual = spark.createDataFrame([("a", 1, 0.4), ("c", 1, 0.4)], "machine_id string, h int, y double")
     row = fc.evaluate_forecasts(predicted, actual, [M.mae("actual", "predicted").alias("mae")]).first()
     assert row["mae"] == pytest.approx(0.1)
+
+
+def test_continue_from_long_models(spark):
+    # more weights than any fixed number of values would cover
+    old = [(f"m{k}", i, 0.1) for k in range(2) for i in range(80)]
+    newer = [(f"m{k}", i, 0.4) for k in range(2) for i in range(80, 160)]
+    schema = "machine_id string, step long, y double"
+    models = fc.fit_weighted(spark.createDataFrame(old, schema), lookback=65)
+    moved = fc.continue_from(models, spark.createDataFrame(newer, schema))
+    assert {round(r["y_pred"], 9) for r in fc.predict(moved, 3).collect()} == {0.4}
+
+
+def test_decay_weights_add_up():
+    weights = fc.decay_weights(12, 0.3, "oldest")
+    assert sum(weights) == pytest.approx(1.0) and weights[1] / weights[0] == pytest.approx(0.7)
+    assert fc.decay_weights(12, 0.3, "newest") == weights[::-1]
+
+
+def test_predict_equals_a_plain_walk(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows, wanted = [], {}
+    for k in range(9):
+        size, steps = int(rng.integers(1, 6)), int(rng.integers(0, 40))
+        w, t = rng.normal(0, 0.4, size).tolist(), rng.random(size + 2).tolist()
+        each, end = bool(rng.integers(2)), bool(rng.integers(2))
+        rows.append((f"m{k}", "s", 0.1 * k, w, t, each, end, steps, "x"))
+        values = list(t)
+        for h in range(1, steps + 1):
+            y = 0.1 * k + sum(a * b for a, b in zip(w, values[-size:]))
+            values.append(min(1.0, max(0.0, y)) if each else y)
+            wanted[f"m{k}", h] = min(1.0, max(0.0, values[-1])) if end else values[-1]
+    schema = (
+        "machine_id string, strategy string, intercept double, weights array<double>, tail array<double>, "
+        "clip_each boolean, clip_end boolean, n int, method string"
+    )
+    models = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(fc, "SCORED_STEPS", 7)
+    monkeypatch.setattr(fc, "SCORED_MACHINES", 4)
+    got = fc.predict(models, "n", carry=["method"]).collect()
+    assert {(r["machine_id"], r["h"]) for r in got} == set(wanted) and {r["method"] for r in got} == {"x"}
+    for r in got:
+        assert r["y_pred"] == pytest.approx(wanted[r["machine_id"], r["h"]])
+
+
+def test_scoring_is_linear_in_the_horizon():
+    import time
+
+    models = pd.DataFrame(
+        {
+            "weights": [[0.1] * 12] * 64,
+            "tail": [[0.5] * 12] * 64,
+            "intercept": 0.1,
+            "clip_each": False,
+            "clip_end": True,
+        }
+    )
+
+    def seconds(steps):
+        best = float("inf")
+        for _ in range(3):
+            begin = time.perf_counter()
+            assert sum(a.shape[1] for _, a in fc._ahead(models, steps)) == steps
+            best = min(best, time.perf_counter() - begin)
+        return best
+
+    assert seconds(8_000) < 6 * seconds(2_000)

@@ -37,6 +37,16 @@ def test_csv_seconds_and_plain_numbers(spark, tmp_path):
     assert (row["average_usage"], row["maximum_usage"], row["assigned_memory"]) == (0.1, None, None)
 
 
+def test_files_of_different_units(spark, tmp_path):
+    write(tmp_path / "a.csv", HEADER + "m,1700000000000000,,,0.1,0.1,0.5,1\nm,1000,,,0.1,0.1,0.5,1\nm,3700000000000000,,,0.1,0.1,0.5,1\n")
+    write(tmp_path / "b.csv", HEADER + "n,1700000000,,,0.1,0.1,0.5,1\n")
+    write(tmp_path / "c.csv", HEADER + "o,2023-11-14 22:13:20,,,0.1,0.1,0.5,1\n")
+    rows = trace.read_trace_csv(spark, str(tmp_path / "*.csv")).select("machine_id", "time").collect()
+    got = sorted((r[0], str(r[1])) for r in rows)
+    assert got[:2] == [("m", "1970-01-01 00:00:00.001000"), ("m", "2023-11-14 22:13:20")]
+    assert got[3:] == [("n", "2023-11-14 22:13:20"), ("o", "2023-11-14 22:13:20")]
+
+
 def test_csv_with_text_times(spark, tmp_path):
     path = write(tmp_path / "a.csv", HEADER + "m,2024-01-01 00:05:00,2024-01-01,2024-01-02,0.1,0.1,0.5,1\n")
     row = trace.read_trace_csv(spark, path).first()

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from test_capacity import by_machine, random_series
 from test_windows import series
@@ -34,10 +35,22 @@ def test_windows_of_a_stream_equal_the_batch(spark):
 def test_windows_over_several_batches(spark):
     # six files in time order, one per micro-batch
     df = trace(spark).repartitionByRange(6, "time")
-    got = window_aggregate_by_stream(df, 30, delay="1 day", close_after="3 days", files_per_batch=1)
+    got = window_aggregate_by_stream(df, 30, delay="1 day", files_per_batch=1)
     assert keyed(got) == keyed(window_aggregate(df, 30))
 
 
+def test_rows_left_out_are_an_error(spark):
+    # files in no order of time: the watermark of the first ones closes windows of later ones
+    df = trace(spark).repartition(8, "average_usage")
+    with pytest.raises(ValueError, match="left out"):
+        window_aggregate_by_stream(df, 30, delay="1 minute", files_per_batch=1)
+
+
+def test_a_machine_of_any_name(spark):
+    df = trace(spark).withColumn("machine_id", F.lit("~end~"))
+    assert keyed(window_aggregate_by_stream(df, 45 * 1440)) == keyed(window_aggregate(df, 45 * 1440))
+
+
 def test_threshold_state_equals_the_fold(spark):
     df = series(spark, random_series(6, longest=30))
     start = df.withColumn("start", first_value("y") * 1.5)
