@@ -56,9 +56,19 @@ def _numbers(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _tail(length: int, machine, y: str = "y") -> Column:
-    """The last ``length`` values up to a row; 0 before the start of the series."""
-    return F.array(*[F.coalesce(F.lag(y, i).over(machine), F.lit(0.0)) for i in range(length - 1, -1, -1)])
+def _newest_first(key: str, order: str):
+    return Window.partitionBy(key).orderBy(F.desc(order))
+
+
+def _tail(length: int, order: str, y: str = "y", back: str = "_back") -> Column:
+    """Aggregate: the last ``length`` values, oldest first; 0 before the start of the series.
+
+    ``back`` counts the rows of a machine from its newest; only the newest are collected.
+    """
+    value = F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("v")
+    newest = F.collect_list(F.when(F.col(back) <= length, F.struct(F.col(order).alias("o"), value)))
+    values = F.transform(F.sort_array(newest), lambda e: e["v"])
+    return F.concat(F.array_repeat(F.lit(0.0), F.lit(length) - F.size(values)), values)
 
 
 def _one() -> Column:
@@ -199,10 +209,9 @@ def fit_weighted(
     The largest weight falls on the oldest value unless ``heaviest`` is
     ``newest``.  Shorter series repeat their last value.
     """
-    machine = Window.partitionBy(key).orderBy(order)
-    rows = series.select(key, order, y, _tail(lookback, machine, y).alias("t"))
+    rows = series.select(key, order, y, F.row_number().over(_newest_first(key, order)).alias("_back"))
     state = rows.groupBy(key).agg(
-        F.max_by("t", order).alias("t"), F.max_by(y, order).alias("last"), F.count(F.lit(1)).alias("n")
+        _tail(lookback, order, y).alias("t"), F.max_by(y, order).alias("last"), F.count(F.lit(1)).alias("n")
     )
     enough = F.col("n") >= lookback
     weights = F.when(enough, _numbers(decay_weights(lookback, alpha, heaviest))).otherwise(_one())
@@ -234,18 +243,18 @@ def lag_moments(
     Columns: n (length), m (complete rows), gram, xty, yty, last, tail.  One
     shuffle by machine serves the lags and the sums.
     """
-    machine = Window.partitionBy(key).orderBy(order)
+    machine = _newest_first(key, order)  # in which an earlier value is a lead
     weights = difference_weights(d, season)
     length = max(lags) + len(weights) - 1
-    at = F.row_number().over(machine)
     value = F.lit(0.0)
     for i, w in enumerate(weights):
         if w:
-            value = value + float(w) * F.lag(y, i).over(machine)
-    rows = series.select(key, order, y, at.alias("_at"), _tail(length, machine, y).alias("t"), value.alias("w"))
-    rows = rows.withColumns({f"x{i}": F.lag("w", i).over(machine) for i in lags})
+            value = value + float(w) * F.lead(y, i).over(machine)
+    back, reaches = F.row_number().over(machine), F.lead(F.lit(True), length).over(machine)
+    rows = series.select(key, order, y, back.alias("_back"), reaches.alias("_whole"), value.alias("w"))
+    rows = rows.withColumns({f"x{i}": F.lead("w", i).over(machine) for i in lags})
     # complete once the longest lag reaches past the differencing
-    whole = F.col("_at") > length
+    whole = F.col("_whole").isNotNull()
 
     def total(a: str, b: str) -> Column:
         return F.coalesce(F.sum(F.when(whole, F.col(a) * F.col(b))), F.lit(0.0))
@@ -259,7 +268,7 @@ def lag_moments(
         F.array(*[total(a, "w") for a in xs]).alias("xty"),
         total("w", "w").alias("yty"),
         F.max_by(y, order).alias("last"),
-        F.max_by("t", order).alias("tail"),
+        _tail(length, order, y).alias("tail"),
     )
 
 
@@ -431,12 +440,11 @@ def fit_pooled(
         return fit_naive(series, key, order, y).withColumn("strategy", F.lit("lstm"))
     model = LinearRegression(solver="normal").fit(table)
     c = [float(v) for v in model.coefficients]
-    ordered = machine.orderBy(order)
     state = (
-        rows.select("*", _tail(lookback, ordered, y).alias("t"))
+        rows.withColumn("_back", F.row_number().over(_newest_first(key, order)))
         .groupBy(key)
         .agg(
-            F.max_by("t", order).alias("t"),
+            _tail(lookback, order, y).alias("t"),
             F.max_by(y, order).alias("last"),
             F.first("low").alias("low"),
             F.first("high").alias("high"),
