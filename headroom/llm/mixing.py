@@ -154,7 +154,7 @@ class Mix:
         return permuted(slots, "_position", "block", self.seed).select("_source", "shard", "slot", "block")
 
     def pieces(self) -> DataFrame:
-        """(doc_id, _copy, _source, _start, block, _from, _words): the words of a document in each block it touches."""
+        """(doc_id, _copy, _source, _start, size, block, _from, _words): a document's words in each block it touches."""
         size = F.lit(self.block_words)
         start, end = F.col("_start"), F.col("_start") + F.col("size")
         touched = F.sequence(F.floor(start / size), F.floor((end - 1) / size))
@@ -162,7 +162,7 @@ class Mix:
         begin = F.greatest(start, F.col("block") * size)
         stop = F.least(end, (F.col("block") + 1) * size)
         return rows.select(
-            "doc_id", "_copy", "_source", "_start", "block", (begin - start).alias("_from"), (stop - begin).alias("_words")
+            "doc_id", "_copy", "_source", "_start", "size", "block", (begin - start).alias("_from"), (stop - begin).alias("_words")
         )
 
 
@@ -219,18 +219,21 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
         mix.pieces()
         .join(slots, ["_source", "block"])
         .groupBy("doc_id", "_copy", "_pass")
-        .agg(F.sort_array(F.collect_list(span)).alias("_spans"), F.sum("_words").alias("_taken"))
+        .agg(F.sort_array(F.collect_list(span)).alias("_spans"), (F.sum("_words") == F.max("size")).alias("_whole"))
         .withColumnRenamed("doc_id", "_id")
     )
     # other columns travel in one, so that their names do not matter
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select("doc_id", "text", "source", row.alias("_row")).withColumn("_copy", copy_number())
     rows = packed.join(taken, packed["doc_id"].eqNullSafe(F.col("_id")) & (packed["_copy"] == taken["_copy"]))
-    # a word with the white space before it
+    # a word with the white space before it; bound to a name, as each span would split the text anew
     units = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
-    part = F.transform("_spans", lambda s: F.array_join(F.slice(units, s["at"] + 1, s["n"]), ""))
-    rows = rows.withColumn("_part", F.ltrim(F.array_join(part, "")))
-    whole = F.col("_taken") == n_words(F.col("text"))
-    text = F.when(whole, F.col("text")).otherwise(F.col("_part"))
-    replaced = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    bound = F.array(F.struct(units.alias("units"), F.col("_spans").alias("spans")))
+
+    def words_at(x: Column) -> Column:
+        return F.array_join(F.transform(x["spans"], lambda s: F.array_join(F.slice(x["units"], s["at"] + 1, s["n"]), "")), "")
+
+    part = F.ltrim(F.transform(bound, words_at)[0])
+    rows = rows.withColumn("_mixed", F.when(F.col("_whole"), F.col("text")).otherwise(part))
+    replaced = {"text": F.col("_mixed"), "n_chars": F.char_length("_mixed").cast("long")}
     return rows.select(*[replaced.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
