@@ -8,17 +8,18 @@ characters.  A text scores the sum over its words.
 
 from __future__ import annotations
 
+import itertools
 import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from headroom.llm.common import id_remainder, without
+from headroom.session import stage
 
 SAMPLE_ROWS = 30_000
 MODEL_WORDS = 60_000
@@ -79,20 +80,31 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "unit", "n"])
 
 
-def _most_frequent(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The ``most`` most frequent units with their counts per language: what the model holds."""
-    by_lang = F.map_from_entries(F.sort_array(F.collect_list(F.struct("lang", "n"))))
-    units = counts.groupBy("unit").agg(F.sum("n").alias("total"), by_lang.alias("by_lang"))
-    return units.orderBy(F.desc("total"), "unit").limit(most).select("unit", "by_lang").toPandas()
+def _most_frequent(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
+    """Up to ``most`` of the most frequent units and their counts per language: what the model holds.
 
-
-def _log_frequencies(found: pd.DataFrame, langs: list[str], totals: np.ndarray) -> np.ndarray:
+    Units at least as frequent as a bound are kept; the bound comes from the
+    number of units of each frequency, so nothing has to be sorted.
+    """
+    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    units = stage(counts.groupBy("unit").agg(F.sum("n").alias("total"), *by_lang), "units")
+    held, least = 0, None
+    for total, n in sorted(map(tuple, units.groupBy("total").count().collect()), reverse=True):
+        held += n
+        if held > most and least is not None:
+            break
+        least = total
+    found = units.filter(F.col("total") >= (least or 0)).drop("total").toArrow().sort_by("unit")
+    rows = {w: i for i, w in enumerate(found.column("unit").to_pylist())}
+    columns = [found.column(f"n{i}").to_numpy() for i in range(len(langs))]
+    return rows, np.stack(columns, axis=1).astype(float) if langs else np.zeros((len(rows), 0))
+
+
+def _log_frequencies(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """(units, languages): log frequency against the mean over languages."""
-    counts = np.array([[by.get(x, 0) for x in langs] for by in found["by_lang"]], dtype=float)
-    counts = counts.reshape(len(found), len(langs))
     if not counts.size:
         return counts.astype(np.float32)
-    logs = np.log((counts + SMOOTHING) / (totals + SMOOTHING * (len(found) + 1)))
+    logs = np.log((counts + SMOOTHING) / (totals + SMOOTHING * (len(counts) + 1)))
     return (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -106,80 +118,101 @@ def train_language_model(
 
     Counts come from a sample of about ``sample_rows`` rows, drawn by a hash of
     the id, or all rows if there are no more; whole texts.  The model holds
-    the ``model_words`` most frequent words and ``model_grams`` n-grams, so it
-    has the same size for any corpus.
+    up to ``model_words`` of the most frequent words and ``model_grams``
+    n-grams, so it does not grow with the corpus.
     """
-    spark = labelled.sparkSession
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = labelled.select("lang").count()
     share = min(1.0, sample_rows / rows) if rows else 1.0
     drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)) < int(share * PLACES))
     schema = "lang string, unit string, n long"
     counted = drawn.select("lang", "text").mapInArrow(_count_words, schema).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
+    counted = stage(counted, "word-frequencies")
     totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
-    words = _most_frequent(counted, model_words)
+    words, word_counts = _most_frequent(counted, langs, model_words)
     grams = counted.mapInArrow(_count_grams, schema).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
-    grams = _most_frequent(grams, model_grams)
-    counted.unpersist()
+    grams, gram_counts = _most_frequent(grams, langs, model_grams)
     whole = np.array([totals[x] for x in langs], dtype=float)
     return {
         "langs": langs,
-        "words": {w: i for i, w in enumerate(words["unit"])},
-        "word_scores": _log_frequencies(words, langs, whole),
-        "grams": {g: i for i, g in enumerate(grams["unit"])},
-        "gram_scores": _log_frequencies(grams, langs, whole),
+        "words": words,
+        "word_scores": _log_frequencies(word_counts, whole),
+        "grams": grams,
+        "gram_scores": _log_frequencies(gram_counts, whole),
     }
 
 
-class Scorer(dict):
-    """Word -> row of ``scores``; rows of unseen words are filled in as they come."""
+class Scorer:
+    """Scores of texts; unseen words are worked out together and the first ones remembered."""
 
     def __init__(self, model: dict):
-        super().__init__()
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        known = self.model["word_scores"]
-        self.clear()
-        self.update(self.model["words"])
-        self.scores = np.zeros((len(known) + CACHE_WORDS, len(self.model["langs"])), dtype=np.float32)
-        self.scores[: len(known)] = known
-
-    def backoff(self, word: str) -> np.ndarray:
-        grams, scores = self.model["grams"], self.model["gram_scores"]
-        level, rows = 0, []
-        for n, gram in grams_of(word):
-            if rows and n != level:
-                break
-            level, row = n, grams.get(gram)
-            if row is not None:
-                rows.append(row)
-        return scores[rows].mean(axis=0) if rows else np.zeros(len(self.model["langs"]), dtype=np.float32)
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        self.scores[row] = self.backoff(word)
-        self[word] = row
-        return row
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        langs = self.model["langs"]
-        total, n = np.zeros(len(langs)), 0
-        for words in words_of(text or ""):
-            for k in range(0, len(words), CACHE_WORDS):
-                part = words[k : k + CACHE_WORDS]
-                if len(self) + len(part) > len(self.scores):
-                    self.forget()
-                rows = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-                total += self.scores[rows].sum(axis=0, dtype=np.float64)
-                n += len(part)
-        if not n or not langs:
-            return "und", 0.0
-        best = int(total.argmax())
-        return langs[best], float(1 / np.exp(total - total[best]).sum())
+        self.langs, self.grams, self.gram_scores = model["langs"], model["grams"], model["gram_scores"]
+        self.rows = dict(model["words"])
+        self.scores = np.asarray(model["word_scores"], dtype=np.float32).reshape(len(self.rows), len(self.langs))
+        self.most = len(self.rows) + CACHE_WORDS
+
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """(words, languages): the mean over the longest known n-grams of each word, 0 if none is known."""
+        get, rows, counts = self.grams.get, [], []
+        for word in words:
+            before, padded = len(rows), f"<{word}>"
+            for n in range(LONGEST_GRAM, 0, -1):
+                text = padded if n > 1 else word
+                rows += [r for i in range(len(text) - n + 1) if (r := get(text[i : i + n])) is not None]
+                if len(rows) > before:
+                    break
+            counts.append(len(rows) - before)
+        counts = np.array(counts)
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        some = counts > 0
+        if some.any():
+            first = (np.cumsum(counts) - counts)[some]
+            out[some] = np.add.reduceat(self.gram_scores[rows], first, axis=0) / counts[some, None]
+        return out
+
+    def add(self, total: np.ndarray, texts: list[int], words: list[list[str]]) -> None:
+        """Add the scores of pieces of texts to the rows of their texts."""
+        flat = list(itertools.chain.from_iterable(words))
+        if not flat or not self.langs:
+            return
+        rows = np.fromiter(map(self.rows.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        unseen = np.flatnonzero(rows < 0)
+        scores = self.scores
+        if len(unseen):
+            names = [flat[i] for i in unseen]
+            new = {w: len(scores) + k for k, w in enumerate(dict.fromkeys(names))}
+            rows[unseen] = np.fromiter(map(new.__getitem__, names), np.int64, len(names))
+            scores = np.concatenate([scores, self.backoff(list(new))])
+            kept = min(len(new), self.most - len(self.scores))
+            if kept > 0:
+                self.rows.update(itertools.islice(new.items(), kept))
+                self.scores = scores[: len(self.scores) + kept]
+        sizes = np.array([len(w) for w in words])
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        found = np.add.reduceat(scores[rows], first, axis=0, dtype=np.float64)
+        np.add.at(total, np.array(texts)[sizes > 0], found)
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """(language, score) of every text; a bounded number of characters is worked on at a time."""
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
+        at, held, chars = [], [], 0
+        for k, text in enumerate(texts):
+            for words in words_of(text or ""):
+                n[k] += len(words)
+                at.append(k)
+                held.append(words)
+            chars += len(text or "")
+            if chars >= PIECE_CHARS:
+                self.add(total, at, held)
+                at, held, chars = [], [], 0
+        self.add(total, at, held)
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        best = total.argmax(axis=1)
+        score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        langs = [self.langs[b] if w else "und" for b, w in zip(best, n, strict=True)]
+        return langs, np.where(n > 0, score, 0.0)
 
 
 def language_scorer(model: dict):
@@ -193,9 +226,8 @@ def language_scorer(model: dict):
         scorer = kept["language"][1]
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
-            found = [scorer.text(t.as_py()) for t in text]
-            columns = [*batch.columns[:-1], pa.array([x[0] for x in found], pa.string())]
-            columns.append(pa.array([x[1] for x in found], pa.float64()))
+            langs, scores = scorer.texts(text.to_pylist())
+            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     return score

@@ -84,10 +84,13 @@ def test_a_small_memory_of_unseen_words_changes_nothing(monkeypatch):
         "grams": {"x": 0, "yz": 1},
         "gram_scores": np.array([[0.5, -0.5], [-2.0, 2.0]], dtype=np.float32),
     }
-    text = " ".join(f"x{chr(97 + i % 26)} yz one" for i in range(60))
-    wanted = language.Scorer(model).text(text)
+    texts = [" ".join(f"x{chr(97 + (i * k) % 26)} yz one" for i in range(60)) for k in range(1, 6)] + ["", None, "12", "q q"]
+    wanted = language.Scorer(model).texts(texts)
     monkeypatch.setattr(language, "CACHE_WORDS", 4)
-    assert language.Scorer(model).text(text) == pytest.approx(wanted)
+    monkeypatch.setattr(language, "PIECE_CHARS", 50)
+    got = language.Scorer(model).texts(texts)
+    assert got[0] == wanted[0] and got[0][5:] == ["und", "und", "und", "a"]
+    assert got[1] == pytest.approx(wanted[1])
 
 
 # --- quality ---------------------------------------------------------------------------
