@@ -17,17 +17,17 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
+    """Documents whose language cannot be told go, row by row."""
     return language.keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
-    return exact.drop_exact_duplicates(docs)
+    """Of equal texts one row stays, with the largest id."""
+    return exact.keep_one_of_each(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id stays."""
+    """Of every group of near duplicates one row stays, with the smallest id."""
     return neardup.keep_one_of_each(docs)
 
 

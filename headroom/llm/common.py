@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from headroom.session import stage
+
 # fixed values: a word is a run of anything but space, tab, line feed, vertical tab, form feed, return
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,10 +47,28 @@ def fresh(name: str, taken: Sequence[str]) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not in the one column of ``gone``; decisions are by id."""
-    name = fresh("gone", docs.columns)
-    return docs.join(gone.toDF(name).distinct(), docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")
+def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents with a key per row, (file, row_index), and the name of that column.
+
+    Ids may be null or repeat, so what is decided about a row is told by its
+    place in written files, as numbers made anew could differ.  A table read
+    straight from Parquet files has places already; anything else is written
+    first, since behind a join or an explode rows share their place.
+    """
+    row = fresh("row", docs.columns)
+    straight = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if not straight or "_metadata" in docs.columns:
+        docs = stage(docs, name)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    try:
+        return docs.select("*", place.alias(row)), row
+    except AnalysisException:  # files of another kind have no positions
+        return stage(docs, name).select("*", place.alias(row)), row
+
+
+def without(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key ``row`` is not in the one column of ``gone``, without the key."""
+    return keyed.join(gone.toDF(row), row, "left_anti").drop(row)
 
 
 def blocks_for(n_rows: int, block_rows: int) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from headroom.llm.common import lower_ascii, without
+from headroom.llm.common import lower_ascii, with_row_key, without
 from headroom.session import stage
 
 
@@ -22,9 +22,14 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     others); rows that repeat the id that stays are all kept; an empty table
     gives no rows; other columns are ignored.
     """
+    return _told(docs.select("doc_id", "text"), keep)
+
+
+def _told(docs: DataFrame, keep: str) -> DataFrame:
+    """As ``exact_duplicates``, with the columns of ``docs`` other than the text in place of doc_id."""
     pick = {"smallest": F.min, "largest": F.max}[keep]
-    norm = lower_ascii(F.col("text"))
-    rows = docs.select("doc_id", norm.alias("_norm")).select("doc_id", "_norm", F.unhex(F.md5("_norm")).alias("_hash"))
+    own = [c for c in docs.columns if c != "text"]
+    rows = _with_hash(docs)
     # min and max skip nulls: a group of null ids only has a null keeper
     classes = rows.groupBy("_hash", "_norm").agg(
         pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
@@ -36,20 +41,42 @@ def exact_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
         F.max(F.sha2("_norm", 256)).alias("text_sha256"),
     )
     by_hash = stage(by_hash, "copies")
-    told = rows.select("doc_id", "_hash").join(by_hash.filter("_texts = 1"), "_hash").drop("_hash", "_texts")
+    told = rows.select(*own, "_hash").join(by_hash.filter("_texts = 1"), "_hash").drop("_hash", "_texts")
     shared = by_hash.filter("_texts > 1").select("_hash")
     if not shared.isEmpty():  # different texts under one hash: compare text with text
         apart = classes.join(shared, "_hash", "left_semi")
         told = told.unionByName(
             rows.join(apart, ["_hash", "_norm"]).select(
-                "doc_id", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256")
+                *own, "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256")
             )
         )
     return told.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+        *own, "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The documents that stay, whole, with the columns they came with."""
-    return without(docs, exact_duplicates(docs, keep).filter(~F.col("kept")).select("doc_id"))
+    """The documents that stay, whole, with the columns they came with; rows that repeat the id that stays, too."""
+    keyed, row = with_row_key(docs, "copies-in")
+    told = _told(keyed.select("doc_id", F.col(row).alias("_row"), "text"), keep)
+    return without(keyed, row, told.filter(~F.col("kept")).select("_row"))
+
+
+def keep_one_of_each(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """One row of all rows with equal texts, whole: one with the largest (or smallest) id.
+
+    A null id is below all others when the largest stays, and above them when
+    the smallest does.
+    """
+    pick = {"smallest": F.min_by, "largest": F.max_by}[keep]
+    keyed, row = with_row_key(docs, "copies-in")
+    rows = _with_hash(keyed.select("doc_id", F.col(row).alias("_row"), "text"))
+    # a group of null ids only has no row by id
+    stays = rows.groupBy("_hash", "_norm").agg(F.coalesce(pick("_row", "doc_id"), F.min("_row")).alias(row))
+    return keyed.join(stage(stays.select(row), "stays"), row, "left_semi").drop(row)
+
+
+def _with_hash(docs: DataFrame) -> DataFrame:
+    """The text as compared, and its 128-bit hash, in place of the text."""
+    rows = docs.withColumn("_norm", lower_ascii(F.col("text"))).drop("text")
+    return rows.withColumn("_hash", F.unhex(F.md5("_norm")))

@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from headroom.llm.common import id_remainder, without
+from headroom.llm.common import id_remainder
 from headroom.session import stage
 
 SAMPLE_ROWS = 30_000
@@ -247,9 +248,7 @@ def detect_language(docs: DataFrame, model: dict | None = None, **settings) -> D
     learned from; ties: the first language by name; repeated rows are scored
     each; an empty table gives no rows; other columns are ignored.
     """
-    if model is None:
-        learn = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-        model = train_language_model(learn, **settings)
+    model = model or _model_of(docs, **settings)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     id_type = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(
@@ -257,7 +256,23 @@ def detect_language(docs: DataFrame, model: dict | None = None, **settings) -> D
     )
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.0, **settings) -> DataFrame:
-    """The documents whose language is told, whole; `und` and scores below ``min_score`` go."""
-    found = detect_language(docs, **settings)
-    return without(docs, found.filter((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id"))
+def _model_of(docs: DataFrame, **settings) -> dict:
+    return train_language_model(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **settings)
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.0, model: dict | None = None, **settings) -> DataFrame:
+    """The rows whose language is told, whole; `und` and scores below ``min_score`` go.
+
+    A row is decided by its own text, in one pass over whole rows, so equal
+    and null ids do not matter.
+    """
+    score = language_scorer(model or _model_of(docs, **settings))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (told,) = score(iter([batch.select([at])]))
+            named = pc.not_equal(told.column("lang_pred"), "und")
+            yield batch.filter(pc.and_(named, pc.greater_equal(told.column("score"), min_score)))
+
+    return docs.mapInArrow(keep, docs.schema)

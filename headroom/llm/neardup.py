@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from headroom.llm.common import without
+from headroom.llm.common import with_row_key, without
 from headroom.llm.graph import components
 from headroom.llm.words import GROUP_BYTES, LOWER, MASK, Hashed, groups, mix, pieces
 from headroom.session import stage
@@ -118,7 +118,7 @@ def _sketches(n: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, hashes, least = [], [], []
-            for members in shingle_sets(batch.column(1), n):
+            for members in shingle_sets(batch.column(2), n):
                 sizes.append(len(members))
                 hashes.append(set_hash(members))
                 least.append(smallest_hashes(members))
@@ -129,13 +129,14 @@ def _sketches(n: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array(sizes, pa.int64()),
                     pa.array([h[0] for h in hashes], pa.int64()),
                     pa.array([h[1] for h in hashes], pa.int64()),
                     pa.array([v.tobytes() for v in values], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "n", "h1", "h2", "registers", "bands"],
+                names=["place", "doc_id", "n", "h1", "h2", "registers", "bands"],
             )
 
     return sketch
@@ -254,22 +255,41 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = S
     Documents are linked when their shingle sets share ``similarity`` per cent
     of their union; a component is named by its smallest doc_id, which stays.
     Documents with equal sets are one class from the start; a class is
-    represented by its smallest doc_id.  A pair at the threshold misses all 21
+    represented by one row, of its smallest doc_id, and known by the number of
+    that row, as an id may come with several texts.  A pair at the threshold misses all 21
     bands with a chance of 5e-5, one at 0.9 of 2e-7; sizes and likelihood are
     checked before the full sets are.
 
     Defined cases: null or empty text: no shingles, linked with nothing; null
     doc_id: a row of its own, never linked; rows that repeat an id share their
-    component if their texts are equal; an empty table gives no rows; other
+    component if their texts are equal, and are linked each by its own text if
+    not; an empty table gives no rows; other
     columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n long, h1 long, h2 long, registers binary, bands array<long>"
-    sketched = stage(rows.mapInArrow(_sketches(n), schema), "sketches")
+    keyed, row = with_row_key(docs, "near-in")
+    told = _told(keyed, row, n, similarity)
+    return told.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _told(keyed: DataFrame, row: str, n: int, similarity: int) -> DataFrame:
+    """(place, row, doc_id, n_shingles, component_id, first_row) of every row; ``place`` is its key.
+
+    Rows are numbered as their sketches are written.  ``first_row`` is the row
+    that stands for the component, one of its smallest doc_id; null for rows
+    that are never linked.
+    """
+    place = F.col(row).alias("place")
+    rows = keyed.select(place, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "place struct<file:string,row_index:long>, doc_id long, n long, h1 long, h2 long, registers binary, bands array<long>"
+    sketched = rows.mapInArrow(_sketches(n), schema).withColumn("row", F.monotonically_increasing_id())
+    sketched = stage(sketched, "sketches")
     filled = sketched.filter("n > 0 AND doc_id IS NOT NULL")
-    first = F.min(F.struct("doc_id", "registers", "bands")).alias("first")
+    first = F.min(F.struct("doc_id", "row", "registers", "bands")).alias("first")
     classes = filled.groupBy("h1", "h2", "n").agg(first)
-    classes = classes.select("h1", "h2", "n", F.col("first.doc_id").alias("id"), "first.registers", "first.bands")
+    # equal sets have equal registers; below, a class goes by the number of its row
+    classes = classes.select(
+        "h1", "h2", "n", "first.doc_id", F.col("first.row").alias("id"), "first.registers", "first.bands"
+    )
     classes = stage(classes, "classes")
 
     # buckets with more than one class
@@ -279,8 +299,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = S
     near = stage(crowded.select("id").distinct(), "near")
     sketches = classes.select("id", "n", "registers").join(near, "id")
     sketches = stage(sketches, "near-sketches")
-    texts = rows.join(near, rows["doc_id"] == near["id"], "left_semi")
-    texts = stage(texts.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "near-texts")
+    places = sketched.select("place", F.col("row").alias("id")).join(near, "id")
+    texts = stage(rows.select("place", "text").join(places, "place").select("id", "text"), "near-texts")
 
     pairs = stage(hub_pairs(crowded, similarity), "proposed")
     links = stage(confirmed(candidates(pairs, sketches, similarity), texts, n, similarity), "links")
@@ -288,15 +308,21 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = S
     if not open_.isEmpty():
         links = links.unionByName(links_across(open_, sketches, texts, n, similarity))
     found = components(links)
-    member = classes.select("h1", "h2", "n", "id").join(found, "id", "left")
-    member = member.select("h1", "h2", "n", F.coalesce("component", "id").alias("component_id"))
-    told = sketched.select("doc_id", "n", "h1", "h2").join(member, ["h1", "h2", "n"], "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
+    member = classes.select("h1", "h2", "n", "doc_id", "id").join(found, "id", "left")
+    member = member.withColumn("component", F.coalesce("component", "id"))
+    least = member.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("least"))
+    member = member.join(least, "component").select(
+        "h1", "h2", "n", F.col("least.doc_id").alias("component_id"), F.col("least.id").alias("first_row")
+    )
+    told = sketched.select("place", "row", "doc_id", "n", "h1", "h2").join(member, ["h1", "h2", "n"], "left")
+    linked = F.col("doc_id").isNotNull()
     return told.select(
+        "place",
+        "row",
         "doc_id",
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("doc_id")).alias("kept"),
+        F.coalesce(F.when(linked, F.col("component_id")), F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.col("first_row")).alias("first_row"),
     )
 
 
@@ -445,6 +471,8 @@ def candidates(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFr
     return stage(joined.mapInPandas(_keep_likely(similarity), "a long, b long"), "candidates")
 
 
-def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The documents whole, one of every group of near duplicates."""
-    return without(docs, near_duplicates(docs, **settings).filter("NOT kept").select("doc_id"))
+def keep_one_of_each(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows whole, one of every group of near duplicates; rows without shingles or id stay."""
+    keyed, row = with_row_key(docs, "near-in")
+    told = _told(keyed, row, n, similarity)
+    return without(keyed, row, told.filter("first_row != row").select("place"))

@@ -7,7 +7,7 @@ from checking import connect, differences
 from llm_cases import ASCII_LOWER, ROWS, documents, near_components, no_documents, odd_documents
 from pyspark.sql import functions as F
 
-from headroom.llm import exact, graph, neardup
+from headroom.llm import common, exact, graph, neardup
 from headroom.llm.queries import ORACLES, QUERIES
 
 
@@ -161,3 +161,21 @@ def test_bands_find_similar_sets():
         keys = neardup.band_keys(np.array([neardup.registers(neardup.smallest_hashes(s)) for s in sets]))
         found += bool((keys[0] == keys[1]).any())
     assert found == 200
+
+
+def test_exact_drop_keeps_texts_of_null_ids(spark):
+    rows = [(None, "a b"), (1, "A b"), (None, "only here"), (None, None)]
+    left = exact.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["text"] or "") for r in left) == ["", "A b", "only here"]
+
+
+def test_row_keys_are_of_rows(spark, tmp_path):
+    """Straight from files a row is its place; rows that a plan multiplies are told apart too."""
+    path = str(tmp_path / "in")
+    spark.range(50).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text")).write.parquet(path)
+    files = spark.read.parquet(path)
+    double = files.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    for docs in (files, double, files.unionByName(files), files.crossJoin(spark.range(2))):
+        keyed, row = common.with_row_key(docs, "keys")
+        assert keyed.select(row).distinct().count() == docs.count()
+        assert keyed.drop(row).columns == docs.columns

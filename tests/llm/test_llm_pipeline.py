@@ -68,3 +68,36 @@ def test_stages_one_by_one(spark, data_folder, tmp_path):
 
 def test_run(spark, data_folder):
     assert corpus_pipeline.run(spark, data_folder).count() > 0
+
+
+def test_filters_decide_row_by_row(spark):
+    """Null ids of which one is rejected, one id with two texts, a row repeated whole."""
+    one, two, three = (" ".join(f"{w}{k}" for k in range(40)) for w in ("ab", "cd", "ef"))
+    rows = [
+        (None, "12 34"),  # no letter
+        (None, two.upper()),  # a copy of a text with an id
+        (None, "clean text of its own"),
+        (None, "another text"),
+        (None, "another text"),  # repeated whole
+        (1, one),
+        (2, two),
+        (2, two),  # repeated whole
+        (5, one + " tail"),  # near the text of 1
+        (5, three),  # another text under that id
+        (7, "12 34"),
+        (7, "text of seven"),
+    ]
+    source = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = corpus_pipeline.identify_language(spark, source, "")
+    wanted = Counter(r for r in rows if r[1] != "12 34")
+    assert Counter((r.doc_id, r.text) for r in told.collect()) == wanted
+    exact = corpus_pipeline.exact_dedup(spark, told, "")
+    assert exact.columns == source.columns
+    wanted = Counter(set(wanted) - {(None, two.upper())})
+    assert Counter((r.doc_id, r.text) for r in exact.collect()) == wanted
+    near = corpus_pipeline.near_dedup(spark, exact, "")
+    del wanted[5, one + " tail"]
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == wanted
+    # rows repeated whole also fall to one where near duplicates are dropped alone
+    alone = corpus_pipeline.near_dedup(spark, source.filter("doc_id = 2"), "")
+    assert alone.count() == 1
