@@ -38,9 +38,12 @@ def _(spark, sf_dir):
 
 @query("op3_sharding")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_name").alias("_file"))
-    plan = sharding.plan_reshard(docs, "_file", 40)
-    return plan.select(
+    at = F.col("_metadata")
+    # a row's place in the files of the table: ids may be null or repeat
+    docs = table(spark, sf_dir, "documents").select(
+        "*", at["file_name"].alias("_file"), F.struct(at["file_path"], at["row_index"]).alias("_place")
+    )
+    return sharding.reshard(docs, "_file", 40, "_place").select(
         "doc_id",
         "size",
         "text_crc32",

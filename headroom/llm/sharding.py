@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from headroom.llm.common import blocks_for, running_totals
-from headroom.session import stage
+from headroom.session import stage, stage_path
 
 ROW_BYTES = 16
 BLOCK_ROWS = 20_000
@@ -59,8 +59,13 @@ def document_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
-def plan_reshard(docs: DataFrame, old: str, shards: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot) of every document.
+def plan_reshard(
+    docs: DataFrame, old: str, shards: int, block_rows: int = BLOCK_ROWS, row: str | None = None
+) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, shard, slot) of every document, and ``row`` if there is one.
+
+    ``row`` is a column that tells every row from every other and stays the
+    same whenever ``docs`` is read: written, or the file and position of a row.
 
     ``old`` is a column with the name of the shard that holds a document now;
     old shards are numbered by name, and old shard i is what new shard i was.
@@ -74,12 +79,14 @@ def plan_reshard(docs: DataFrame, old: str, shards: int, block_rows: int = BLOCK
     empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    key = [] if row is None else [row]
     name = F.coalesce(F.concat(F.lit("/"), F.col(old)), F.lit(""))
     slim = docs.select(
         "doc_id",
         document_size(F.col("text")).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
         name.alias("_name"),
+        *key,
     )
     slim = stage(slim, "sizes")
     sizes = slim.groupBy("_name").agg(F.sum("size"), F.count(F.lit(1))).orderBy("_name").collect()
@@ -90,12 +97,13 @@ def plan_reshard(docs: DataFrame, old: str, shards: int, block_rows: int = BLOCK
     numbers = spark.createDataFrame([(r[0], i) for i, r in enumerate(sizes)], "_name string, old_shard int")
     moves = spark.createDataFrame(ranges, "old_shard int, shard int, _from long, _to long")
     numbered = slim.join(F.broadcast(numbers), "_name").drop("_name")
-    placed = running_totals(numbered, ["old_shard"], ["doc_id", "text_crc32", "size"], {"_start": F.col("size")}, blocks)
+    placed = running_totals(numbered, ["old_shard"], ["doc_id", "text_crc32", "size", *key], {"_start": F.col("size")}, blocks)
     middle = F.col("_start") + F.floor(F.col("size") / 2)
     placed = placed.join(F.broadcast(moves), "old_shard").filter((middle >= F.col("_from")) & (middle < F.col("_to")))
-    placed = stage(placed.select("doc_id", "size", "text_crc32", "old_shard", "shard"), "placed")
-    return running_totals(placed, ["shard"], ["doc_id", "text_crc32", "size", "old_shard"], {"slot": F.lit(1)}, blocks).select(
-        "doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot")
+    placed = stage(placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", *key), "placed")
+    order = ["doc_id", "text_crc32", "size", "old_shard", *key]
+    return running_totals(placed, ["shard"], order, {"slot": F.lit(1)}, blocks).select(
+        "doc_id", "size", "text_crc32", "old_shard", "shard", F.col("slot").cast("long").alias("slot"), *key
     )
 
 
@@ -111,8 +119,47 @@ def affected_shards(plan: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str) -> None:
-    """Write the new files of the affected shards, one folder each; other shards stay as they are."""
+def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, row: str | None = None) -> None:
+    """Write the new files of the affected shards, one folder each; other shards stay as they are.
+
+    Documents meet their plan by ``row``, the column the plan was made with,
+    which is not written.  Without it they meet by doc_id, and null or
+    repeated ids raise, as their rows would be lost or multiplied.
+    """
+    if row is None and not plan.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        raise ValueError("ids are null or repeat: plan and rewrite with a row key")
+    key = "doc_id" if row is None else row
     changed = plan.join(F.broadcast(affected_shards(plan).select("shard")), "shard")
-    moved = docs.join(changed.select("doc_id", "shard", "slot"), "doc_id")
+    moved = docs.join(changed.select(key, "shard", "slot"), key)
+    moved = moved if row is None else moved.drop(row)
     moved.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).write.partitionBy("shard").mode("overwrite").parquet(path)
+
+
+def reshard(docs: DataFrame, old: str, shards: int, row: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Plan, rewrite the affected shards, and tell what their files hold.
+
+    (doc_id, size, text_crc32, old_shard, shard, slot) of every document.
+    Files are written under ``spark.checkpoint.dir``, with all columns of
+    ``docs`` but ``old`` and ``row``.  Sizes and checksums are those of the
+    texts in the new files, and in the old files of shards that stay as they
+    are; only old_shard is taken from the plan.  ``row`` as in ``plan_reshard``.
+    """
+    spark = docs.sparkSession
+    plan = stage(plan_reshard(docs, old, shards, block_rows, row), "plan")
+    path = stage_path(spark, "shards")
+    whole = docs.drop(old)
+    rewrite_affected(whole, plan, path, row)
+    schema = whole.drop(row).schema.add("slot", "long").add("shard", "integer")
+    written = _digests(spark.read.schema(schema).parquet(path), "shard", "slot")
+    told = written.join(plan.select("shard", "slot", "old_shard"), ["shard", "slot"], "left")
+    stay = plan.join(F.broadcast(affected_shards(plan).select("shard")), "shard", "left_anti")
+    if not stay.isEmpty():
+        told = told.unionByName(_digests(docs, row).join(stay.select(row, "old_shard", "shard", "slot"), row).drop(row))
+    return told.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+
+
+def _digests(docs: DataFrame, *others: str) -> DataFrame:
+    text = F.col("text")
+    return docs.select(
+        "doc_id", document_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), *others
+    )

@@ -1,6 +1,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -156,6 +157,46 @@ def test_rewrite_affected(spark, tmp_path):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in written.collect()} == wanted
 
 
+def test_reshard_keeps_null_and_repeated_ids(spark, tmp_path):
+    """Several null ids, one id with several texts and rows repeated whole: every row once, in the files too."""
+    rows = [(None if i % 5 == 0 else i % 7, "x" * (i % 11), "ab"[i > 40]) for i in range(120)]
+    rows += [(3, "same", "a")] * 6 + [(None, None, "b")] * 3
+    path = str(tmp_path / "in")
+    df = spark.createDataFrame(rows, "doc_id long, text string, file string")
+    df.withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = sharding.reshard(docs, "file", 3, "at", block_rows=20).collect()
+    check_shards(got, [r[:2] for r in rows], 3)
+    plan = sharding.plan_reshard(docs, "file", 3, row="at")
+    sharding.rewrite_affected(docs, plan, str(tmp_path / "out"), "at")
+    written = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in written) == Counter(r[:2] for r in rows)
+    with pytest.raises(ValueError, match="row key"):
+        sharding.rewrite_affected(docs, plan, str(tmp_path / "no"))
+
+
+def test_shards_that_stay_are_read_from_their_old_files(spark, tmp_path):
+    rows = [(i, "x" * 10, "a") for i in range(30)] + [(i, "y" * 10, "b") for i in range(20)] + [(i, "z" * 10, "c") for i in range(40)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "doc_id long, text string, file string").withColumn("at", F.monotonically_increasing_id()).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = sharding.reshard(docs, "file", 3, "at").collect()
+    check_shards(got, [r[:2] for r in rows], 3)
+    assert {(r["old_shard"], r["shard"]) for r in got} == {(0, 0), (1, 1), (2, 1), (2, 2)}
+
+
+def test_sharding_query_writes_its_shards(spark, data_folder):
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "headroom"
+    before = set(folder.glob("shards-*"))
+    rows = QUERIES["op3_sharding"](spark, data_folder).collect()
+    (path,) = set(folder.glob("shards-*")) - before
+    files = spark.read.parquet(str(path)).collect()
+    shards = {r["shard"] for r in files}
+    wanted = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows if r["shard"] in shards)
+    assert Counter((r["doc_id"], size_of(r["text"]), zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in files) == wanted
+    assert {r["old_shard"] for r in rows if r["shard"] not in shards} <= {r["shard"] for r in rows} - shards
+
+
 # --- mixing --------------------------------------------------------------------------------
 
 
