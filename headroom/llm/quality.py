@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from headroom.llm.common import id_remainder
 from headroom.llm.words import groups
+from headroom.session import stage
 
 CHUNK = 512
 STEP = 480
@@ -25,7 +26,7 @@ HIDDEN = 16
 THRESHOLD = 0.3
 
 SAMPLE_ROWS = 5_000
-SAMPLE_CHUNKS = 8
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 10
 BATCH = 64
 RATE = 0.01
@@ -90,33 +91,51 @@ def probability(logits: np.ndarray) -> np.ndarray:
 # --- training ------------------------------------------------------------------------------
 
 
-def _sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to ``SAMPLE_CHUNKS`` chunks of a text, evenly over the whole of it."""
+def _all_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every chunk of a text."""
     for batch in batches:
         out = []
         for first, last, data, bounds in groups(batch.column(2)):
             start, text = chunk_starts(bounds)
             cuts = np.searchsorted(text, np.arange(last - first + 1))
             for k in range(last - first):
-                n = cuts[k + 1] - cuts[k]
-                chosen = cuts[k] + np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(int))
-                ends = np.full(len(chosen), bounds[k + 1])
-                out.append(read_chunks(data, start[chosen], ends).tobytes())
+                own = start[cuts[k] : cuts[k + 1]]
+                out.append(read_chunks(data, own, np.full(len(own), bounds[k + 1])).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "chunks"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Chunks and labels of about ``sample_rows`` labelled documents, drawn by a hash of the id."""
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int = SAMPLE_BYTES
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """All chunks and the labels of about ``sample_rows`` labelled documents, drawn by a hash of the id.
+
+    If their chunks take more than ``sample_bytes``, there are fewer
+    documents: they are taken in the order of the hash, whole, and one that
+    does not fit into what is left is passed over.
+    """
     labels = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
     labels = labels.filter(~held_out(F.col("doc_id")))
     rows = labels.count()
     share = min(1.0, sample_rows / rows) if rows else 1.0
     # a bounded number of rows: that is what the share is for
-    drawn = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)) < int(share * PLACES))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES))
+    drawn = labels.filter(place < int(share * PLACES))
     drawn = drawn.groupBy("doc_id").agg(F.max("y").alias("y"))
     id_type = dict(docs.dtypes)["doc_id"]
     found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
-    table = found.mapInArrow(_sample_chunks, f"doc_id {id_type}, y double, chunks binary").orderBy("doc_id", "chunks").toArrow()
+    found = stage(found, "labelled")
+    size = F.greatest(F.lit(1), F.ceil((F.coalesce(F.octet_length("text"), F.lit(0)) - (CHUNK - STEP)) / STEP)) * CHUNK
+    # one row per drawn document
+    sizes = found.groupBy("doc_id").agg(F.sum(size).alias("size")).select("doc_id", "size", place.alias("place")).collect()
+    if sum(r["size"] for r in sizes) > sample_bytes:
+        fits, left = [], sample_bytes
+        for doc_id, bytes_, _ in sorted(sizes, key=lambda r: (r["place"], r["doc_id"])):
+            if bytes_ <= left:
+                fits.append((doc_id,))
+                left -= bytes_
+        fits = docs.sparkSession.createDataFrame(fits, docs.select("doc_id").schema)
+        found = found.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "text")
+    table = found.mapInArrow(_all_chunks, f"doc_id {id_type}, y double, chunks binary").orderBy("doc_id", "chunks").toArrow()
     chunks = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in table.column("chunks").to_pylist()]
     return chunks, np.array(table.column("y").to_pylist(), dtype=float)
 
@@ -230,11 +249,18 @@ def held_out(doc_id):
     return F.coalesce(id_remainder(doc_id, 5) == 0, F.lit(False))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, model: dict | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    model: dict | None = None,
+    sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document.
 
     Without a ``model`` one is trained on a sample of about ``sample_rows``
-    labelled documents that are not held out.  Scores read whole texts.
+    labelled documents that are not held out.  Training and scores read whole
+    texts; ``sample_bytes`` bounds the number of documents trained on.
 
     Defined cases: null and empty texts are one chunk of zeros and get a score
     too; null labels are left out, of several labels of a document the largest
@@ -242,7 +268,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: dict | None = None,
     share; an empty table gives no rows; other columns are ignored.
     """
     if model is None:
-        model = train_quality_model(*labelled_sample(docs, labels, sample_rows))
+        model = train_quality_model(*labelled_sample(docs, labels, sample_rows, sample_bytes))
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     id_type = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(quality_scorer(model), f"doc_id {id_type}, held_out boolean, score double, predicted int")

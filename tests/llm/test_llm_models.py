@@ -167,6 +167,22 @@ def test_quality_odd_cases(spark):
     assert {r["score"] for r in alone} == {0.5}
 
 
+def test_quality_trains_on_whole_texts(spark):
+    """Junk in any one chunk of a long text reaches training; a bound in bytes lowers the number of texts only."""
+    texts = [(i, "".join(f"{i:03d}-{k:04d} " for k in range(600 + i))) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    trained = [(i, t.encode()) for i, t in texts if crc(i) % 5]
+    chunks, y = quality.labelled_sample(docs, labels, 5000)
+    assert y.tolist() == [i % 2 for i, _ in trained]
+    for (_, text), own in zip(trained, chunks, strict=True):
+        assert len(own) > 8 and b"".join(c[: quality.STEP].tobytes() for c in own[:-1]) + own[-1].tobytes().rstrip(b"\0") == text
+    few, _ = quality.labelled_sample(docs, labels, 5000, sample_bytes=80 * quality.CHUNK)
+    assert 1 < len(few) < len(chunks) and sum(c.nbytes for c in few) <= 80 * quality.CHUNK
+    whole = {c.tobytes() for c in chunks}
+    assert all(c.tobytes() in whole for c in few)
+
+
 # --- repetition rules --------------------------------------------------------------------
 
 
