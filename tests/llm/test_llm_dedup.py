@@ -1,5 +1,5 @@
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -163,6 +163,19 @@ def test_bands_find_similar_sets():
     assert found == 200
 
 
+def test_near_classes_of_one_id(spark):
+    """An id with two texts: each is linked by its own text, whichever comes first."""
+    one, two, three = ([f"{w}{k}" for k in range(60)] for w in ("a", "b", "c"))
+    rows = [(9, one), (9, two), (9, three), (3, [*one, "x"]), (20, [*two, "y"]), (30, [*three, "z"]), (31, [*three, "z", "q"])]
+    wanted = Counter({(9, 58, 3): 1, (3, 59, 3): 1, (9, 58, 9): 2, (20, 59, 9): 1, (30, 59, 9): 1, (31, 60, 9): 1})
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in order], "doc_id long, text string")
+        got = neardup.near_duplicates(df).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == wanted
+        left = neardup.keep_one_of_each(df).collect()
+        assert Counter(r["text"] for r in left) == Counter(" ".join(w) for w in ([*one, "x"], two, three))
+
+
 def test_exact_drop_keeps_texts_of_null_ids(spark):
     rows = [(None, "a b"), (1, "A b"), (None, "only here"), (None, None)]
     left = exact.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
