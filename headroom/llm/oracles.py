@@ -34,3 +34,55 @@ SELECT conv_id,
         AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), l AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+    SELECT text, min(doc_id) AS first FROM d GROUP BY text
+), w AS (
+    SELECT d.*, regexp_extract_all(d.text, '[^\x20\x09-\x0D]+') AS words,
+        coalesce(d.doc_id > f.first, false) AS copy, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+    FROM d JOIN f USING (text) LEFT JOIN l ON d.doc_id = l.doc_id
+), m AS (
+    SELECT part, good, toxic,
+        CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN copy THEN 'E' ELSE '' END AS fails
+    FROM w
+), c AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM m GROUP BY part, fails
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS earlier
+    FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), s AS (
+    SELECT part, filter_order, step, filter, n, good, toxic, fails,
+        contains(fails, filter) AS hit,
+        len(fails) > 0 AND len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AS gone
+    FROM c, steps
+), t AS (
+    SELECT part, filter_order, step, any_value(filter) AS filter,
+        coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = filter), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost,
+        coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+    FROM s GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM t
+"""
