@@ -86,3 +86,42 @@ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, uniq
     (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
 FROM t
 """
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'
+        ) AS terms
+    FROM documents
+), t AS (
+    SELECT doc, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+    SELECT lang, term, count(*)::HUGEINT AS in_lang FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), v AS (
+    SELECT lang, count(*)::HUGEINT AS kept, sum(in_lang)::HUGEINT AS lang_total FROM kept GROUP BY lang
+), c AS (
+    SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+    SELECT lang, source, coalesce((SELECT sum(n) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0)::HUGEINT AS total
+    FROM (SELECT DISTINCT lang, source FROM d) x
+), p AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v.kept) AS p,
+        1 + (1000000000 * (k.in_lang + 5)) // (v.lang_total + 5 * v.kept) AS q
+    FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+WHERE part = 'pair' OR rank <= 50
+"""

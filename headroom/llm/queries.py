@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headroom.llm import audit, chat, exact, language, mixing, neardup, packing, quality, rules, sharding, tokens
+from headroom.llm import audit, chat, divergence, exact, language, mixing, neardup, packing, quality, rules, sharding, tokens
 from headroom.llm.common import table
 from headroom.llm.oracles import ORACLES  # noqa: F401
 
@@ -100,3 +100,8 @@ def _(spark, sf_dir):
 @query("op11_filter_audit")
 def _(spark, sf_dir):
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_source_divergence")
+def _(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
