@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from headroom.llm import audit, chat, divergence, exact, language, mixing, neardup, packing, quality, rules, sharding, tokens
+from headroom.llm import (
+    audit,
+    chat,
+    divergence,
+    exact,
+    language,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    rules,
+    sharding,
+    tokens,
+    vectorpack,
+)
 from headroom.llm.common import table
 from headroom.llm.oracles import ORACLES  # noqa: F401
 
@@ -105,3 +119,8 @@ def _(spark, sf_dir):
 @query("op12_source_divergence")
 def _(spark, sf_dir):
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_packing")
+def _(spark, sf_dir):
+    return vectorpack.pack_examples(table(spark, sf_dir, "documents"), TOKENIZER)
