@@ -791,6 +791,119 @@ oracle(
     "order_solved",
     "order_totals",
 )
+# Orders with moving-average terms: a long autoregression, then its residuals as further inputs.
+step("long_rows", lagged("w", [1, 2, 3, 4], "degrees", 0, ", d").replace("step >= 0", "step >= 4 + d"), "degrees")
+normal_equations("long_sums", "long_rows", 4, "machine_id, d")
+linear_solver("long", "long_sums")
+step(
+    "long_residuals",
+    """SELECT machine_id, d, step, w, w - list_dot_product(phi, z[1:4]) AS e
+    FROM long_rows JOIN long_solved USING (machine_id, d)""",
+    "long_rows",
+    "long_solved",
+)
+step(
+    "arma_rows",
+    """SELECT * FROM (SELECT machine_id, d, step, w, [b.w1, b.w2, lag(e, 1) OVER s, lag(e, 2) OVER s, w] AS z
+    FROM long_residuals JOIN (SELECT machine_id, d, step, z[1] AS w1, z[2] AS w2 FROM long_rows) b
+    USING (machine_id, d, step) WINDOW s AS (PARTITION BY machine_id, d ORDER BY step)) WHERE step >= 6 + d""",
+    "long_residuals",
+    "long_rows",
+)
+normal_equations("arma_sums", "arma_rows", 4, "machine_id, d")
+step(
+    "arma_systems",
+    """SELECT machine_id, d, p, q, list_transform(places, lambda i: list_append(list_transform(places, lambda j: m[i][j]), m[i][5])) AS m,
+    list_transform(places, lambda i: m[i][5]) AS b FROM (SELECT *, list_concat(range(1, p + 1), range(3, q + 3)) AS places
+    FROM arma_sums, (SELECT unnest(range(0, 3)) AS p), (SELECT unnest(range(0, 3)) AS q) WHERE p + q > 0)""",
+    "arma_sums",
+)
+linear_solver("arma", "arma_systems")
+step("arma_totals", "SELECT machine_id, d, sum(w * w) AS total, count(*) AS n FROM arma_rows GROUP BY 1, 2", "arma_rows")
+oracle(
+    "arma_order_search",
+    f"""SELECT machine_id, p::int AS p, d, q::int AS q, {r('aic', 'aic', 6)} FROM (
+    SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY aic, p, d, q) AS best FROM (
+    SELECT machine_id, p, d, q, n * ln((total - list_dot_product(phi, b)) / n) + 2 * (p + q + 1) AS aic
+    FROM arma_solved JOIN arma_totals USING (machine_id, d) WHERE n > p + q + 1 AND total > 0)) WHERE best = 1""",
+    "arma_solved",
+    "arma_totals",
+)
+
+# One Gauss-Newton step of the seasonal model: shocks are sums over whole seasons back.
+_PHI, _SPHI, _STHETA = (0.3, 0.1, -0.1, 0.05, 0.02), 0.2, 0.4
+_OWN = " - ".join(["w", *[f"({c}::double) * lag(w, {i}) OVER s" for i, c in enumerate(_PHI, 1)]])
+_OWN_BEFORE = " - ".join(["lag(w, 12) OVER s", *[f"({c}::double) * lag(w, {i + 12}) OVER s" for i, c in enumerate(_PHI, 1)]])
+step(
+    "season_inputs",
+    f"""SELECT * FROM (SELECT machine_id, step, {_OWN} - {_SPHI}::double * ({_OWN_BEFORE}) AS u, -({_OWN_BEFORE}) AS v6,
+    {', '.join(f'{_SPHI}::double * lag(w, {i + 12}) OVER s - lag(w, {i}) OVER s AS v{i}' for i in range(1, 6))}
+    FROM seasonal_changes WINDOW s AS (PARTITION BY machine_id ORDER BY step)) WHERE step >= 30""",
+    "seasonal_changes",
+)
+_BACK = f"pow(-{_STHETA}::double, (a.step - b.step) // 12)"
+step(
+    "season_shocks",
+    f"""SELECT a.machine_id, a.step, sum({_BACK} * b.u) AS e,
+    {', '.join(f'sum({_BACK} * b.v{i}) AS j{i}' for i in range(1, 7))}
+    FROM season_inputs a JOIN season_inputs b ON a.machine_id = b.machine_id AND b.step <= a.step
+    AND (a.step - b.step) % 12 = 0 GROUP BY ALL""",
+    "season_inputs",
+)
+step(
+    "season_rows",
+    f"""SELECT a.machine_id, a.step, any_value(a.e) AS e, [any_value(a.j1), any_value(a.j2), any_value(a.j3), any_value(a.j4),
+    any_value(a.j5), any_value(a.j6), coalesce(-sum(pow(-{_STHETA}::double, (a.step - 12 - b.step) // 12) * b.e), 0), any_value(a.e)] AS z
+    FROM season_shocks a LEFT JOIN season_shocks b ON a.machine_id = b.machine_id AND b.step <= a.step - 12
+    AND (a.step - b.step) % 12 = 0 GROUP BY ALL""",
+    "season_shocks",
+)
+normal_equations("season_sums", "season_rows", 7)
+linear_solver("season", "season_sums")
+_START = [*_PHI, _SPHI, _STHETA]
+oracle(
+    "seasonal_ma_step",
+    f"""SELECT machine_id, n, {r('squares', 'sum_squares', 6)},
+    list_transform(m, lambda x: {rounded('x[8]', 6)}) AS slope,
+    list_transform(range(1, 8), lambda i: {rounded(f'({_START}::double[])[i] - phi[i]', 6)}) AS params
+    FROM season_solved JOIN season_sums USING (machine_id)
+    JOIN (SELECT machine_id, count(*) AS n, sum(e * e) AS squares FROM season_rows GROUP BY 1) USING (machine_id) WHERE n > 7""",
+    "season_solved",
+    "season_sums",
+    "season_rows",
+)
+
+# The exact likelihood of one lag on first differences, filtered step by step.
+step(
+    "one_lag",
+    """SELECT machine_id, sum(w * before) / sum(before * before) AS phi, any_value(n) AS n FROM (SELECT machine_id, w,
+    lag(w) OVER (PARTITION BY machine_id ORDER BY step) AS before, count(*) OVER (PARTITION BY machine_id) AS n FROM changes)
+    GROUP BY 1 HAVING any_value(n) >= 20""",
+    "changes",
+)
+step(
+    "likelihood_walk",
+    """SELECT machine_id, 0::bigint AS step, phi, 0.0::double AS state, 1 / (1 - phi * phi) AS spread, 0.0::double AS squares,
+    0.0::double AS logs FROM one_lag WHERE abs(phi) < 1
+    UNION ALL SELECT t.machine_id, c.step, t.phi, t.phi * t.state + t.phi * (c.w - t.state),
+    t.phi * t.phi * t.spread + 1 - t.phi * t.phi * t.spread, t.squares + pow(c.w - t.state, 2) / t.spread, t.logs + ln(t.spread)
+    FROM likelihood_walk t JOIN changes c ON c.machine_id = t.machine_id AND c.step = t.step + 1""",
+    "one_lag",
+    "changes",
+)
+step(
+    "likelihoods",
+    """SELECT machine_id, squares / step AS noise, -0.5 * (step * (ln(2 * pi() * squares / step) + 1) + logs) AS found
+    FROM (SELECT *, max(step) OVER (PARTITION BY machine_id) AS last FROM likelihood_walk) WHERE step = last""",
+    "likelihood_walk",
+)
+oracle(
+    "ar1_likelihood",
+    f"""SELECT machine_id, {r('found', 'log_likelihood', 6)}, {r('noise', 'noise', 6)}, {r('4 - 2 * found', 'aic', 6)}
+    FROM one_lag LEFT JOIN likelihoods USING (machine_id)""",
+    "one_lag",
+    "likelihoods",
+)
 oracle(
     "forecast_pooled",
     _forecast("lstm", "pooled_walk", "low + (high - low) * tail[12]", 22),

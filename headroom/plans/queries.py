@@ -15,7 +15,7 @@ from headroom.functions.features import over_provisioning_columns, temporal_feat
 from headroom.functions.parse import parse_metric
 from headroom.functions.rounding import rounded
 from headroom.operators import capacity as cap
-from headroom.operators import clean, cluster, compare, density
+from headroom.operators import arma, clean, cluster, compare, density
 from headroom.operators import forecast as fc
 from headroom.operators import windows as win
 from headroom.operators.blocks import kth_distances
@@ -44,6 +44,7 @@ TIES = ["event_id"]
 DIGITS = 8
 HORIZON = 6
 DENSITY = {"eps": 0.9, "min_samples": 5}
+SEASONAL_START = [0.3, 0.1, -0.1, 0.05, 0.02, 0.2, 0.4]  # phi, seasonal phi, seasonal theta
 SWEEP = [(0.65, 0.40), (0.75, 0.40), (0.85, 0.40), (0.75, 0.30)]
 
 
@@ -661,6 +662,33 @@ def _(spark, sf_dir):
     return fc.ar_order_search(series(spark, sf_dir))
 
 
+@query("arma_order_search", 6)
+def _(spark, sf_dir):
+    return arma.order_search(shared_series(spark, sf_dir), max_p=2, max_d=2, max_q=2)
+
+
+@query("seasonal_ma_step", 6)
+def _(spark, sf_dir):
+    return arma.gauss_newton_step(series(spark, sf_dir), SEASONAL_START)
+
+
+@query("forecast_seasonal_ma")
+def _(spark, sf_dir):
+    return arma.predict_arma(arma.fit_seasonal_ma(series(spark, sf_dir)), HORIZON)
+
+
+@query("ar1_likelihood", 6)
+def _(spark, sf_dir):
+    table = shared_series(spark, sf_dir)
+    fitted = fc.fit_ar1(table).filter(F.size("weights") == 2)
+    return arma.exact_likelihood(table, fitted.withColumn("params", F.array(-F.col("weights")[0])))
+
+
+@query("forecast_likeliest")
+def _(spark, sf_dir):
+    return arma.predict_arma(arma.fit_arma(series(spark, sf_dir), arma.Orders(p=1, d=1, q=1), exact=True), HORIZON)
+
+
 @query("forecast_pooled")
 def _(spark, sf_dir):
     return fc.predict(fc.fit_pooled(series(spark, sf_dir)), HORIZON)

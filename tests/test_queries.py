@@ -13,6 +13,8 @@ ROWS_ONLY = {
     "k_sweep",
     "pca_2d",
     "forecast_hybrid",
+    "forecast_seasonal_ma",
+    "forecast_likeliest",
     "model_comparison",
     "comparison_averages",
     "full_experiment",
