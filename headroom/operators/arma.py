@@ -536,8 +536,13 @@ def fit_seasonal_ma(series: DataFrame, **options) -> DataFrame:
 
 
 def predict_arma(models: DataFrame, steps: int, key: str = "machine_id") -> DataFrame:
-    """(machine, strategy, h, y_pred) for h = 1..steps: past levels by their weights, plus what past shocks add."""
+    """(machine, strategy, h, y_pred) for h = 1..steps: past levels by their weights, plus the shocks given.
+
+    Models with ``clip_each`` are limited to [0, 1] at every step, before the
+    value goes into later ones.
+    """
     kinds = dict(models.dtypes)
+    each = F.col("clip_each") if "clip_each" in models.columns else F.lit(False)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -547,8 +552,10 @@ def predict_arma(models: DataFrame, steps: int, key: str = "machine_id") -> Data
             for i, (w, t, s) in enumerate(zip(batch["weights"], batch["tail"], batch["shocks"], strict=True)):
                 weights[i, size - len(w) :], held[i, size - len(t) : size] = w, t
                 added[i, : len(s)] = s[:steps]
+            each_step = batch["_each"].to_numpy(dtype=bool)
             for h in range(steps):
-                held[:, size + h] = (weights * held[:, h : size + h]).sum(axis=1) + added[:, h]
+                following = (weights * held[:, h : size + h]).sum(axis=1) + added[:, h]
+                held[:, size + h] = np.where(each_step, np.clip(following, 0.0, 1.0), following)
             ahead = held[:, size:]
             ahead = np.where(batch["clip_end"].to_numpy(dtype=bool)[:, None], np.clip(ahead, 0.0, 1.0), ahead)
             yield pd.DataFrame(
@@ -560,7 +567,7 @@ def predict_arma(models: DataFrame, steps: int, key: str = "machine_id") -> Data
                 }
             )
 
-    used = models.select(key, "strategy", "weights", "tail", "shocks", "clip_end")
+    used = models.select(key, "strategy", "weights", "tail", "shocks", "clip_end", each.alias("_each"))
     return used.mapInPandas(walk, f"{key} {kinds[key]}, strategy string, h int, y_pred double")
 
 

@@ -7,6 +7,7 @@ listed in ``STEPS``; a step may use the ones it names.
 from __future__ import annotations
 
 from headroom.functions.rounding import BREAK
+from headroom.operators.recurrent import Network
 
 ORACLES: dict[str, str] = {}
 
@@ -904,6 +905,97 @@ oracle(
     "one_lag",
     "likelihoods",
 )
+# A small recurrent network: its fixed weights, then state by state, then the pooled readout.
+_INNER, _INTO, _SHIFT = (w.tolist() for w in Network(units=4, lags=2).weights())
+
+
+def _state(state: str, value: str) -> str:
+    """The state after a value."""
+    return f"""list_transform(range(1, 5), lambda i: tanh(list_dot_product(({_INNER}::double[][])[i], {state})
+    + {value} * ({_INTO}::double[])[i] + ({_SHIFT}::double[])[i]))"""
+
+
+step(
+    "net_series",
+    """SELECT machine_id, at_step, n, low, span, CASE WHEN span > 0 THEN (y - low) / span ELSE 0 END AS x FROM (
+    SELECT machine_id, y, row_number() OVER o AS at_step, count(*) OVER m AS n, min(y) OVER m AS low,
+    max(y) OVER m - min(y) OVER m AS span FROM series
+    WINDOW o AS (PARTITION BY machine_id ORDER BY step), m AS (PARTITION BY machine_id))""",
+    "series",
+)
+step(
+    "net_walk",
+    f"""SELECT machine_id, 0::bigint AS at_step, 0.0::double AS x, 0.0::double AS before, [0.0, 0.0, 0.0, 0.0]::double[] AS state
+    FROM net_series WHERE at_step = 1
+    UNION ALL SELECT t.machine_id, s.at_step, s.x, t.x, {_state('t.state', 's.x')}
+    FROM net_walk t JOIN net_series s ON s.machine_id = t.machine_id AND s.at_step = t.at_step + 1""",
+    "net_series",
+)
+step(
+    "net_rows",
+    """SELECT 'all' AS pool, list_concat([1.0, w.x, w.before], w.state, [s.x]) AS z FROM net_walk w
+    JOIN net_series s ON s.machine_id = w.machine_id AND s.at_step = w.at_step + 1 WHERE w.at_step >= 2 AND s.n >= 12""",
+    "net_walk",
+    "net_series",
+)
+normal_equations("net_sums", "net_rows", 7, "pool")
+step(
+    "net_ridge",
+    """SELECT pool, list_transform(range(1, 8), lambda i: list_transform(range(1, 9), lambda j:
+    m[i][j] + CASE WHEN i = j AND i > 1 THEN 1e-4 * m[1][1] ELSE 0 END)) AS m FROM net_sums""",
+    "net_sums",
+)
+linear_solver("net", "net_ridge")
+oracle(
+    "recurrent_readout",
+    f"""SELECT (i - 1)::int AS input, {r('phi[i]', 'weight', 6)} FROM net_solved, (SELECT unnest(range(1, 8)) AS i)""",
+    "net_solved",
+)
+step(
+    "net_ahead",
+    f"""SELECT w.machine_id, 0 AS h, w.x, w.before, w.state, s.low, s.span, s.n FROM net_walk w
+    JOIN net_series s ON s.machine_id = w.machine_id AND s.at_step = w.at_step AND s.at_step = s.n
+    UNION ALL SELECT machine_id, h + 1, v, x, {_state('state', 'v')}, low, span, n FROM (
+    SELECT *, list_dot_product(phi, list_concat([1.0, x, before], state)) AS v FROM net_ahead, net_solved WHERE h < 6)""",
+    "net_walk",
+    "net_series",
+    "net_solved",
+)
+oracle(
+    "forecast_recurrent",
+    f"""SELECT machine_id, 'recurrent' AS strategy, h::int AS h,
+    {r('CASE WHEN n >= 12 THEN least(1, greatest(0, low + span * x)) ELSE low + span * newest END', 'y_pred', 6)}
+    FROM net_ahead JOIN (SELECT machine_id, x AS newest FROM net_ahead WHERE h = 0) USING (machine_id) WHERE h > 0""",
+    "net_ahead",
+)
+
+# Noise named by seed, machine and step.
+_UNIT = "(('0x' || substr(digest, {}, 13))::bigint + {}) / 4503599627370496.0::double"
+step(
+    "noise",
+    f"""SELECT machine_id, h, 0.1 * spread * sqrt(-2 * ln({_UNIT.format(1, 1)})) * cos(2 * pi() * ({_UNIT.format(14, 0)})) AS noise
+    FROM (SELECT machine_id, h, spread, md5('42:' || machine_id || ':' || h) AS digest
+    FROM (SELECT machine_id, stddev_pop(y) AS spread FROM series GROUP BY 1), horizon)""",
+    "series",
+    "horizon",
+)
+step(
+    "noisy",
+    """SELECT machine_id, 0 AS h, tail, w FROM weighted WHERE h = 0
+    UNION ALL SELECT t.machine_id, t.h + 1, list_append(tail[2:],
+    least(1, greatest(0, list_dot_product(tail, w) / list_sum(w) + noise))), w
+    FROM noisy t JOIN noise n ON n.machine_id = t.machine_id AND n.h = t.h + 1""",
+    "weighted",
+    "noise",
+)
+oracle(
+    "forecast_weighted_noisy",
+    f"""SELECT machine_id, 'weighted' AS strategy, h::int AS h, {r('tail[12]', 'y_pred')} FROM noisy WHERE h > 0
+    UNION ALL SELECT machine_id, 'weighted', h, {rounded('least(1, greatest(0, last))')} FROM short, horizon""",
+    "noisy",
+    "short",
+    "horizon",
+)
 oracle(
     "forecast_pooled",
     _forecast("lstm", "pooled_walk", "low + (high - low) * tail[12]", 22),

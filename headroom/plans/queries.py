@@ -17,6 +17,7 @@ from headroom.functions.rounding import rounded
 from headroom.operators import capacity as cap
 from headroom.operators import arma, clean, cluster, compare, density
 from headroom.operators import forecast as fc
+from headroom.operators import recurrent
 from headroom.operators import windows as win
 from headroom.operators.blocks import kth_distances
 from headroom.operators.scale import available_features, scaled_features
@@ -44,6 +45,7 @@ TIES = ["event_id"]
 DIGITS = 8
 HORIZON = 6
 DENSITY = {"eps": 0.9, "min_samples": 5}
+SMALL_NETWORK = recurrent.Network(units=4, lags=2)
 SEASONAL_START = [0.3, 0.1, -0.1, 0.05, 0.02, 0.2, 0.4]  # phi, seasonal phi, seasonal theta
 SWEEP = [(0.65, 0.40), (0.75, 0.40), (0.85, 0.40), (0.75, 0.30)]
 
@@ -689,6 +691,25 @@ def _(spark, sf_dir):
     return arma.predict_arma(arma.fit_arma(series(spark, sf_dir), arma.Orders(p=1, d=1, q=1), exact=True), HORIZON)
 
 
+@query("recurrent_readout", 6)
+def _(spark, sf_dir):
+    # the pooled readout of a small network, as a table: one row per input
+    weights = recurrent.readout(series(spark, sf_dir), SMALL_NETWORK)
+    rows = [] if weights is None else [(i, float(w)) for i, w in enumerate(weights)]
+    return spark.createDataFrame(rows, "input int, weight double")
+
+
+@query("forecast_recurrent", 6)
+def _(spark, sf_dir):
+    table = shared_series(spark, sf_dir)
+    return recurrent.predict_recurrent(recurrent.fit_recurrent(table, SMALL_NETWORK), HORIZON, SMALL_NETWORK)
+
+
+@query("forecast_weighted_noisy")
+def _(spark, sf_dir):
+    return arma.predict_arma(recurrent.fit_weighted_noisy(series(spark, sf_dir), HORIZON), HORIZON)
+
+
 @query("forecast_pooled")
 def _(spark, sf_dir):
     return fc.predict(fc.fit_pooled(series(spark, sf_dir)), HORIZON)
