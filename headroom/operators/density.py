@@ -67,7 +67,50 @@ def _links(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     return out
 
 
-def _components(stars: DataFrame) -> DataFrame:
+def count_near(eps: float):
+    """(id, n): the weight of the second block's points within eps of every point of the first."""
+
+    def count(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        weights, found = other["w"].to_numpy(), []
+        for _, d in distance_stripes(matrix(one["x"]), matrix(other["x"])):
+            found.append((d <= eps) @ weights)
+        return pd.DataFrame({"id": one["id"], "n": np.concatenate(found)})
+
+    return count
+
+
+def connect_near(eps: float):
+    """(id, root): core points of two blocks joined up, a forest."""
+
+    def connect(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        # rows point to the smallest row of their component, so do the columns they touch
+        row, column = _close_components(_links(matrix(one["x"]), matrix(other["x"]), eps))
+        ids, others = values(one["id"]), values(other["id"])
+        touched = column < len(ids)
+        edges = {
+            "id": np.concatenate([ids, others[touched]]),
+            "root": np.concatenate([ids[row], ids[column[touched]]]),
+        }
+        return pd.DataFrame(edges, dtype=object)
+
+    return connect
+
+
+def adopt_near(eps: float):
+    """(id, label): the smallest label of the second block's core points within eps."""
+
+    def adopt(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(values(other["label"]), kind="stable")
+        names = values(other["label"])[order]
+        touches = _links(matrix(one["x"]), matrix(other["x"])[order], eps)
+        hit = touches.any(axis=1)
+        found = {"id": values(one["id"])[hit], "label": names[touches.argmax(axis=1)[hit]]}
+        return pd.DataFrame(found, dtype=object)
+
+    return adopt
+
+
+def components(stars: DataFrame) -> DataFrame:
     """Smallest id connected to each id, from (id, root) edges: (id, label)."""
     labels = stage(stars.groupBy("id").agg(F.min(F.least("id", "root")).alias("label")), "labels")
     while True:
@@ -110,47 +153,26 @@ def dbscan(
     blocks, n = spatial_blocks(distinct, dims, eps, rows)
     pairs = stage(near_pairs(blocks, n, F.lit(eps), dims), "block-pairs")
 
-    def count(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        weights, found = other["w"].to_numpy(), []
-        for _, d in distance_stripes(matrix(one["x"]), matrix(other["x"])):
-            found.append((d <= eps) @ weights)
-        return pd.DataFrame({"id": one["id"], "n": np.concatenate(found)})
-
-    degree = over_pairs(blocks, blocks, count, f"id {kind}, n bigint", pairs)
+    degree = over_pairs(blocks, blocks, count_near(eps), f"id {kind}, n bigint", pairs)
     degree = degree.groupBy("id").agg(F.sum("n").alias("n"))
     known = stage(
         blocks.join(degree, "id").withColumn("core", F.col("n") >= min_samples).drop("n", "w"), "degrees"
     )
     core, rest = known.filter("core").drop("core"), known.filter("not core").drop("core")
 
-    def connect(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        # rows point to the smallest row of their component, so do the columns they touch
-        row, column = _close_components(_links(matrix(one["x"]), matrix(other["x"]), eps))
-        ids, others = values(one["id"]), values(other["id"])
-        touched = column < len(ids)
-        edges = {
-            "id": np.concatenate([ids, others[touched]]),
-            "root": np.concatenate([ids[row], ids[column[touched]]]),
-        }
-        return pd.DataFrame(edges, dtype=object)
-
     upper = pairs.filter("_left <= _right")
-    stars = stage(over_pairs(core, core, connect, f"id {kind}, root {kind}", upper).distinct(), "stars")
-    labels = _components(stars)
+    stars = stage(over_pairs(core, core, connect_near(eps), f"id {kind}, root {kind}", upper).distinct(), "stars")
+    labels = components(stars)
     # components are named by their smallest core id
     core = core.join(labels, "id")
 
-    def adopt(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(values(other["label"]), kind="stable")
-        names = values(other["label"])[order]
-        touches = _links(matrix(one["x"]), matrix(other["x"])[order], eps)
-        hit = touches.any(axis=1)
-        found = {"id": values(one["id"])[hit], "label": names[touches.argmax(axis=1)[hit]]}
-        return pd.DataFrame(found, dtype=object)
-
-    border = over_pairs(rest, core, adopt, f"id {kind}, label {kind}", pairs)
+    border = over_pairs(rest, core, adopt_near(eps), f"id {kind}, label {kind}", pairs)
     border = border.groupBy("id").agg(F.min("label").alias("label"))
-    named = core.select("x", "label").unionByName(rest.join(border, "id").select("x", "label"))
+    return numbered_clusters(points, labels, core.select("x", "label").unionByName(rest.join(border, "id").select("x", "label")))
+
+
+def numbered_clusters(points: DataFrame, labels: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, cluster) of all points out of (x, label); clusters are numbered in the order of their labels."""
     numbers = dense_index(labels, "label", "cluster")
     clusters = named.join(numbers, "label").select("x", "cluster")
     found = points.join(clusters, "x", "left").select(

@@ -1483,6 +1483,7 @@ for _name, _like in (
     ("cap_outliers_narrowed", "cap_outliers_iqr"),
     ("silhouette_blocks", "silhouette_exact"),
     ("dbscan_blocks", "dbscan_labels"),
+    ("dbscan_halo", "dbscan_labels"),
     ("k_distance_blocks", "k_distances"),
     ("models_stored", "forecast_weighted"),
     ("results_written", "compare_strategies"),

@@ -20,6 +20,7 @@ from headroom.operators import forecast as fc
 from headroom.operators import recurrent
 from headroom.operators import windows as win
 from headroom.operators.blocks import kth_distances
+from headroom.operators.halo import dbscan_halo
 from headroom.operators.scale import available_features, scaled_features
 from headroom.plans import experiment as exp
 from headroom.session import stage, stage_path
@@ -593,6 +594,13 @@ def _(spark, sf_dir):
     return found.withColumnRenamed("id", "machine_id")
 
 
+@query("dbscan_halo")
+def _(spark, sf_dir):
+    # parts as small as a few points, so that halos join them
+    xs = density_points(spark, sf_dir)[1]
+    return dbscan_halo(xs, **DENSITY, rows=16).withColumnRenamed("id", "machine_id")
+
+
 @query("density_sizes")
 def _(spark, sf_dir):
     return density.density_sizes(density.dbscan(density_points(spark, sf_dir)[1], **DENSITY))
