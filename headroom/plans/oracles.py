@@ -1475,6 +1475,19 @@ oracle(
     "exp_forecast",
 )
 
+# --- quantiles per machine -------------------------------------------------------------------
+
+_GAP = "(epoch_us(time) - epoch_us(lag(time) OVER (PARTITION BY machine_id ORDER BY time))) / 1000000.0::double"
+oracle(
+    "gap_quartiles",
+    "SELECT machine_id, "
+    + ", ".join(r(f"quantile_cont(gap, {p})", n, 4) for n, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)))
+    + f" FROM (SELECT machine_id, {_GAP} AS gap FROM trace) WHERE gap IS NOT NULL GROUP BY 1",
+    "trace",
+)
+oracle("conservative_levels", f"SELECT machine_id, {r('quantile_cont(y, 0.75)', 'level')} FROM series GROUP BY 1", "series")
+oracle("autoscaler_starts", f"SELECT machine_id, {r('quantile_cont(y, 0.5) * 1.5', 'capacity')} FROM series GROUP BY 1", "series")
+
 # --- the same results by the paths that large tables take ------------------------------------
 
 for _name, _like in (

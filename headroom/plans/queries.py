@@ -21,6 +21,7 @@ from headroom.operators import recurrent
 from headroom.operators import windows as win
 from headroom.operators.blocks import kth_distances
 from headroom.operators.halo import dbscan_halo
+from headroom.operators.keyed import keyed_quantiles
 from headroom.operators.scale import available_features, scaled_features
 from headroom.plans import experiment as exp
 from headroom.session import stage, stage_path
@@ -601,6 +602,24 @@ def _(spark, sf_dir):
     return dbscan_halo(xs, **DENSITY, rows=16).withColumnRenamed("id", "machine_id")
 
 
+@query("gap_quartiles", 4)
+def _(spark, sf_dir):
+    # a few values are ranked at a time, so that brackets are narrowed
+    gaps = win.time_gaps(usage_trace(spark, sf_dir)).withColumn("gap", F.col("gap_micros") / 1_000_000)
+    return keyed_quantiles(gaps, ["machine_id"], "gap", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "n", rank_rows=8)
+
+
+@query("conservative_levels")
+def _(spark, sf_dir):
+    return keyed_quantiles(series(spark, sf_dir), ["machine_id"], "y", {"level": 0.75}, rank_rows=8)
+
+
+@query("autoscaler_starts")
+def _(spark, sf_dir):
+    medians = keyed_quantiles(series(spark, sf_dir), ["machine_id"], "y", {"median": 0.5}, rank_rows=8)
+    return medians.select("machine_id", (F.col("median") * 1.5).alias("capacity"))
+
+
 @query("density_sizes")
 def _(spark, sf_dir):
     return density.density_sizes(density.dbscan(density_points(spark, sf_dir)[1], **DENSITY))
