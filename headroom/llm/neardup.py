@@ -13,11 +13,15 @@ Candidates are never listed pair by pair.  Each bucket of a band first
 proposes links to one of its members only; what that connects is one
 component.  In buckets that still hold several components, members are then
 compared across components inside tasks, a bounded block of the bucket with
-another, and only links leave a task.
+another.  The rows of a bucket's largest component, which may be most of it,
+meet only the rest, and blocks meet only where set sizes allow the similarity.
+First the likeliest pairs that would join the components of a block pair are
+checked, a forest; then all that is left, and only links leave a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +45,9 @@ SEED = 7
 SURE = 4.0
 HEAD_ROWS = 2_000
 BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 18  # of a block, unless one set has more
 SLICE = 1 << 14
+STEPS, CHUNKS = 1 << 14, 1 << 30  # places of a block's number
 
 _rng = np.random.default_rng(SEED)
 FACTORS = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -260,7 +266,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, similarity: int = S
     bands with a chance of 5e-5, one at 0.9 of 2e-7; sizes and likelihood are
     checked before the full sets are.
 
-    Defined cases: null or empty text: no shingles, linked with nothing; null
+    Defined cases: very long texts: all shingles, a piece of the text at a
+    time; ties: the smallest id, then any of its rows; null or empty text: no shingles, linked with nothing; null
     doc_id: a row of its own, never linked; rows that repeat an id share their
     component if their texts are equal, and are linked each by its own text if
     not; an empty table gives no rows; other
@@ -304,10 +311,16 @@ def _told(keyed: DataFrame, row: str, n: int, similarity: int) -> DataFrame:
 
     pairs = stage(hub_pairs(crowded, similarity), "proposed")
     links = stage(confirmed(candidates(pairs, sketches, similarity), texts, n, similarity), "links")
-    open_ = stage(open_buckets(crowded, components(links)), "open-buckets")
+    found = stage(components(links), "components")
+    open_ = stage(open_buckets(crowded, found, similarity), "open-buckets")
+    if not open_.isEmpty():
+        likeliest = stage(joining_pairs(open_, sketches, similarity), "likeliest")
+        links = links.unionByName(stage(confirmed(likeliest, texts, n, similarity), "likeliest-links"))
+        found = stage(components(links), "components")
+        open_ = stage(open_buckets(crowded, found, similarity), "open-buckets")
     if not open_.isEmpty():
         links = links.unionByName(links_across(open_, sketches, texts, n, similarity))
-    found = components(links)
+        found = components(links)
     member = classes.select("h1", "h2", "n", "doc_id", "id").join(found, "id", "left")
     member = member.withColumn("component", F.coalesce("component", "id"))
     least = member.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("least"))
@@ -340,33 +353,77 @@ def hub_pairs(crowded: DataFrame, similarity: int) -> DataFrame:
     return pairs.select("a", F.col("id").alias("b")).distinct()
 
 
-def open_buckets(crowded: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components, with ``component``."""
+def open_buckets(crowded: DataFrame, found: DataFrame, similarity: int) -> DataFrame:
+    """Rows of buckets that hold several components: (key, id, n, component, block).
+
+    A block is a part of a bucket of bounded rows and shingles, numbered by
+    whether it is of the bucket's largest component, by the step of its set
+    sizes, and by a hash.  Sizes of one step are within the similarity of
+    each other, those two steps apart are not.
+    """
     marked = crowded.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    return marked.join(mixed.filter("_lo < _hi").select("key"), "key")
+    parts = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_rows"))
+    largest = parts.groupBy("key").agg(
+        F.max_by("component", F.struct("_rows", -F.col("component"))).alias("_largest"), F.count(F.lit(1)).alias("_parts")
+    )
+    rows = marked.join(largest.filter("_parts > 1").select("key", "_largest"), "key")
+    rows = rows.withColumn("_main", (F.col("component") == F.col("_largest")).cast("long"))
+    # a step is a little wider than the similarity allows, so that rounding cannot put a pair two steps apart
+    width = max(-math.log(similarity / 100) * (1 + 1e-9), 0.005)
+    rows = rows.withColumn("_step", F.floor(F.log("n") / width))
+    sizes = rows.groupBy("key", "_main", "_step").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("_chunks")
+    )
+    rows = rows.join(sizes, ["key", "_main", "_step"])
+    return rows.select("key", "id", "n", "component", _block(F.pmod(F.xxhash64("id"), F.col("_chunks"))).alias("block"))
+
+
+def _block(chunk: Column) -> Column:
+    return (F.col("_main") * STEPS + F.col("_step")) * CHUNKS + chunk
+
+
+def block_pairs(open_: DataFrame) -> DataFrame:
+    """(key, block, _lo, _hi): the pairs of blocks that every block of a bucket goes to."""
+    blocks = open_.select("key", "block").distinct()
+    other = blocks.select("key", F.col("block").alias("_with"))
+    main, step = (lambda c: F.floor(c / (STEPS * CHUNKS))), (lambda c: F.floor(c / CHUNKS) % STEPS)
+    own, others = F.col("block"), F.col("_with")
+    meet = (main(own) + main(others) < 2) & (F.abs(step(own) - step(others)) <= 1)
+    pairs = blocks.join(other, "key").filter(meet)
+    return pairs.select("key", "block", F.least(own, others).alias("_lo"), F.greatest(own, others).alias("_hi"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Rows with (key, _lo, _hi) brought together and sorted by them."""
+    group = ["key", "_lo", "_hi"]
+    return rows.repartition(*group).sortWithinPartitions(*group)
+
+
+def _with_registers(open_: DataFrame, sketches: DataFrame) -> DataFrame:
+    dealt = open_.join(block_pairs(open_), ["key", "block"])
+    rows = dealt.join(sketches.select("id", "registers"), "id")
+    return _grouped(rows.select("key", "_lo", "_hi", F.col("block").alias("_own"), "id", "n", "component", "registers"))
+
+
+def joining_pairs(open_: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): per pair of blocks the likeliest pairs that would join its components, fewer than its rows."""
+    rows = _with_registers(open_, sketches)
+    return rows.mapInArrow(_in_groups(_likeliest(similarity)), "a long, b long").distinct()
 
 
 def links_across(open_: DataFrame, sketches: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
     """Links (a, b) between components that share a bucket.
 
-    A bucket's rows are dealt to blocks, and every pair of blocks is one group
-    of a bounded size, whatever the bucket holds.  Sizes, registers and bands
-    say which rows of a group have a likely partner; only their texts are
-    brought in, and links that join what the group has not joined yet go out.
+    Every pair of blocks is one group of a bounded size, whatever the bucket
+    holds.  Sizes, registers and bands say which rows of a group have a likely
+    partner; only their texts are brought in, and links that join what the
+    group has not joined yet go out.
     """
-    blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    own, other = F.col("_own"), F.col("_other")
-    dealt = open_.withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     group = ["key", "_lo", "_hi"]
-    rows = dealt.select("key", F.least(own, other).alias("_lo"), F.greatest(own, other).alias("_hi"), "_own", "id", "n", "component")
-    rows = rows.join(sketches.select("id", "registers"), "id").select(*group, "_own", "id", "n", "component", "registers")
-    rows = rows.repartition(*group).sortWithinPartitions(*group)
-    schema = "key long, _lo int, _hi int, _own int, id long, n long, component long"
+    schema = "key long, _lo long, _hi long, _own long, id long, n long, component long"
+    rows = _with_registers(open_, sketches)
     partnered = stage(rows.mapInArrow(_in_groups(_with_partner(similarity)), schema), "partnered")
-    rows = partnered.join(texts, "id").select(*group, "_own", "id", "component", "text")
-    rows = rows.repartition(*group).sortWithinPartitions(*group)
+    rows = _grouped(partnered.join(texts, "id").select(*group, "_own", "id", "component", "text"))
     return stage(rows.mapInArrow(_in_groups(_linked(n, similarity)), "a long, b long").distinct(), "links-across")
 
 
@@ -399,34 +456,78 @@ def _apart(table: pa.Table) -> np.ndarray:
     return different & (component[:, None] != component[None, :])
 
 
-def _with_partner(similarity: int):
-    """The rows of a group that may be similar to one of another component.
+def _likely_pairs(table: pa.Table, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, equal registers) of the pairs of a group, of two components, that may be similar; a slice at a time.
 
     A pair that shares an earlier band too has met in that band's bucket.
     """
+    size = table.column("n").to_numpy()
+    smaller, larger = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
+    a, b = np.nonzero(_apart(table) & (100 * smaller >= similarity * larger))
+    values = _registers(table.column("registers").to_pylist())
+    keys = band_keys(values)
+    band = int((keys[0] == table.column("key")[0].as_py()).argmax())
+    for at in range(0, len(a), SLICE):
+        i, j = a[at : at + SLICE], b[at : at + SLICE]
+        new = ~(keys[i, :band] == keys[j, :band]).any(axis=1)
+        i, j = i[new], j[new]
+        keep = likely(values[i], values[j], size[i], size[j], similarity)
+        i, j = i[keep], j[keep]
+        yield i, j, (values[i] == values[j]).sum(axis=1)
+
+
+def _with_partner(similarity: int):
+    """The rows of a group that may be similar to one of another component."""
 
     def find(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        size = table.column("n").to_numpy()
-        smaller, larger = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
-        a, b = np.nonzero(_apart(table) & (100 * smaller >= similarity * larger))
-        values = _registers(table.column("registers").to_pylist())
-        keys = band_keys(values)
-        band = int((keys[0] == table.column("key")[0].as_py()).argmax())
         found = np.zeros(len(table), dtype=bool)
-        for at in range(0, len(a), SLICE):
-            i, j = a[at : at + SLICE], b[at : at + SLICE]
-            new = ~(keys[i, :band] == keys[j, :band]).any(axis=1)
-            i, j = i[new], j[new]
-            keep = likely(values[i], values[j], size[i], size[j], similarity)
-            found[i[keep]] = True
-            found[j[keep]] = True
+        for i, j, _ in _likely_pairs(table, similarity):
+            found[i] = True
+            found[j] = True
         if found.any():
             yield from table.select(list(range(7))).filter(pa.array(found)).combine_chunks().to_batches()
 
     return find
 
 
+def _likeliest(similarity: int):
+    """A forest over the components of a group: of the pairs that would join two, those with most equal registers."""
+
+    def find(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        ids = table.column("id").to_numpy()
+        _, part = np.unique(table.column("component").to_numpy(), return_inverse=True)
+        pairs = list(_likely_pairs(table, similarity))
+        if not pairs:
+            return
+        i, j, equal = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+        # the best pair of every two components, then those that join trees
+        order = np.argsort(-equal, kind="stable")
+        i, j = i[order], j[order]
+        both = np.minimum(part[i], part[j]).astype(np.int64) * (part.max() + 1) + np.maximum(part[i], part[j])
+        first = np.sort(np.unique(both, return_index=True)[1])
+        root = list(range(part.max() + 1))
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        a, b = [], []
+        for k in first:
+            x, y = top(part[i[k]]), top(part[j[k]])
+            if x != y:
+                root[x] = y
+                a.append(min(ids[i[k]], ids[j[k]]))
+                b.append(max(ids[i[k]], ids[j[k]]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return find
+
+
 def _linked(n: int, similarity: int):
     """Links of a group: full sets compared, one row against all it may be linked with at a time."""
 
