@@ -22,7 +22,7 @@ from headroom.llm import (
     tokens,
     vectorpack,
 )
-from headroom.llm.common import table
+from headroom.llm.common import fresh, table
 from headroom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +53,11 @@ def _(spark, sf_dir):
 @query("op3_sharding")
 def _(spark, sf_dir):
     at = F.col("_metadata")
+    docs = table(spark, sf_dir, "documents")
     # a row's place in the files of the table: ids may be null or repeat
-    docs = table(spark, sf_dir, "documents").select(
-        "*", at["file_name"].alias("_file"), F.struct(at["file_path"], at["row_index"]).alias("_place")
-    )
-    return sharding.reshard(docs, "_file", 40, "_place").select(
+    file, place = fresh("file", docs.columns), fresh("place", docs.columns)
+    docs = docs.select("*", at["file_name"].alias(file), at["row_index"].alias(place))
+    return sharding.reshard_in_order(docs, file, place, 40).select(
         "doc_id",
         "size",
         "text_crc32",

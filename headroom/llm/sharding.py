@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from headroom.llm.common import blocks_for, running_totals
+from headroom.llm.common import blocks_for, fresh, running_totals
 from headroom.session import stage, stage_path
 
 ROW_BYTES = 16
 BLOCK_ROWS = 20_000
+FILE_BYTES = 64 << 20  # of texts, about, in a written file
 
 
 def equal_capacities(total: int, shards: int) -> list[int]:
@@ -158,6 +159,106 @@ def reshard(docs: DataFrame, old: str, shards: int, row: str, block_rows: int =
     return told.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 
+# --- shards that are read in order ---------------------------------------------------------------
+
+
+def position_ranges(docs: DataFrame, old: str, position: str, shards: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(_name, old_shard, shard, _first, _last, _slot, _bytes): runs of positions of an old shard that go to one new shard.
+
+    Documents keep their order in the old shard, so a byte range of the flow
+    is a run of positions: at most one per old and new shard and no row per
+    document.  ``position`` counts the rows of an old shard from 0; anything
+    else raises.  ``_slot`` is the slot of the run's first row.
+
+    Positions are summed in blocks of consecutive rows, with an offset per
+    block, so one old shard may hold any share of the rows.
+    """
+    spark = docs.sparkSession
+    name = F.coalesce(F.concat(F.lit("/"), F.col(old)), F.lit(""))
+    slim = docs.select(name.alias("_name"), F.col(position).cast("long").alias("_at"), document_size(F.col("text")).alias("size"))
+    slim = stage(slim, "sizes")
+    sizes = slim.groupBy("_name").agg(
+        F.sum("size"), F.count(F.lit(1)), F.min("_at"), F.max("_at"), F.sum("_at")
+    ).orderBy("_name").collect()
+    for _, _, rows, first, last, total in sizes:
+        if (first, last, total) != (0, rows - 1, rows * (rows - 1) // 2):
+            raise ValueError("positions must count the rows of a shard from 0")
+    old_sizes = [r[1] for r in sizes]
+    moves = solve_transfers(old_sizes, equal_capacities(sum(old_sizes), shards))
+    # both tables have at most one row per old shard and new shard
+    numbers = spark.createDataFrame([(r[0], i) for i, r in enumerate(sizes)], "_name string, old_shard int")
+    moves = spark.createDataFrame(moves, "old_shard int, shard int, _from long, _to long")
+    block = F.floor(F.col("_at") / block_rows).alias("_block")
+    sums = slim.groupBy("_name", block).agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_name", "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_name", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("size").over(inside), F.lit(0))
+    rows = slim.select("*", block).withColumn("_start", start).join(sums, ["_name", "_block"])
+    middle = F.col("_before") + F.col("_start") + F.floor(F.col("size") / 2)
+    placed = rows.join(F.broadcast(numbers), "_name").join(F.broadcast(moves), "old_shard")
+    placed = placed.filter((middle >= F.col("_from")) & (middle < F.col("_to")))
+    runs = placed.groupBy("_name", "old_shard", "shard", "_from").agg(
+        F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.sum("size").alias("_bytes")
+    )
+    # a row per run, as many as ranges of the flow
+    earlier = Window.partitionBy("shard").orderBy("old_shard", "_first").rowsBetween(Window.unboundedPreceding, -1)
+    slot = F.coalesce(F.sum(F.col("_last") - F.col("_first") + 1).over(earlier), F.lit(0))
+    return stage(runs.withColumn("_slot", slot).drop("_from"), "runs")
+
+
+def reshard_in_order(docs: DataFrame, old: str, position: str, shards: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Plan, rewrite the affected shards, and tell what their files hold: (doc_id, size, text_crc32, old_shard, shard, slot).
+
+    As ``reshard`` for old shards whose rows have a ``position``, such as the
+    rows of files: the plan is one small table, so it meets the documents by a
+    broadcast and texts are shuffled once, those of affected shards only.
+    Files hold the other columns of ``docs``, and the slot and shard under
+    names of their own, and about ``FILE_BYTES`` of texts each.  Sizes and
+    checksums are those of the new files, and of the old files of shards that
+    stay as they are.
+
+    Defined cases: null text has no bytes and the checksum of an empty text;
+    null shard name: a shard of its own; ids may be null or repeat, repeated
+    rows are separate rows; ties and very long texts: a document goes where the
+    middle of its bytes goes; columns of any name go along; an empty table
+    gives no rows.
+    """
+    spark = docs.sparkSession
+    whole = [c for c in docs.columns if c not in (old, position)]
+    shard, slot = fresh("shard", whole), fresh("slot", [*whole, "shard"])
+    runs = position_ranges(docs, old, position, shards, block_rows)
+    arrive = runs.groupBy("shard").agg(
+        F.max(F.col("shard") != F.col("old_shard")).alias("_in"),
+        F.sum("_bytes").alias("_all"),
+        F.sum(F.col("_last") - F.col("_first") + 1).alias("_rows"),
+    )
+    leave = runs.filter("shard != old_shard").select(F.col("old_shard").alias("shard"), F.lit(True).alias("_out")).distinct()
+    touched = arrive.join(F.broadcast(leave), "shard", "left").withColumn("_new", F.col("_in") | F.coalesce("_out", F.lit(False)))
+    each = F.greatest(F.lit(1), F.floor(F.col("_rows") * FILE_BYTES / F.greatest(F.col("_all"), F.lit(1))))
+    plan = runs.join(touched.select("shard", "_new", each.alias("_each")), "shard")
+    # as many rows as ranges of the flow: at most one per old shard and new shard
+    plan = stage(plan.withColumnsRenamed({"_name": "_run", "shard": "_shard", "_slot": "_base"}), "plan")
+    name = F.coalesce(F.concat(F.lit("/"), F.col(f"`{old}`")), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in whole])
+    # the other columns travel in one, so that their names do not matter
+    rows = docs.select(name.alias("_name"), F.col(f"`{position}`").cast("long").alias("_at"), row.alias("_row"))
+    met = rows.join(
+        F.broadcast(plan), (F.col("_name") == F.col("_run")) & F.col("_at").between(F.col("_first"), F.col("_last"))
+    ).withColumn("_to", F.col("_base") + F.col("_at") - F.col("_first"))
+    stay = met.filter(~F.col("_new")).select("_row.doc_id", "_row.text", "old_shard", "_shard", F.col("_to").alias("_slot"))
+    moved = met.filter("_new").repartition("_shard", F.floor(F.col("_to") / F.col("_each")))
+    path = stage_path(spark, "shards")
+    moved.select("_row.*", F.col("_to").alias(slot), F.col("_shard").alias(shard)).write.partitionBy(shard).parquet(path)
+    schema = docs.select(*[f"`{c}`" for c in whole]).schema.add(slot, "long").add(shard, "integer")
+    written = spark.read.schema(schema).parquet(path)
+    written = written.select("doc_id", "text", F.col(f"`{shard}`").alias("_shard"), F.col(f"`{slot}`").alias("_slot"))
+    origin = plan.select(F.col("_shard").alias("_of"), "old_shard", "_base", (F.col("_base") + F.col("_last") - F.col("_first")).alias("_end"))
+    written = written.join(F.broadcast(origin), (F.col("_of") == F.col("_shard")) & F.col("_slot").between(F.col("_base"), F.col("_end")))
+    told = _digests(written.select(*stay.columns).unionByName(stay), "old_shard", "_shard", "_slot")
+    return told.withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+
+
 def _digests(docs: DataFrame, *others: str) -> DataFrame:
     text = F.col("text")
     return docs.select(
