@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
+from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -71,6 +73,16 @@ def without(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
     return keyed.join(gone.toDF(row), row, "left_anti").drop(row)
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """The object a worker keeps for its next tasks; modules outlive tasks, and one object is kept at a time."""
+    held = sys.__dict__.get("_headroom_kept")
+    if held is None or held[0] != key:
+        sys.__dict__.pop("_headroom_kept", None)  # the former one goes before the next is made
+        del held
+        held = sys.__dict__["_headroom_kept"] = (key, make())
+    return held[1]
+
+
 def blocks_for(n_rows: int, block_rows: int) -> int:
     return max(1, math.ceil(n_rows / block_rows))
 

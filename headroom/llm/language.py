@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,10 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from headroom.llm.common import id_remainder
+from headroom.llm.common import id_remainder, kept
 from headroom.session import stage
 
-SAMPLE_ROWS = 30_000
+SAMPLE_ROWS = 8_000  # of a language
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 120_000
 LONGEST_GRAM = 5
@@ -43,10 +42,16 @@ def words_of(text: str) -> Iterator[list[str]]:
         if end - at > PIECE_CHARS:
             cut = SPACE.search(text, at + PIECE_CHARS)
             end = cut.start() if cut else end
-        yield LETTERS.findall(text[at:end].lower())
+        found = LETTERS.findall(text[at:end].lower())
+        yield found if all(map(str.isalpha, found)) else [w for run in found for w in _letters(run)]
         at = end
 
 
+def _letters(run: str) -> list[str]:
+    """The words of a run without its numbers that are no digits, such as fractions and superscripts."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
 def grams_of(word: str) -> Iterator[tuple[int, str]]:
     padded = f"<{word}>"
     for n in range(LONGEST_GRAM, 1, -1):
@@ -81,21 +86,26 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "unit", "n"])
 
 
-def _most_frequent(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
-    """Up to ``most`` of the most frequent units and their counts per language: what the model holds.
+def _most_frequent(counts: DataFrame, totals: dict[str, int], most: int) -> tuple[dict[str, int], np.ndarray]:
+    """Up to ``most`` units and their counts per language, those with the largest share of a language: what the model holds.
 
-    Units at least as frequent as a bound are kept; the bound comes from the
-    number of units of each frequency, so nothing has to be sorted.
+    Units rank by their largest share of any language's words, in steps of a
+    few per cent, so the units of a rare language stand beside those of a
+    common one.  The bound comes from the number of units of each step, so
+    nothing has to be sorted.
     """
-    by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    units = stage(counts.groupBy("unit").agg(F.sum("n").alias("total"), *by_lang), "units")
+    langs = sorted(totals)
+    n = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs]
+    share = F.greatest(*[c / totals[x] for c, x in zip(n, langs, strict=True)], F.lit(0.0), F.lit(0.0))
+    step = F.floor(F.log(F.greatest(share, F.lit(1e-18))) * 32).alias("step")
+    units = stage(counts.groupBy("unit").agg(step, *[c.alias(f"n{i}") for i, c in enumerate(n)]), "units")
     held, least = 0, None
-    for total, n in sorted(map(tuple, units.groupBy("total").count().collect()), reverse=True):
-        held += n
+    for at, number in sorted(map(tuple, units.groupBy("step").count().collect()), reverse=True):
+        held += number
         if held > most and least is not None:
             break
-        least = total
-    found = units.filter(F.col("total") >= (least or 0)).drop("total").toArrow().sort_by("unit")
+        least = at
+    found = units.filter(F.col("step") >= (0 if least is None else least)).drop("step").toArrow().sort_by("unit")
     rows = {w: i for i, w in enumerate(found.column("unit").to_pylist())}
     columns = [found.column(f"n{i}").to_numpy() for i in range(len(langs))]
     return rows, np.stack(columns, axis=1).astype(float) if langs else np.zeros((len(rows), 0))
@@ -117,23 +127,25 @@ def train_language_model(
 ) -> dict:
     """Learn from (doc_id, text, lang): word and n-gram frequencies per language.
 
-    Counts come from a sample of about ``sample_rows`` rows, drawn by a hash of
-    the id, or all rows if there are no more; whole texts.  The model holds
-    up to ``model_words`` of the most frequent words and ``model_grams``
-    n-grams, so it does not grow with the corpus.
+    Counts come from a sample of about ``sample_rows`` rows of every language,
+    drawn by a hash of the id and the text, or all its rows if there are no
+    more; whole texts.  The model holds up to ``model_words`` words and
+    ``model_grams`` n-grams, those with the largest share of a language, so it
+    grows with the number of languages and not with the corpus.
     """
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    rows = labelled.select("lang").count()
-    share = min(1.0, sample_rows / rows) if rows else 1.0
-    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)) < int(share * PLACES))
+    rows = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    bounds = [F.when(F.col("lang") == x, F.lit(int(PLACES * min(1.0, sample_rows / n)))) for x, n in rows.items() if n > sample_rows]
+    bound = F.coalesce(*bounds, F.lit(PLACES))
+    drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES)) < bound)
     schema = "lang string, unit string, n long"
     counted = drawn.select("lang", "text").mapInArrow(_count_words, schema).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
     counted = stage(counted, "word-frequencies")
     totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
-    words, word_counts = _most_frequent(counted, langs, model_words)
+    words, word_counts = _most_frequent(counted, totals, model_words)
     grams = counted.mapInArrow(_count_grams, schema).groupBy("lang", "unit").agg(F.sum("n").alias("n"))
-    grams, gram_counts = _most_frequent(grams, langs, model_grams)
+    grams, gram_counts = _most_frequent(grams, totals, model_grams)
     whole = np.array([totals[x] for x in langs], dtype=float)
     return {
         "langs": langs,
@@ -221,10 +233,7 @@ def language_scorer(model: dict):
     key = ("headroom-language", len(model["words"]), float(model["word_scores"].sum()), float(model["gram_scores"].sum()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = sys.__dict__.setdefault("_headroom_kept", {})  # a worker's modules outlive its tasks
-        if kept.get("language", (None,))[0] != key:
-            kept["language"] = (key, Scorer(model))
-        scorer = kept["language"][1]
+        scorer = kept(key, lambda: Scorer(model))
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
             langs, scores = scorer.texts(text.to_pylist())
@@ -244,7 +253,9 @@ def detect_language(docs: DataFrame, model: dict | None = None, **settings) -> D
     Without a ``model`` one is learned from the documents that are not held
     out.  The score is the share of the best language in the sum of likelihoods.
 
-    Defined cases: null text or no letter: ``und`` with score 0; null lang: not
+    Defined cases: null text or no letter: ``und`` with score 0; numbers such
+    as fractions and superscripts are no letters; very long texts are read
+    whole, a piece at a time; null lang: not
     learned from; ties: the first language by name; repeated rows are scored
     each; an empty table gives no rows; other columns are ignored.
     """

@@ -7,14 +7,13 @@ chunks go through one small layer to a probability.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from headroom.llm.common import id_remainder
+from headroom.llm.common import id_remainder, kept
 from headroom.llm.words import groups
 from headroom.session import stage
 
@@ -233,11 +232,9 @@ def quality_scorer(model: dict):
     key = float(sum(np.abs(v).sum(dtype=float) for v in slim.values()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = sys.__dict__.setdefault("_headroom_kept", {})  # a worker's modules outlive its tasks
-        if kept.get("quality", (None,))[0] != key:
-            kept["quality"] = (key, with_pairs(slim))
+        network = kept(("quality", key), lambda: with_pairs(slim))
         for batch in batches:
-            found = score_texts(kept["quality"][1], batch.column(2))
+            found = score_texts(network, batch.column(2))
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.float64())]
             columns.append(pa.array((found >= THRESHOLD).astype(np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from headroom.llm.common import kept
+
 # fixed value: how byte-level tokenizers of this kind split a text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 500
@@ -22,8 +24,8 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[str]]:
-    """(bytes -> id, special strings) of a byte-level tokenizer file.
+def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(bytes -> id, special string -> id) of a byte-level tokenizer file.
 
     Ids must follow the order of merges, as then the merge of the smallest id
     is the merge that comes first; anything else is refused.
@@ -33,10 +35,10 @@ def read_vocabulary(path: str) -> tuple[dict[bytes, int], list[str]]:
     before = held["pre_tokenizer"] or {}
     if held["model"]["type"] != "BPE" or held.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space"):
         raise ValueError(f"{path}: not a plain byte-level tokenizer")
-    special = [t["content"] for t in held.get("added_tokens", [])]
+    special = {t["content"]: t["id"] for t in held.get("added_tokens", [])}
     decode = byte_characters()
     vocab, merges = held["model"]["vocab"], held["model"]["merges"]
-    ranks = {bytes(decode[c] for c in token): i for token, i in vocab.items() if token not in set(special)}
+    ranks = {bytes(decode[c] for c in token): i for token, i in vocab.items() if token not in special}
     pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
     if any(vocab["".join(pair)] != 256 + k for k, pair in enumerate(pairs)):
         raise ValueError(f"{path}: ids do not follow the order of merges")
@@ -48,21 +50,26 @@ class Encoder:
 
     The merges of the file run in the faster of two libraries; texts with
     special strings or very long words, which that one takes quadratic time
-    for, go to the other.
+    for, go to the other, which is read in when the first of them comes.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
+        self.path = path
         ranks, self.special = read_vocabulary(path)
         self.fast = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(path)
-        self.n_bytes = np.zeros(self.full.get_vocab_size(), dtype=np.int64)
+        self.n_bytes = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, dtype=np.int64)
         for token, i in ranks.items():
             self.n_bytes[i] = len(token)
-        for token in self.special:
-            self.n_bytes[self.full.token_to_id(token)] = len(token.encode())
+        for token, i in self.special.items():
+            self.n_bytes[i] = len(token.encode())
+
+    @cached_property
+    def full(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -77,10 +84,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of a worker; its modules outlive its tasks."""
-    kept = sys.__dict__.setdefault("_headroom_kept", {})
-    if ("encoder", path) not in kept:
-        kept["encoder", path] = Encoder(path)
-    return kept["encoder", path]
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 # --- counts per section ----------------------------------------------------------------------

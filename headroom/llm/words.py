@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from headroom.llm.common import SEPARATORS
 
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 

@@ -227,3 +227,23 @@ def test_long_texts_are_scanned_in_pieces():
     assert tuple(int(c[0]) for c in whole[:5]) == repetition(text)
 
 
+
+
+def test_numbers_are_no_letters(spark):
+    texts = ["½", "²", "Ⅷ", "①", "½ ² Ⅷ ① 7", None, "x²"]
+    rows = [(i, "the words of one language", "en") for i in range(3, 30, 3)] + [(100 + i, t, None) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.detect_language(docs).collect()}
+    assert all(got[100 + i] == ("und", 0.0) for i in range(6)) and got[106][0] == "en"
+    assert [w for part in language.words_of("a½b ²c d") for w in part] == ["a", "b", "c", "d"]
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"common words number{'abcdefghij'[i % 10]} of english text again", "en") for i in range(3000)]
+    rows += [(10_000 + i, "maneno machache ya kiswahili yanatosha", "sw") for i in range(3)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train_language_model(learn, sample_rows=300, model_words=12, model_grams=60)
+    assert model["langs"] == ["en", "sw"]
+    assert {"maneno", "machache", "ya", "kiswahili", "yanatosha"} <= set(model["words"])
+    scorer = language.Scorer(model)
+    assert scorer.texts(["kiswahili maneno", "english words"])[0] == ["sw", "en"]
