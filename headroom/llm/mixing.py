@@ -132,6 +132,8 @@ class Mix:
         drawn, before = [], np.cumsum(counts, axis=0) - counts
         for k in range(shards):
             drawn += [(i, k, int(before[k, i]), int(counts[k, i])) for i in range(len(found)) if counts[k, i]]
+        # a task makes the slots of a few chunks
+        self.slot_tasks = blocks_for(sum(draws), 4 * SLOT_CHUNK)
         self.drawn = spark.createDataFrame(drawn, "_source int, shard int, _first long, _count long")
         numbered = F.row_number().over(Window.partitionBy("doc_id").orderBy("_key", "_text"))
         keyed = slim.withColumn("_copy", numbered).join(F.broadcast(self.sources.select("_key", "_source")), "_key")
@@ -146,7 +148,7 @@ class Mix:
         chunks = self.drawn.select(
             "_source", "shard", last.alias("_last"), F.explode(F.sequence("_first", last, F.lit(SLOT_CHUNK))).alias("_at")
         )
-        chunks = chunks.repartition("_source", "_at")
+        chunks = chunks.repartition(self.slot_tasks, "_source", "_at")
         upto = F.least(F.col("_at") + SLOT_CHUNK - 1, F.col("_last"))
         slots = chunks.select("_source", "shard", F.explode(F.sequence("_at", upto)).alias("slot"))
         grid = self.sources.select("_source", "_number", "_width", "_height")
