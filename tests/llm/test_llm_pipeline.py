@@ -13,7 +13,7 @@ from headroom.llm.queries import ORACLES, QUERIES
 
 def test_registry():
     names = {n for n in entry.queries() if n.startswith("op") and n[2].isdigit()}
-    assert names == set(QUERIES) and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
+    assert names == set(QUERIES) and {int(n[2:].split("_")[0]) for n in names} == set(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(ORACLES) <= set(entry.oracle_sql())
 
