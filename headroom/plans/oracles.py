@@ -1475,6 +1475,14 @@ oracle(
     "exp_forecast",
 )
 
+oracle(
+    "read_report",
+    """SELECT 'a' AS folder, 'read' AS status, count(*) FILTER (event_id % 13 <> 0) AS n_rows,
+    count(*) FILTER (event_id % 13 = 0) AS n_without_time, 0::bigint AS n_bad FROM trace WHERE event_id % 3 = 0
+    UNION ALL SELECT 'b', 'other header', 0, 0, 0""",
+    "trace",
+)
+
 # --- quantiles per machine -------------------------------------------------------------------
 
 _GAP = "(epoch_us(time) - epoch_us(lag(time) OVER (PARTITION BY machine_id ORDER BY time))) / 1000000.0::double"

@@ -30,6 +30,7 @@ from headroom.sources.adapters import points, usage_trace, windowed_usage
 from headroom.sources.sinks import average_metrics
 from headroom.sources.trace import (
     preview,
+    read_report,
     read_trace_csv,
     read_trace_groups,
     read_trace_parquet,
@@ -331,6 +332,17 @@ def _(spark, sf_dir):
     return read_trace_groups(spark, [f"{folder}/a", f"{folder}/b"], text_metrics=_MAPS).select(*_RAW)
 
 
+@query("read_report")
+def _(spark, sf_dir):
+    # files with the header asked for, and files with another one
+    folder, raw = stage_path(spark, "raw-trace"), _as_text(usage_trace(spark, sf_dir), "us")
+    _written(raw.filter("instance_index % 3 = 0"), f"{folder}/a")
+    _written(raw.filter("instance_index % 3 <> 0").drop("assigned_memory"), f"{folder}/b")
+    told = read_report(spark, [f"{folder}/a/*.csv", f"{folder}/b/*.csv"], raw.columns)
+    group = F.regexp_extract("file", "/([ab])/[^/]*$", 1).alias("folder")
+    return told.groupBy(group, "status").agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_without_time", "n_bad")])
+
+
 @query("read_parquet")
 def _(spark, sf_dir):
     folder = stage_path(spark, "raw-trace")

@@ -97,6 +97,36 @@ def read_trace_groups(spark: SparkSession, groups: Sequence[str | Sequence[str]]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def read_report(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """What became of every CSV file: (file, bytes, status, n_rows, n_without_time, n_bad).
+
+    ``status`` is ``read`` where a line is the header of ``columns``, else
+    ``other header``, or ``unreadable`` where no line could be read.  Files of
+    no bytes are left out, as Spark plans no read for them.  Of files that are read, lines that do not
+    give the columns are bad, and the others are rows, with or without a time.
+    The inventory of files meets what was read of them, so that files that
+    left nothing behind are told as well.  A record is a line here.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    name = F.col("_metadata.file_path").alias("file")
+    files = spark.read.format("binaryFile").load(paths).select(name, F.col("length").alias("bytes"))
+    lines = spark.read.option("ignoreCorruptFiles", True).text(paths).select("value", name)
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "_bad"])
+    record = F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_bad", "escape": '"'})
+    header = F.col("value") == ",".join(columns)
+    bad = F.col("_record._bad").isNotNull()
+    timed = F.col("_record.time").isNotNull()
+    seen = lines.withColumn("_record", record).groupBy("file").agg(
+        F.max(header).alias("_header"),
+        F.count_if(~header & ~bad & timed).alias("n_rows"),
+        F.count_if(~header & ~bad & ~timed).alias("n_without_time"),
+        F.count_if(~header & bad).alias("n_bad"),
+    )
+    status = F.when(F.col("_header").isNull(), "unreadable").when(~F.col("_header"), "other header").otherwise("read")
+    counts = [F.when(F.col("_header"), F.col(c)).otherwise(0).cast("long").alias(c) for c in ("n_rows", "n_without_time", "n_bad")]
+    return files.join(seen, "file", "left").select("file", "bytes", status.alias("status"), *counts)
+
+
 def read_trace_parquet(spark: SparkSession, path: str, skip_bad_files: bool = False) -> DataFrame:
     return spark.read.option("ignoreCorruptFiles", skip_bad_files).parquet(path).dropna(subset=["time"])
 
