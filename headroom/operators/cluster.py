@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from headroom.functions.workload import model_strategy, report_strategy, workload_type
 from headroom.operators.blocks import BLOCK_ROWS, silhouettes
+from headroom.operators.lloyd import best_fits, labels_of
 from headroom.params import RADAR_COLUMNS, Clustering
 from headroom.session import stage
 
@@ -64,21 +66,29 @@ def k_sweep(
     vectors: DataFrame,
     ks: Sequence[int] = range(2, 10),
     settings: Clustering = Clustering(),
-    rows: int = BLOCK_ROWS,
+    rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """(k, inertia, silhouette, calinski_harabasz) for each k.
 
-    The distances behind all the silhouettes are computed once.
+    All restarts of all k are fitted side by side, one pass over the points per
+    iteration.  ``rows`` as in ``sweep_scores``.
     """
-    each = [Clustering(k, settings.restarts, settings.max_iter, settings.seed) for k in ks]
-    models = _fits(vectors, each)
-    ks = list(models)
-    labelled = vectors
-    for k in ks:
-        labelled = models[k].setPredictionCol(f"k{k}").transform(labelled)
-    labelled = stage(labelled.select("id", "x", F.array(*[f"k{k}" for k in ks]).alias("labels")), "sweep")
-    scores = silhouettes(labelled, rows).groupBy("m").agg(F.avg("silhouette").alias("silhouette"))
-    long = labelled.select("x", F.posexplode("labels").alias("m", "cluster"))
+    found = best_fits(vectors, [replace(settings, k=k) for k in ks])
+    return sweep_scores(labels_of(vectors, found), list(found), rows)
+
+
+def sweep_scores(labelled: DataFrame, ks: Sequence[int], rows: int | None = BLOCK_ROWS) -> DataFrame:
+    """Scores of several labellings: ``labels`` holds one label of a point for each of ``ks``.
+
+    The distances behind all the silhouettes are computed once, block of ``rows``
+    points against block.  That is quadratic; ``rows=None`` takes silhouettes of
+    squared distances instead, one pass over the points.
+    """
+    long = labelled.select("id", "x", F.posexplode("labels").alias("m", "cluster"))
+    if rows is None:
+        scores = silhouette_squared(long, ["m"]).withColumnRenamed("silhouette_squared", "silhouette")
+    else:
+        scores = silhouettes(labelled, rows).groupBy("m").agg(F.avg("silhouette").alias("silhouette"))
     quality = spread(long, by=["m"]).select("m", "inertia", "calinski_harabasz")
     k_of = F.element_at(F.array(*[F.lit(k) for k in ks]), F.col("m") + 1)
     return (
@@ -180,14 +190,19 @@ def silhouette(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return silhouettes(one, rows).agg(F.avg("silhouette").alias("silhouette"))
 
 
-def silhouette_squared(points: DataFrame) -> DataFrame:
+def silhouette_squared(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean silhouette over squared distances: another number, but one pass over the points.
 
     The mean squared distance to a cluster is the squared distance to its
-    centre plus the cluster's own spread; the k centres enter as one scalar.
+    centre plus the cluster's own spread; the k centres enter as one scalar,
+    or as one row per group of ``by``.
     """
-    table = centroids(points)
-    everyone = table.agg(F.collect_list(F.struct("cluster", "centre", "n", "within"))).scalar()
+    table = centroids(points, by=by)
+    everyone = F.collect_list(F.struct("cluster", "centre", "n", "within"))
+    if by:
+        met = points.join(table.groupBy(*by).agg(everyone.alias("everyone")), list(by))
+    else:
+        met = points.withColumn("everyone", table.agg(everyone).scalar())
     means = F.transform(
         F.col("everyone"),
         lambda c: F.struct(
@@ -196,16 +211,17 @@ def silhouette_squared(points: DataFrame) -> DataFrame:
             (squared_distance(F.col("x"), c["centre"]) + c["within"] / c["n"]).alias("d"),
         ),
     )
-    listed = points.withColumn("everyone", everyone).select("cluster", means.alias("m"))
-    own = F.filter("m", lambda c: c["cluster"] == F.col("cluster"))[0]
+    listed = met.select(*by, "cluster", means.alias("_means"))
+    own = F.filter("_means", lambda c: c["cluster"] == F.col("cluster"))[0]
     other = F.array_min(
-        F.transform(F.filter("m", lambda c: c["cluster"] != F.col("cluster")), lambda c: c["d"])
+        F.transform(F.filter("_means", lambda c: c["cluster"] != F.col("cluster")), lambda c: c["d"])
     )
-    scored = listed.select(own.alias("own"), other.alias("b"))
+    scored = listed.select(*by, own.alias("own"), other.alias("b"))
     scored = scored.withColumn("a", F.try_divide(F.col("own.d") * F.col("own.n"), F.col("own.n") - 1))
     a, b = F.col("a"), F.col("b")
     value = F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
-    return scored.agg(F.avg(F.when(F.col("own.n") == 1, 0.0).otherwise(value)).alias("silhouette_squared"))
+    average = F.avg(F.when(F.col("own.n") == 1, 0.0).otherwise(value)).alias("silhouette_squared")
+    return scored.groupBy(*by).agg(average) if by else scored.agg(average)
 
 
 def cluster_quality(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -474,11 +474,13 @@ def fit_hybrid(
     key: str = "machine_id",
     order: str = "step",
     y: str = "y",
+    arima: DataFrame | None = None,
 ) -> DataFrame:
     """Fit each machine with the method of its strategy (machine, strategy).
 
     Machines without a strategy count as periodic.  ``pooled=False`` takes the
     weighted mean instead of the pooled regression for bursty machines.
+    ``arima``: models of ``fit_ar`` for these machines, where they are at hand.
     """
     routed = series.select(key, order, y).join(strategies.select(key, "strategy"), key, "left")
     routed = routed.withColumn("strategy", F.coalesce("strategy", F.lit("seasonal_arima")))
@@ -489,9 +491,12 @@ def fit_hybrid(
 
     names = {"key": key, "order": order, "y": y}
     bursty = fit_pooled(part("lstm"), **names) if pooled else fit_weighted(part("lstm"), **names)
+    if arima is None:
+        stable = fit_ar(part("arima"), **names)
+    else:
+        stable = arima.join(strategies.filter("strategy = 'arima'").select(key), key, "left_semi")
     return (
-        fit_ar(part("arima"), **names)
-        .unionByName(fit_seasonal_ar(part("seasonal_arima"), **names))
+        stable.unionByName(fit_seasonal_ar(part("seasonal_arima"), **names))
         .unionByName(bursty.withColumn("strategy", F.lit("lstm")))
         .unionByName(fit_conservative(part("conservative"), key=key, y=y))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -10,11 +11,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from headroom.functions import metrics as M
 from headroom.functions.features import over_provisioning_columns, temporal_features
+from headroom.functions.workload import model_strategy, workload_type
 from headroom.operators import capacity as cap
 from headroom.operators import forecast as fc
 from headroom.operators.clean import clean_trace
-from headroom.operators.cluster import assign_strategies, cluster_report, cluster_stats, feature_vectors, kmeans
+from headroom.operators.cluster import (
+    PARALLEL_FITS,
+    assign_strategies,
+    cluster_report,
+    cluster_stats,
+    feature_vectors,
+    kmeans,
+)
 from headroom.operators.compare import baseline_results, reduction_against
+from headroom.operators.lloyd import best_fits, labels_of
 from headroom.operators.scale import available_features, scaled_features
 from headroom.operators.windows import (
     WINDOW_STATISTICS,
@@ -197,26 +207,112 @@ def threshold_sweep(
     )
 
 
+def fitted_routes(profiles: DataFrame, ks: Sequence[int], settings: Settings = Settings()) -> DataFrame:
+    """(n_clusters, machine_id, strategy) for each k, all of them fitted together."""
+    names = available_features(profiles.columns)
+    vectors = feature_vectors(scaled_features(profiles), names)
+    found = best_fits(vectors, [replace(settings.clustering, k=k) for k in ks])
+    numbers = F.array(*[F.lit(k) for k in found])
+    labels = labels_of(vectors, found).select(F.col("id").alias("machine_id"), "x", F.posexplode("labels"))
+    labels = labels.select(
+        F.element_at(numbers, F.col("pos") + 1).alias("n_clusters"),
+        "machine_id",
+        F.col("col").alias("cluster"),
+        *[F.col("x")[i].alias(c) for i, c in enumerate(names)],
+    )
+    if settings.types_on == "raw":
+        labels = labels.drop(*names).join(profiles.select("machine_id", *names), "machine_id")
+    return routes_of(labels)
+
+
+def routes_of(labels: DataFrame) -> DataFrame:
+    """(n_clusters, machine_id, strategy) out of (n_clusters, machine_id, cluster, cpu_mean, cpu_cv)."""
+    kinds = labels.groupBy("n_clusters", "cluster").agg(F.avg("cpu_mean").alias("m"), F.avg("cpu_cv").alias("c"))
+    kinds = kinds.select("n_clusters", "cluster", model_strategy(workload_type(F.col("m"), F.col("c"))).alias("strategy"))
+    return labels.select("n_clusters", "machine_id", "cluster").join(kinds, ["n_clusters", "cluster"]).drop("cluster")
+
+
+Routes = Callable[[DataFrame, Sequence[int], Settings], DataFrame]
+
+
 def cluster_sweep(
     trace: DataFrame, ks: Sequence[int], ties: Sequence[str] | None = None, settings: Settings = Settings()
 ) -> DataFrame:
-    """The experiment for several numbers of clusters, which refit every model.
+    """``sweep_on_windows`` on a raw trace, which is cleaned and windowed once."""
+    return sweep_on_windows(observed_windows(trace, ties, settings.window_minutes), ks, settings)
+
 
-    The trace is cleaned and windowed once.
+def sweep_on_windows(
+    windowed: DataFrame, ks: Sequence[int], settings: Settings = Settings(), routes: Routes = fitted_routes
+) -> DataFrame:
+    """Cost and service of the experiment for several numbers of clusters.
+
+    (n_clusters, cost_reduction, utilization, sla_violations).  A model depends
+    on the machine and its method, not on the number of clusters that led to the
+    method: each pair is fitted, forecast and replayed once, however many
+    settings share it.  Only the pooled regression is fitted per setting, as its
+    machines differ.
     """
-    windowed = observed_windows(trace, ties, settings.window_minutes)
-    out = None
-    for k in ks:
-        one = replace(settings, clustering=replace(settings.clustering, k=k))
-        comparison = experiment_on_windows(windowed, one)["comparison"].filter("strategy = 'proposed'")
-        row = comparison.select(
-            F.lit(k).alias("n_clusters"),
-            F.col("cost_reduction_pct").alias("cost_reduction"),
+    s = settings
+    profiles = machine_profiles(windowed)
+    series = usage_series(windowed)
+    if s.machines is not None:
+        chosen = top_machines(profiles, s.machines, "n_observations").select("machine_id")
+        series = series.join(chosen, "machine_id", "left_semi")
+    split = train_test_split(keep_long_series(series, s.min_windows), s.train_share, s.steps)
+    split = stage(split, "split", ("part",))
+    train = split.filter("part = 'train'").drop("part", "h")
+    test = split.filter("part = 'test'").select("machine_id", "h", "y")
+
+    # a variant is a method, and the setting too where the setting decides the fit
+    pooled = (F.col("strategy") == "lstm") & F.lit(s.pooled)
+    variant = F.when(pooled, F.concat_ws("-", "strategy", "n_clusters")).otherwise(F.col("strategy"))
+    routed = stage(routes(profiles, ks, s).withColumn("variant", variant), "routes")
+
+    def fitted(name: str, fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        machines = routed.filter(F.col("variant") == name).select("machine_id").distinct()
+        return fit(train.join(machines, "machine_id", "left_semi")).withColumn("variant", F.lit(name))
+
+    bursty = [f"lstm-{k}" for k in ks] if s.pooled else ["lstm"]
+    fits: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "arima": fc.fit_ar,
+        "seasonal_arima": fc.fit_seasonal_ar,
+        "conservative": fc.fit_conservative,
+        **dict.fromkeys(bursty, fc.fit_pooled if s.pooled else fc.fit_weighted),
+    }
+    # the pooled fits are jobs of their own and run side by side
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        models = list(pool.map(lambda f: fitted(*f), fits.items()))
+    models = stage(reduce(DataFrame.unionByName, models), "models")
+
+    ahead = fc.predict_test(models, test, carry=["variant"]).select("machine_id", "variant", "h", "y_pred")
+    begun = test.join(ahead, ["machine_id", "h"]).join(last_values(train), "machine_id")
+    begun = begun.withColumn("_start", F.col("last_value") * s.policy.start)
+    walked = cap.policy_fold(begun, "_start", "y_pred", s.policy, ["machine_id", "variant"], "h")
+    walked = walked.groupBy("machine_id", "variant").agg(
+        M.total_cost("capacity").alias("total_cost"),
+        M.average_utilisation("y", "capacity").alias("utilization"),
+        M.sla_violations("y", "capacity").alias("violations"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    level = test.select("machine_id", cap.static_level("y").alias("capacity"))
+    static = level.agg(M.total_cost("capacity").alias("static")).scalar()
+    n, cost = F.sum("n"), F.sum("total_cost")
+    return (
+        routed.join(walked, ["machine_id", "variant"])
+        .groupBy("n_clusters")
+        .agg(
+            cost.alias("total_cost"),
+            (F.sum(F.col("utilization") * F.col("n")) / n).alias("utilization"),
+            (F.sum("violations") / n * 100).alias("sla_violations"),
+        )
+        .select(
+            "n_clusters",
+            M.cost_reduction(static, F.col("total_cost")).alias("cost_reduction"),
             "utilization",
-            F.col("sla_violation_rate").alias("sla_violations"),
+            "sla_violations",
         )
-        out = row if out is None else out.unionByName(row)
-    return out
+    )
 
 
 # --- comparison of forecast methods ---------------------------------------------------
@@ -238,7 +334,9 @@ def compare_models(
     split = stage(split, "comparison", ("part",))
     train = split.filter("part = 'train'").drop("part", "h")
     test = split.filter("part = 'test'").select(key, "h", F.col("y").alias("actual"))
-    fitted = {"arima": fc.fit_ar(train), "lstm": fc.fit_pooled(train), "hybrid": fc.fit_hybrid(train, strategies)}
+    arima = stage(fc.fit_ar(train), "arima-models")
+    hybrid = fc.fit_hybrid(train, strategies, arima=arima)
+    fitted = {"arima": arima, "lstm": fc.fit_pooled(train), "hybrid": hybrid}
     models = reduce(DataFrame.unionByName, [m.withColumn("method", F.lit(name)) for name, m in fitted.items()])
     # all methods are scored in one pass and meet in one row per step
     ahead = fc.predict_test(models, test, key, ["method"]).groupBy(key, "h")

@@ -1475,6 +1475,121 @@ oracle(
     "exp_forecast",
 )
 
+# The same for several numbers of clusters: the simple label folded to so many.
+_NUMBERS = (2, 3, 4)
+step(
+    "sweep_marked",
+    f"SELECT machine_id, cpu_mean, cpu_cv, cluster % k AS cluster, k FROM exp_marked, (SELECT unnest({list(_NUMBERS)}) AS k)",
+    "exp_marked",
+)
+step(
+    "sweep_routes",
+    f"""SELECT k, machine_id, {_MODEL_NAME} AS strategy FROM sweep_marked JOIN (
+    SELECT k, cluster, {_TYPE} AS workload_type FROM (SELECT k, cluster, avg(cpu_mean) AS cpu_mean_mean,
+    avg(cpu_cv) AS cpu_cv_mean FROM sweep_marked GROUP BY 1, 2)) USING (k, cluster)""",
+    "sweep_marked",
+)
+for _k in _NUMBERS:
+    step(f"sweep{_k}_routes", f"SELECT machine_id, strategy FROM sweep_routes WHERE k = {_k}", "sweep_routes")
+    for _name in ("ar_walk", "seasonal_walk", "naive_for"):
+        step(f"sweep{_k}_{_name}", f"SELECT * FROM exp_{_name}", f"exp_{_name}")
+    routed_forecast(f"sweep{_k}_routed", "exp_train", LONGEST_TEST, f"sweep{_k}_routes", f"sweep{_k}_")
+step(
+    "sweep_forecast",
+    "SELECT k, machine_id, h, y, y_pred FROM exp_test JOIN ("
+    + " UNION ALL ".join(f"SELECT {_k} AS k, * FROM sweep{_k}_routed" for _k in _NUMBERS)
+    + ") USING (machine_id, h)",
+    "exp_test",
+    *(f"sweep{_k}_routed" for _k in _NUMBERS),
+)
+step(
+    "sweep_replay",
+    f"""SELECT k, machine_id, 0::bigint AS h, cap, NULL::double AS y FROM (SELECT machine_id,
+    arg_max(y, step) * 1.3::double AS cap FROM exp_train GROUP BY 1), (SELECT unnest({list(_NUMBERS)}) AS k)
+    UNION ALL SELECT k, machine_id, h, {_next()}, y FROM (SELECT t.k, t.machine_id, f.h, f.y, f.y_pred AS p,
+    f.y_pred / (t.cap + 1e-10) AS u, t.cap FROM sweep_replay t JOIN sweep_forecast f
+    ON f.k = t.k AND f.machine_id = t.machine_id AND f.h = t.h + 1)""",
+    "exp_train",
+    "sweep_forecast",
+)
+oracle(
+    "cluster_sweep",
+    f"""SELECT k::int AS n_clusters, {r('(static - sum(cost)) / static * 100', 'cost_reduction', 6)},
+    {r('sum(used * n) / sum(n)', 'utilization', 6)}, {r('sum(late) / sum(n) * 100', 'sla_violations', 6)} FROM (
+    SELECT k, machine_id, {_COST} AS cost, {_USE} AS used, count(*) FILTER ({_LATE}) AS late, count(*) AS n FROM (
+    SELECT k, machine_id, cap AS capacity, y AS usage FROM sweep_replay WHERE h > 0) GROUP BY 1, 2), (
+    SELECT {_COST} AS static FROM (SELECT max(y) OVER (PARTITION BY machine_id) * 1.2::double AS capacity FROM exp_test))
+    GROUP BY k, static""",
+    "sweep_replay",
+    "exp_test",
+)
+
+# --- steps of k-means, labellings against each other -----------------------------------------
+
+_OFF = " + ".join(f"pow(f.{c} - c.{c}, 2)" for c in FEATURES)
+_MEANS = ", ".join(f"avg({c}) AS {c}" for c in FEATURES)
+step("lloyd0", f"SELECT row_number() OVER (ORDER BY cluster) - 1 AS slot, {_MEANS} FROM quadrants GROUP BY cluster", "quadrants")
+for _i in (1, 2, 3):
+    step(
+        f"lloyd_near{_i}",
+        f"""SELECT * FROM (SELECT f.*, c.slot, {_OFF} AS off,
+    row_number() OVER (PARTITION BY f.machine_id ORDER BY {_OFF}, c.slot) AS near
+    FROM features f, lloyd{_i - 1} c) WHERE near = 1""",
+        "features",
+        f"lloyd{_i - 1}",
+    )
+    step(f"lloyd{_i}", f"SELECT slot, {_MEANS} FROM lloyd_near{_i} GROUP BY slot", f"lloyd_near{_i}")
+oracle(
+    "kmeans_steps",
+    f"""SELECT slot AS cluster, n, {rs('cost ' + ' '.join(FEATURES), 6)} FROM lloyd2
+    JOIN (SELECT slot, count(*) AS n FROM lloyd_near3 GROUP BY 1) USING (slot), (SELECT sum(off) AS cost FROM lloyd_near3)""",
+    "lloyd2",
+    "lloyd_near3",
+)
+_FOLDS = (2, 3)
+step("folded", f"SELECT id, x, k, cluster % k AS cluster FROM emb, (SELECT unnest({list(_FOLDS)}) AS k)", "emb")
+step(
+    "folded_values",
+    """SELECT k, cluster, pos, avg(v) AS v, count(*) AS n FROM (
+    SELECT k, cluster, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM folded) GROUP BY 1, 2, 3""",
+    "folded",
+)
+step("folded_centres", "SELECT k, cluster, list(v ORDER BY pos) AS centre FROM folded_values GROUP BY 1, 2", "folded_values")
+step(
+    "folded_spread",
+    """SELECT k, inertia, (b / (clusters - 1)) / (inertia / (n - clusters)) AS calinski_harabasz FROM (
+    SELECT k, sum(pow(list_distance(x, centre), 2)) AS inertia, count(*) AS n, count(DISTINCT cluster) AS clusters
+    FROM folded JOIN folded_centres USING (k, cluster) GROUP BY 1) JOIN (
+    SELECT k, sum(a.n * pow(a.v - m, 2)) AS b FROM folded_values a JOIN (
+        SELECT pos, avg(v) AS m FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM emb) GROUP BY 1)
+    USING (pos) GROUP BY 1) USING (k)""",
+    "folded",
+    "folded_centres",
+    "folded_values",
+    "emb",
+)
+for _name, _total in (("k_sweep_fixed", "list_distance(a.x, b.x)"), ("k_sweep_squared", "pow(list_distance(a.x, b.x), 2)")):
+    # a label takes part in all silhouettes of its own number of clusters only
+    step(
+        f"{_name}_means",
+        f"""SELECT a.k, a.id, a.cluster AS own, b.cluster, sum({_total}) AS total, count(*) AS n
+    FROM folded a JOIN folded b USING (k) GROUP BY 1, 2, 3, 4""",
+        "folded",
+    )
+    _scores = _SILHOUETTE.format(table=f"{_name}_means").replace("SELECT own,", "SELECT k,", 1).replace("BY id,", "BY k, id,")
+    step(f"{_name}_scores", f"SELECT k, avg(s) AS silhouette FROM ({_scores}) GROUP BY 1", f"{_name}_means")
+    oracle(
+        _name,
+        f"SELECT k::int AS k, {rs('inertia silhouette calinski_harabasz', 6)} FROM folded_spread JOIN {_name}_scores USING (k)",
+        "folded_spread",
+        f"{_name}_scores",
+    )
+oracle(
+    "best_k_swept",
+    "SELECT k::int AS k FROM k_sweep_squared_scores ORDER BY silhouette DESC, k LIMIT 1",
+    "k_sweep_squared_scores",
+)
+
 oracle(
     "read_report",
     """SELECT 'a' AS folder, 'read' AS status, count(*) FILTER (event_id % 13 <> 0) AS n_rows,
@@ -1562,6 +1677,7 @@ oracle(
     "test",
     "weighted_values",
 )
+ORACLES["forecast_ranges_written"] = ORACLES["forecast_values_written"]
 step(
     "step_errors",
     """SELECT machine_id, sqrt(avg(pow(y - before, 2))) AS rmse, avg(abs(y - before)) AS mae,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from headroom.functions import metrics as M
@@ -22,6 +23,7 @@ from headroom.operators import windows as win
 from headroom.operators.blocks import kth_distances
 from headroom.operators.halo import dbscan_halo
 from headroom.operators.keyed import keyed_quantiles
+from headroom.operators.lloyd import lloyd
 from headroom.operators.scale import available_features, scaled_features
 from headroom.plans import experiment as exp
 from headroom.session import stage, stage_path
@@ -50,6 +52,8 @@ HORIZON = 6
 DENSITY = {"eps": 0.9, "min_samples": 5}
 SMALL_NETWORK = recurrent.Network(units=4, lags=2)
 SEASONAL_START = [0.3, 0.1, -0.1, 0.05, 0.02, 0.2, 0.4]  # phi, seasonal phi, seasonal theta
+FOLDS = [2, 3]
+CLUSTER_NUMBERS = [2, 3, 4]
 SWEEP = [(0.65, 0.40), (0.75, 0.40), (0.85, 0.40), (0.75, 0.30)]
 
 
@@ -123,6 +127,18 @@ def simple_types(described: DataFrame, _settings: exp.Settings) -> tuple[DataFra
     return cluster.assign_strategies(marked, stats), stats
 
 
+def simple_routes(described: DataFrame, ks: list[int], _settings: exp.Settings) -> DataFrame:
+    """Strategies for several numbers of clusters, with the simple label folded to so many."""
+    marked = scaled_features(described).withColumn("n_clusters", F.explode(F.array(*[F.lit(k) for k in ks])))
+    return exp.routes_of(marked.withColumn("cluster", quadrant() % F.col("n_clusters")))
+
+
+def folded_labels(spark: SparkSession, sf_dir: str, ks: list[int]) -> DataFrame:
+    """Points with their label folded to 2, 3, ... clusters."""
+    labels = F.array(*[F.col("cluster") % k for k in ks])
+    return stage(points(spark, sf_dir).select("id", "x", labels.alias("labels")), "folded")
+
+
 def simple_strategies(table: DataFrame) -> DataFrame:
     """Strategies of the machines of a series, routed by the simple label."""
     described = win.machine_profiles(table.select("machine_id", F.col("y").alias("average_usage_mean")))
@@ -368,6 +384,16 @@ def _(spark, sf_dir):
     return spark.read.option("header", True).schema("h int, actual double, y_pred double, machine_id string").csv(folder)
 
 
+@query("forecast_ranges_written")
+def _(spark, sf_dir):
+    folder = stage_path(spark, "forecast-ranges")
+    train, test = split_series(spark, sf_dir)
+    predicted = fc.predict_test(fc.fit_weighted(train), test).select("machine_id", "h", "y_pred")
+    values = test.select("machine_id", "h", F.col("y").alias("actual")).join(predicted, ["machine_id", "h"])
+    sinks.write_forecast_ranges(values, folder)
+    return spark.read.parquet(folder)
+
+
 @query("metrics_written", 6)
 def _(spark, sf_dir):
     folder = stage_path(spark, "metrics")
@@ -534,6 +560,32 @@ def _(spark, sf_dir):
     return cluster.best_k(sweep)
 
 
+@query("kmeans_steps", 6)
+def _(spark, sf_dir):
+    """Three passes over the machines, from the means of the simple labels."""
+    table, names = quadrants(spark, sf_dir)
+    xs = stage(table.select("cluster", F.array(*names).alias("x")), "quadrants")
+    starts = cluster.centroids(xs).orderBy("cluster").select("centre").collect()
+    fit = lloyd(xs, [np.array([row["centre"] for row in starts])], 3, 0.0)[0]
+    rows = [(i, int(n), fit.cost, *map(float, c)) for i, (n, c) in enumerate(zip(fit.sizes, fit.centres, strict=True))]
+    return spark.createDataFrame(rows, "cluster long, n long, cost double, " + ", ".join(f"{c} double" for c in names))
+
+
+@query("k_sweep_fixed", 6)
+def _(spark, sf_dir):
+    return cluster.sweep_scores(folded_labels(spark, sf_dir, FOLDS), FOLDS, rows=64)
+
+
+@query("k_sweep_squared", 6)
+def _(spark, sf_dir):
+    return cluster.sweep_scores(folded_labels(spark, sf_dir, FOLDS), FOLDS, rows=None)
+
+
+@query("best_k_swept")
+def _(spark, sf_dir):
+    return cluster.best_k(cluster.sweep_scores(folded_labels(spark, sf_dir, FOLDS), FOLDS, rows=None))
+
+
 @query("cluster_summary", 6)
 def _(spark, sf_dir):
     return cluster.cluster_summary(*quadrants(spark, sf_dir))
@@ -1003,6 +1055,12 @@ def _(spark, sf_dir):
     return exp.experiment_summary(exp.experiment_on_windows(windowed, types=simple_types))
 
 
+@query("cluster_sweep", 6)
+def _(spark, sf_dir):
+    windowed = exp.observed_windows(usage_trace(spark, sf_dir), TIES, 5)
+    return exp.sweep_on_windows(windowed, CLUSTER_NUMBERS, routes=simple_routes)
+
+
 @query("cleaned_costs", 6)
 def _(spark, sf_dir):
     return flagship(spark, sf_dir)

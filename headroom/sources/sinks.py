@@ -27,6 +27,23 @@ def write_forecast_values(values: DataFrame, folder: str, key: str = "machine_id
     )
 
 
+def write_forecast_ranges(values: DataFrame, folder: str, key: str = "machine_id", files: int | None = None) -> None:
+    """Actual and predicted values as parquet, sorted by machine and step over all files.
+
+    For any number of machines: files hold ranges of (machine, step), so a
+    machine's values lie in one file or in neighbouring ones, and the statistics
+    of the row groups lead to them.  A machine with many steps spreads over
+    several files.  ``files`` sets their number.
+    """
+    ranged = values.repartitionByRange(files, key, "h") if files else values.repartitionByRange(key, "h")
+    ranged.sortWithinPartitions(key, "h").write.mode("overwrite").parquet(folder)
+
+
+def read_forecast(spark: SparkSession, folder: str, machine: str, key: str = "machine_id") -> DataFrame:
+    """One machine's values out of ``write_forecast_ranges``; other ranges are skipped."""
+    return spark.read.parquet(folder).filter(F.col(key) == machine)
+
+
 def average_metrics(metrics: DataFrame) -> DataFrame:
     """Mean of every numeric column over the machines."""
     numeric = [f.name for f in metrics.schema if isinstance(f.dataType, T.NumericType)]

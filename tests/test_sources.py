@@ -122,3 +122,21 @@ def test_sinks(spark, tmp_path):
     assert float(average["actual"]) == pytest.approx(0.6)
     sinks.save_models(df, str(tmp_path / "models"))
     assert sorted(sinks.load_models(spark, str(tmp_path / "models")).collect()) == sorted(df.collect())
+
+
+def test_forecast_ranges_lead_to_one_machine(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    folder = str(tmp_path / "ranges")
+    ids = spark.range(0, 4000, 1, 5).select(F.format_string("m%03d", F.col("id") % 200).alias("machine_id"), F.floor(F.col("id") / 200).cast("int").alias("h"))
+    hot = spark.range(2000).select(F.lit("m100x").alias("machine_id"), F.col("id").cast("int").alias("h"))
+    sinks.write_forecast_ranges(ids.union(hot).withColumn("y_pred", F.col("h") / 10), folder, files=10)
+    files = sorted((tmp_path / "ranges").glob("*.parquet"))
+    groups = [g for f in files for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    ends = [(g.column(0).statistics.min, g.column(0).statistics.max) for g in groups]
+    assert len(ends) > 5 and sum(low <= "m007" <= high for low, high in ends) <= 2
+    # a machine with a third of the rows is not one file's work
+    assert max(g.num_rows for g in groups) < 2000
+    one = sinks.read_forecast(spark, folder, "m007")
+    assert sorted(r["h"] for r in one.collect()) == list(range(20))
+    assert sinks.read_forecast(spark, folder, "none").count() == 0
