@@ -21,8 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from headroom.operators.blocks import BLOCK_ROWS, matrix, over_pairs
-from headroom.operators.density import adopt_near, components, connect_near, count_near, numbered_clusters
+from headroom.operators.blocks import BLOCK_ROWS, matrix, spatial_blocks
+from headroom.operators.density import NOISE, joined_up
 from headroom.params import Clustering
 from headroom.session import stage
 
@@ -118,34 +118,21 @@ def dbscan_halo(
 
     Copies of a point are merged first.  The sample only decides where parts
     end, never which points are near.  Parts above ``rows`` points, where
-    space cannot be cut any further, are worked on as pairs of chunks.  An
+    space cannot be cut any further, are worked on as pairs of chunks; with more
+    points chunks grow first, up to a few thousand.  An
     empty table gives no rows; equal points fall together.
     """
     points = stage(points.select("id", "x"), "points")
     kind = dict(points.dtypes)["id"]
     distinct = stage(points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")), "distinct-points")
     dealt = stage(with_halo(distinct, eps, rows, sample_points), "halo")
-    chunks = dealt.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_chunks"))
-    block = F.col("part").cast("long") * (1 << 31) + F.pmod(F.xxhash64("id"), F.col("_chunks"))
-    blocks = stage(dealt.join(chunks, "part").withColumn("_block", block).drop("_chunks"), "halo-blocks")
-    numbers = blocks.select("part", "_block").distinct()
-    pairs = numbers.withColumnRenamed("_block", "_left").join(numbers.withColumnRenamed("_block", "_right"), "part")
-    pairs = stage(pairs.select("_left", "_right"), "chunk-pairs")
-
-    own = blocks.filter("own").select("id", "x", "w", "_block")
-    degree = over_pairs(own, blocks.select("id", "x", "w", "_block"), count_near(eps), f"id {kind}, n bigint", pairs)
-    degree = degree.groupBy("id").agg((F.sum("n") >= min_samples).alias("core"))
-    known = stage(blocks.join(degree, "id").select("id", "x", "own", "core", "_block"), "halo-degrees")
-    core = known.filter("core").select("id", "x", "_block")
-    rest = known.filter("own AND NOT core").select("id", "x", "_block")
-
+    dims = points.select(F.size("x")).first()
+    if dims is None:
+        return points.select("id", F.lit(NOISE).alias("cluster"))
+    # a chunk is what a block has of one part
+    blocks, _ = spatial_blocks(dealt, dims[0], eps, rows, ["part"])
     # a copy is a core point where it lives and in every halo, which joins the parts
-    stars = over_pairs(core, core, connect_near(eps), f"id {kind}, root {kind}", pairs.filter("_left <= _right"))
-    labels = components(stage(stars.distinct(), "stars"))
-    border = over_pairs(rest, core.join(labels, "id"), adopt_near(eps), f"id {kind}, label {kind}", pairs)
-    border = border.groupBy("id").agg(F.min("label").alias("label"))
-    named = labels.unionByName(border).join(distinct.select("id", "x"), "id").select("x", "label")
-    return numbered_clusters(points, labels, named)
+    return joined_up(points, blocks, dims[0], eps, min_samples, kind, ["part"])
 
 
 def halo_copies(dealt: DataFrame) -> DataFrame:
