@@ -70,7 +70,7 @@ def _pass(points: DataFrame, fits: Sequence[Fit]) -> tuple[np.ndarray, np.ndarra
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, cost = np.zeros(len(stacked), dtype=np.int64), np.zeros(stacked.shape), np.zeros(len(stacked))
         for batch in batches:
-            every = np.stack(batch["x"].to_numpy()) if len(batch) else np.empty((0, width))
+            every = batch.to_numpy(dtype=float)
             for at in range(0, len(every), chunk):
                 x = every[at : at + chunk]
                 for first, k, nearest in _assigned(x, stacked, ends):
@@ -85,7 +85,8 @@ def _pass(points: DataFrame, fits: Sequence[Fit]) -> tuple[np.ndarray, np.ndarra
         yield out.assign(centre=met, n=n[met], cost=cost[met])
 
     schema = "centre long, n long, cost double, " + ", ".join(f"{c} double" for c in names)
-    added = points.select("x").mapInPandas(lambda b: (o[["centre", "n", "cost", *names]] for o in sums(b)), schema)
+    # plain columns reach Python as they are; an array column is an object per row there, in every pass
+    added = points.select(*[F.col("x")[i].alias(f"x{i}") for i in range(width)]).mapInPandas(lambda b: (o[["centre", "n", "cost", *names]] for o in sums(b)), schema)
     rows = added.groupBy("centre").agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)]).toPandas()
     n, cost, total = np.zeros(len(stacked), dtype=np.int64), np.zeros(len(stacked)), np.zeros(stacked.shape)
     at = rows["centre"].to_numpy()
