@@ -15,13 +15,18 @@ def write_forecast_values(values: DataFrame, folder: str, key: str = "machine_id
     """Actual and predicted values as CSV, one folder per machine.
 
     Rows are first brought together by machine, so that a machine's folder
-    holds few files.
+    holds few files.  The number of tasks is fixed: folders take the time, and
+    by bytes adaptive execution would leave them all to a few tasks.  Tasks put
+    their files in place themselves, so the driver does not move one folder per
+    machine when they are done.
     """
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        values.repartition(key)
+        values.repartition(tasks, key)
         .sortWithinPartitions(key, "h")
         .write.mode("overwrite")
         .option("header", True)
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         .partitionBy(key)
         .csv(folder)
     )

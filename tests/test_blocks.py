@@ -56,3 +56,12 @@ def test_joining_a_full_block_takes_little_memory():
     tracemalloc.stop()
     assert peak < 40e6
     assert set(zip(links["id"], links["root"], strict=True)) == {(v, v) for v in found["root"]}
+
+
+def test_folders_are_written_by_several_tasks(spark, tmp_path):
+    from headroom.sources import sinks
+
+    ids = spark.range(80).select(F.concat(F.lit("m"), F.col("id") % 40).alias("machine_id"), F.floor(F.col("id") / 40).cast("int").alias("h"))
+    sinks.write_forecast_values(ids.withColumn("actual", F.lit(0.5)), str(tmp_path / "values"))
+    files = [p.name.split("-")[1] for p in (tmp_path / "values").glob("machine_id=*/part-*.csv")]
+    assert len(files) == 40 and len(set(files)) > 1
