@@ -224,12 +224,16 @@ def policy_capacity(
 
 def policy_replay(
     forecast: DataFrame,
-    last_train: DataFrame,
+    last_train: DataFrame | None = None,
     settings: Policy = Policy(),
     key: str = "machine_id",
 ) -> DataFrame:
-    """The policy over a forecast (machine, h, y_pred), starting at 1.3 times the last known value."""
-    begun = forecast.join(last_train, key).withColumn("_start", F.col("last_value") * settings.start)
+    """The policy over a forecast (machine, h, y_pred), starting at 1.3 times the last known value.
+
+    ``last_train`` is not needed where the forecast has ``last_value`` in each row.
+    """
+    known = forecast if last_train is None else forecast.join(last_train, key)
+    begun = known.withColumn("_start", F.col("last_value") * settings.start)
     return policy_fold(begun, "_start", "y_pred", settings, [key], "h").drop("_start", "last_value")
 
 

@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from headroom.functions.parse import normalise_timestamp
-from headroom.operators.ordered import CHUNK, order_chunks
+from headroom.operators.ordered import BROADCAST_ROWS, CHUNK, order_chunks
 from headroom.operators.quantiles import exact_quantiles
 from headroom.params import CRITICAL_COLUMNS, OUTLIER_COLUMNS, TIME_COLUMNS
 from headroom.session import stage
 
+WHOLE_ROWS = 500_000  # machines with more rows are filled chunk by chunk
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
@@ -28,12 +30,14 @@ def other_columns(df: DataFrame, *known: str) -> list[str]:
     return [f.name for f in df.schema if f.name not in known and not isinstance(f.dataType, no_order)]
 
 
-def _with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """The columns that have anything to fill; one pass without a shuffle of rows."""
+def _looked_over(df: DataFrame, columns: Sequence[str], key: str) -> tuple[list[str], int]:
+    """The columns that have anything to fill and the rows of the largest machine; rows are counted, not moved."""
     if not columns:
-        return []
-    found = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    return [c for c in columns if found[c]]
+        return [], 0
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_n{i}") for i, c in enumerate(columns)]
+    counted = df.groupBy(F.col(key).alias("_machine")).agg(F.count(F.lit(1)).alias("_rows"), *nulls)
+    largest, *found = counted.agg(F.max("_rows"), *[F.sum(f"_n{i}") for i in range(len(columns))]).first()
+    return [c for c, n in zip(columns, found, strict=True) if n], largest or 0
 
 
 def fill_missing(
@@ -48,21 +52,57 @@ def fill_missing(
     """Per machine and in time order: forward fill, backward fill, then 0.
 
     After a forward fill only the rows before a machine's first known value
-    are still empty, so the backward fill is that first value.  Rows are
-    filled inside chunks of a machine; the last known value of each chunk is
-    carried to the following ones.  Rows of one instant follow ``ties``, or
-    all other columns in turn, so that the result does not depend on how the
-    rows came in.
+    are still empty, so the backward fill is that first value.  A machine of
+    up to ``WHOLE_ROWS`` (or ``limit``) rows is filled in one go.  Larger ones
+    are filled inside chunks; the last known value of each chunk is carried to
+    the following ones.  Rows of one instant follow ``ties``, or all other
+    columns in turn, so that the result does not depend on how the rows came in.
     """
     df = drop_critical_nulls(df)
     named = set(ties or ())
     ties = other_columns(df, key, time) if ties is None else ties
     skip = {key, time, *CRITICAL_COLUMNS, *named}
     columns = [c for c in (columns or numeric_columns(df)) if c not in skip]
-    columns = _with_nulls(df, columns)
+    columns, largest = _looked_over(df, columns, key)
     if not columns:
         return df
+    whole = min(limit, WHOLE_ROWS)
+    if largest <= whole:
+        return _fill_machines(df, columns, key, [time, *ties])
+    large = df.groupBy(key).count().filter(F.col("count") > whole).select(key)
+    large = stage(large, "large-machines")
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    rest = _fill_machines(df.join(large, key, "left_anti"), columns, key, [time, *ties])
+    chunked = _fill_chunks(df.join(large, key, "left_semi"), columns, key, time, ties, width, limit)
+    return rest.unionByName(chunked)
+
+
+def _or_zero(df: DataFrame, column: str, *values: Column) -> Column:
+    return F.coalesce(*values, F.lit(0).cast(df.schema[column].dataType))
+
+
+def _fill_machines(df: DataFrame, columns: Sequence[str], key: str, order: Sequence[str]) -> DataFrame:
+    """Machines that fit a window as a whole: one shuffle and one sort of the rows."""
+    machine = Window.partitionBy(key).orderBy(*order)
+    upto = machine.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everywhere = machine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return df.select(
+        *[
+            _or_zero(
+                df, c, F.last(c, ignorenulls=True).over(upto), F.first(c, ignorenulls=True).over(everywhere)
+            ).alias(c)
+            if c in columns
+            else F.col(c)
+            for c in df.columns
+        ]
+    )
 
+
+def _fill_chunks(
+    df: DataFrame, columns: Sequence[str], key: str, time: str, ties: Sequence[str], width: str, limit: int
+) -> DataFrame:
+    """Machines of any size, chunk by chunk of their order."""
     chunks = order_chunks(df, key, time, ties, width, limit)
     order = [time, *ties]
     inside = (
@@ -96,10 +136,9 @@ def fill_missing(
     joined = chunks.withColumns(
         {f"_fwd_{c}": F.last(c, ignorenulls=True).over(inside) for c in columns}
     ).join(carried, [key, *CHUNK])
-    zero = F.lit(0)
     return joined.select(
         *[
-            F.coalesce(f"_fwd_{c}", f"_carry_{c}", f"_next_{c}", zero.cast(df.schema[c].dataType)).alias(c)
+            _or_zero(df, c, F.col(f"_fwd_{c}"), F.col(f"_carry_{c}"), F.col(f"_next_{c}")).alias(c)
             if c in columns
             else F.col(c)
             for c in df.columns

@@ -46,19 +46,29 @@ class _Target:
 
 def _narrow(df: DataFrame, targets: list[_Target], slack: float) -> bool:
     """One sketch pass and one counting pass; True if every bracket got smaller."""
-    sketch = df.agg(
+    # targets of one column and bracket read one sketch
+    shared: dict[tuple, list[int]] = {}
+    for i, t in enumerate(targets):
+        shared.setdefault((t.column, t.low, t.high), []).append(i)
+
+    def around(t: _Target) -> list[float]:
+        at = (t.rank - t.below) / max(1, t.inside - 1)
+        return [min(1.0, max(0.0, at + d)) for d in (-slack, slack)]
+
+    found = df.agg(
         *[
             F.percentile_approx(
-                F.when(t.within(), F.col(t.column)),
-                [
-                    min(1.0, max(0.0, (t.rank - t.below) / max(1, t.inside - 1) + d))
-                    for d in (-slack, slack)
-                ],
+                F.when(targets[same[0]].within(), F.col(targets[same[0]].column)),
+                [p for i in same for p in around(targets[i])],
                 ACCURACY,
-            ).alias(f"t{i}")
-            for i, t in enumerate(targets)
+            )
+            for same in shared.values()
         ]
     ).first()
+    sketch = [None] * len(targets)
+    for bounds, same in zip(found, shared.values(), strict=True):
+        for at, i in enumerate(same):
+            sketch[i] = bounds[2 * at : 2 * at + 2]
     counts = []
     for i, t in enumerate(targets):
         x, (low, high) = F.col(t.column), sketch[i]

@@ -88,17 +88,27 @@ def observed_windows(trace: DataFrame, ties: Sequence[str] | None, minutes: int)
 
 def _forecast(windowed: DataFrame, s: Settings, types: Types) -> dict[str, DataFrame]:
     profiles = machine_profiles(windowed)
-    strategies, stats = types(profiles, s)
-    strategies = stage(strategies, "strategies")
 
-    series = usage_series(windowed)
-    if s.machines is not None:
-        chosen = top_machines(profiles, s.machines, "n_observations").select("machine_id")
-        series = series.join(chosen, "machine_id", "left_semi")
-    split = train_test_split(keep_long_series(series, s.min_windows), s.train_share, s.steps)
-    split = stage(split, "split", ("part",))
-    train = split.filter("part = 'train'").drop("part", "h")
-    test = split.filter("part = 'test'").select("machine_id", "h", "y")
+    def typed() -> tuple[DataFrame, DataFrame]:
+        strategies, stats = types(profiles, s)
+        return stage(strategies, "strategies"), stats
+
+    def parted() -> tuple[DataFrame, DataFrame, DataFrame]:
+        series = usage_series(windowed)
+        if s.machines is not None:
+            chosen = top_machines(profiles, s.machines, "n_observations").select("machine_id")
+            series = series.join(chosen, "machine_id", "left_semi")
+        split = train_test_split(keep_long_series(series, s.min_windows), s.train_share, s.steps)
+        split = stage(split, "split", ("part",))
+        test = split.filter("part = 'test'").select("machine_id", "h", "y")
+        baselines = stage(cap.baseline_capacities(test, s.autoscaler, order="h"), "baselines")
+        return split.filter("part = 'train'").drop("part", "h"), test, baselines
+
+    # the fits of the clusters are many short jobs, and neither side needs the other
+    with ThreadPoolExecutor(1) as pool:
+        found = pool.submit(typed)
+        train, test, baselines = parted()
+        strategies, stats = found.result()
 
     models = stage(fc.fit_hybrid(train, strategies, s.pooled), "models")
     forecasts = test.join(fc.predict_test(models, test), ["machine_id", "h"])
@@ -112,13 +122,13 @@ def _forecast(windowed: DataFrame, s: Settings, types: Types) -> dict[str, DataF
         "models": models.join(strategies.select("machine_id", "workload_type"), "machine_id", "left"),
         "forecasts": forecasts,
         "test": test,
+        "baselines": baselines,
     }
 
 
 def _proposed(forecasts: DataFrame, policy: Policy) -> DataFrame:
     """Capacities of the policy over the forecasts, as a strategy."""
-    last = forecasts.select("machine_id", "last_value").distinct()
-    walked = cap.policy_replay(forecasts.drop("last_value"), last, policy)
+    walked = cap.policy_replay(forecasts, settings=policy)
     return walked.select(
         "machine_id", "h", F.lit("proposed").alias("strategy"), "capacity", F.col("y").alias("usage"), "y_pred"
     )
@@ -142,9 +152,8 @@ def experiment_on_windows(
     gives strategies and cluster statistics for the profiles.
     """
     tables = _forecast(windowed, settings, types)
-    proposed = _proposed(tables["forecasts"], settings.policy)
-    baselines = cap.baseline_capacities(tables["test"], settings.autoscaler, order="h")
-    capacities = stage(baselines.unionByName(proposed.drop("y_pred")), "capacities")
+    proposed = stage(_proposed(tables["forecasts"], settings.policy).drop("y_pred"), "proposed")
+    capacities = tables.pop("baselines").unionByName(proposed)
     tables["capacities"] = capacities
     tables["comparison"] = reduction_against(baseline_results(capacities))
     tables["prediction_metrics"] = tables["forecasts"].agg(*M.prediction_metrics("y", "y_pred"))

@@ -119,6 +119,19 @@ def test_policy_and_replay(spark, small_batches):
     assert got == {m: plain_policy(y, 0.4 * 1.3) for m, y in values.items()}
 
 
+def test_replay_of_a_forecast_that_holds_the_last_values(spark, capsys):
+    rows = [("a", 1, 0.5, 0.4), ("a", 2, 0.9, 0.4), ("b", 1, 0.1, 0.8), ("c", 1, 0.1, None)]
+    forecast = spark.createDataFrame(rows, "machine_id string, h int, y_pred double, last_value double")
+    replayed = cap.policy_replay(forecast)
+    got = by_machine(replayed, order="h")
+    assert got["a"] == plain_policy([0.5, 0.9], 0.4 * 1.3) and got["b"] == plain_policy([0.1], 0.8 * 1.3)
+    last = forecast.select("machine_id", "last_value").distinct()
+    joined = cap.policy_replay(forecast.drop("last_value"), last)
+    assert repr(sorted(map(tuple, joined.collect()))) == repr(sorted(map(tuple, replayed.select(joined.columns).collect())))
+    replayed.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 def test_backtest(spark):
     y = [0.5, 0.9, 0.2, 0.3]
     df = series(spark, {"a": y}).withColumn("predicted", F.col("y") * 0.9).withColumn("start", F.lit(0.6))

@@ -50,6 +50,23 @@ def test_fill_equals_fill_in_order(spark, seed, limit):
     assert {r["id"]: (r["a"], r["b"]) for r in got.collect()} == wanted
 
 
+def test_large_machines_are_filled_in_chunks_beside_the_rest(spark, monkeypatch):
+    df = frame(spark, random_trace(4))
+    whole = sorted(map(tuple, clean.fill_missing(df, ties=["id"]).collect()))
+    monkeypatch.setattr(clean, "WHOLE_ROWS", 60)
+    assert sorted(map(tuple, clean.fill_missing(df, ties=["id"]).collect())) == whole
+
+
+def test_small_machines_are_filled_in_one_shuffle(spark, capsys):
+    clean.fill_missing(frame(spark, random_trace(5)), ties=["id"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_fill_of_nothing(spark):
+    assert clean.fill_missing(frame(spark, random_trace(5)).limit(0), ties=["id"]).count() == 0
+
+
 def test_fill_drops_rows_without_critical_values(spark):
     df = spark.createDataFrame(
         [("a", START, 1.0, None), (None, START, 1.0, 2.0), ("a", None, 1.0, 2.0), ("a", START, None, 2.0)],
@@ -93,6 +110,18 @@ def test_exact_quantiles(spark, rank_rows):
         assert got[c] == pytest.approx(list(np.quantile(pdf[c], probabilities)), abs=1e-12)
 
 
+def test_quantiles_of_a_column_share_a_sketch(spark, monkeypatch):
+    from headroom.operators import quantiles
+
+    sketches, real = [], quantiles.F.percentile_approx
+    monkeypatch.setattr(
+        quantiles.F, "percentile_approx", lambda c, p, a: sketches.append(len(p)) or real(c, p, a)
+    )
+    df = spark.range(3000).selectExpr("cast(id as double) as v", "cast(-id as double) as w")
+    assert exact_quantiles(df, ["v", "w"], [0.25, 0.75], 2000) == {"v": [749.75, 2249.25], "w": [-2249.25, -749.75]}
+    assert sketches == [4, 4]
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     got = exact_quantiles(df, ["a", "b"], [0.5])

@@ -186,6 +186,25 @@ def test_kmeans(spark):
         assert model.summary.trainingCost <= single.summary.trainingCost + 1e-9
 
 
+def test_few_points_take_one_task_a_pass(spark, monkeypatch):
+    from headroom.params import Clustering
+
+    data = vectors(spark, blobs(8)).repartition(5)
+    for points, tasks in ((200_000, 1), (40, 3)):
+        seen = []
+
+        class Watched(cluster.KMeans):
+            def fit(self, df):
+                seen.append((df.rdd.getNumPartitions(), self.getSolver()))
+                return super().fit(df)
+
+        monkeypatch.setattr(cluster, "KMeans", Watched)
+        monkeypatch.setattr(cluster, "TASK_POINTS", points)
+        cluster.kmeans(data, Clustering(k=3, restarts=2))
+        assert seen == [(tasks, "block")] * 2
+        monkeypatch.undo()
+
+
 def test_sweep_over_k(spark):
     from headroom.params import Clustering
 
